@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwatch.llm import decontaminate, line_dedup, sharding, url_filter
+from loomwatch.llm import ann, bpe, decontaminate, html_extract, line_dedup, minhash, secret_scan, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,26 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_total", "lines_dropped", "text")
 
 
+def tokenizer() -> tuple[str, str]:
+    """The rank file of the production vocabulary, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, pattern = tokenizer()
+    ids = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern)
+    return bpe_digests(bpe.decode_ids(ids.drop("text"), vocabulary))
+
+
+def bpe_digests(coded: DataFrame) -> DataFrame:
+    written = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -34,6 +54,53 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_extract.extract_text(pages, html_extract.fit_labeller(pages), text_col="text")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+
+    def written(which):
+        return F.array_join(F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secret_scan.KINDS]
+    base = F.filter(spans, lambda s: s["kind"] != "entropy")
+    return out.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def fold_of(doc_id) -> object:
+    """The fold of a document: fold 1 is held out."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.learn(docs, table(spark, sf_dir, "labels"), fold_of("doc_id") != 1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_texts(docs, toxicity_model(spark, docs, sf_dir), score_col="score")
+    held = F.coalesce(fold_of("doc_id") == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return out.select(
@@ -43,9 +110,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_html": op5_html,
+    "op6_minhash": op6_minhash,
+    "op7_secrets": op7_secrets,
+    "op8_ann": op8_ann,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Near lines by equal halves instead of deletion variants: an independent form of the same relation.
