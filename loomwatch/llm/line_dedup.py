@@ -47,50 +47,45 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
         "_tk",
         F.struct(F.col("_id").alias("d"), F.col("_no").alias("n")).alias("_ord"),
         "_t",
+        F.char_length("_t").alias("_n"),
         F.xxhash64("_t").alias("_h"),
         F.xxhash64(F.lit(7), "_t").alias("_g"),
     )
 
 
 def _half_keys(lines: DataFrame) -> DataFrame:
-    """(key, hash): heads and tails of p characters, p the power of two with 2p <= length < 4p."""
-    length = F.char_length("_t")
-    power = F.floor(F.log2(length / 2) + F.lit(1e-9)).cast("int")
-    p = F.pow(F.lit(2.0), power).cast("int")
-    sizes = F.when(length == 2 * p, F.array(p, (p / 2).cast("int"))).otherwise(F.array(p))
-    keys = F.flatten(
-        F.transform(
-            sizes,
-            lambda s: F.array(
-                F.xxhash64(F.lit(0), s, F.substring(F.col("_t"), F.lit(1), s)),
-                F.xxhash64(F.lit(1), s, F.substring(F.col("_t"), length - s + 1, s)),
-            ),
-        )
-    )
-    return lines.select(F.explode(keys).alias("_k"), "_h")
-
+    """(key, hash): heads and tails of p characters, p the power of two with 2p <= length < 4p.
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """A row per line, shorter length l of a possible pair (own or own less one) and piece."""
-    n = F.char_length("_t")
+    A line of 2p characters also brings the keys of p / 2, for partners that are shorter by one.
+    """
+    power = F.floor(F.log2(F.col("_n") / 2) + F.lit(1e-9)).cast("int")
+    sized = lines.select("_t", "_h", "_n", F.pow(F.lit(2.0), power).cast("int").alias("_p"))
 
-    def of(shorter: Column, side: int) -> Column:
-        count = F.greatest(F.lit(2), F.ceil(F.sqrt(shorter) / 8)).cast("int")
+    def keys(p: Column) -> list[Column]:
+        head, tail = F.substring(F.col("_t"), F.lit(1), p), F.substring(F.col("_t"), F.col("_n") - p + 1, p)
+        return [F.xxhash64(F.lit(0), p, head), F.xxhash64(F.lit(1), p, tail)]
 
-        def piece(i: Column) -> Column:
-            start = F.floor(shorter * i / count).cast("int")
-            end = F.floor(shorter * (i + 1) / count).cast("int")
-            head = F.substring(F.col("_t"), F.lit(1), start)
-            tail = F.substring(F.col("_t"), n - (shorter - end) + 1, shorter - end)
-            middle = F.substring(F.col("_t"), start + 1, n - start - (shorter - end))
-            return F.struct(F.lit(side).alias("side"), F.xxhash64(shorter, i, head, tail).alias("k"), middle.alias("mid"))
+    p, half = F.col("_p"), (F.col("_p") / 2).cast("int")
+    both = F.when(F.col("_n") == 2 * p, F.array(*keys(p), *keys(half))).otherwise(F.array(*keys(p)))
+    return sized.select(F.explode(both).alias("_k"), "_h")
 
-        return F.transform(F.sequence(F.lit(0), count - 1), piece)
 
-    both = F.concat(of(n, 0), of(n - 1, 1))
-    return lines.select("_h", "_ord", F.explode(both).alias("p")).select(
-        "_h", "_ord", F.col("p.side").alias("_side"), F.col("p.k").alias("_k"), F.col("p.mid").alias("_mid")
-    )
+def _pieces(lines: DataFrame) -> DataFrame:
+    """A row per line, shorter length l of a possible pair (own or own less one) and piece."""
+    count = F.greatest(F.lit(2), F.ceil(F.sqrt("_l") / 8)).cast("int")
+    lengths = F.array(*[F.struct((F.col("_n") - side).alias("l"), F.lit(side).alias("side")) for side in (0, 1)])
+    sided = lines.select("_h", "_ord", "_t", "_n", F.explode(lengths).alias("s")).select("_h", "_ord", "_t", "_n", F.col("s.l").alias("_l"), F.col("s.side").alias("_side"))
+    placed = sided.withColumn("_m", count).select("*", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_i"))
+    placed = placed.select(
+        "_h", "_ord", "_t", "_n", "_l", "_side", "_i",
+        F.floor(F.col("_l") * F.col("_i") / F.col("_m")).cast("int").alias("_start"),
+        F.floor(F.col("_l") * (F.col("_i") + 1) / F.col("_m")).cast("int").alias("_end"),
+    )
+    after = F.col("_l") - F.col("_end")
+    head = F.substring(F.col("_t"), F.lit(1), F.col("_start"))
+    tail = F.substring(F.col("_t"), F.col("_n") - after + 1, after)
+    middle = F.substring(F.col("_t"), F.col("_start") + 1, F.col("_n") - F.col("_start") - after)
+    return placed.select("_h", "_ord", "_side", F.xxhash64("_l", "_i", head, tail).alias("_k"), middle.alias("_mid"))
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -107,7 +102,7 @@ def _variants(pieces: DataFrame) -> DataFrame:
     size = F.char_length("_mid")
 
     def without(i: Column) -> Column:
-        return F.concat(F.substring(F.col("_mid"), F.lit(1), i - 1), F.substring(F.col("_mid"), i + 1, size))
+        return F.concat(F.substring(F.col("_mid"), F.lit(1), i - 1), F.substring(F.col("_mid"), i + 1, F.lit(1 << 30)))
 
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     same = F.transform(places, lambda i: F.struct(F.lit(0).alias("role"), F.xxhash64(F.lit(0), "_k", i, without(i)).alias("v")))
@@ -123,7 +118,7 @@ def _variants(pieces: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """Hashes (_h, _g) of the lines that have an earlier line one edit away."""
-    keys = _half_keys(lines).groupBy("_k", "_h").agg(F.lit(1).alias("one"))
+    keys = materialize(_half_keys(lines), "line-half-keys")
     hashes = materialize(keys.join(_shared(keys), "_k", "left_semi").select("_h").distinct(), "line-halves")
     wanted = F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
     first = F.min(F.struct("_ord", "_t")).alias("first")
@@ -131,9 +126,9 @@ def near_lines(lines: DataFrame) -> DataFrame:
         lines.join(wanted, "_h", "left_semi").groupBy("_h", "_g").agg(first).select("_h", "_g", "first._ord", "first._t"),
         "line-texts",
     )
-    pieces = _pieces(texts)
+    pieces = materialize(_pieces(texts.withColumn("_n", F.char_length("_t"))), "line-pieces")
     pieces = pieces.join(_shared(pieces.select("_k", "_h")), "_k", "left_semi")
-    variants = _variants(pieces)
+    variants = materialize(_variants(pieces), "line-variants")
     earliest = F.min(F.struct("_ord", "_h"))
     groups = (
         variants.groupBy("_v")
