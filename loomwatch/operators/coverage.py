@@ -23,7 +23,7 @@ def coverage(observations: DataFrame, minutes: int) -> DataFrame:
     """
     size = minutes * 60_000_000
     begin = F.unix_micros("observed_at")
-    end = begin + F.greatest(F.lit(1), "interval_seconds") * 1_000_000
+    end = begin + F.greatest(F.lit(1), "interval_seconds").cast("long") * 1_000_000
     first = F.floor(begin / size).cast("long")
     last = F.floor((end - 1) / size).cast("long")
     touched = observations.where("successful").select(*PROFILE, "collector", begin.alias("b"), end.alias("e"), F.explode(F.sequence(first, last)).alias("w"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomwatch.operators import detection as D, findings as G, windows as W
 from loomwatch.plans.registry import KEY, QUALITY_SQL, TEL, decisions_sql, observations_sql, query, tidy, windows_sql
 from loomwatch.plans.windows_queries import quality, whole_windows, wins
+from loomwatch.session import materialize
 
 NOW = "2024-02-01 00:00:00"
 BASE = f"WITH {TEL}, {windows_sql()}, {decisions_sql()}"
@@ -18,6 +19,11 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.with_fingerprint(D.fuse(D.with_signals(wins(spark, sf_dir), D.scaled_policy())), "scaled")
 
 
+def stored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions, written once: for queries that meet them more than once."""
+    return materialize(decided(spark, sf_dir), "decisions")
+
+
 @query(f"{BASE} SELECT {KEY}, n_matched, primary_signal, detection_score, risk_level, status FROM dec")
 def flagship_risk(spark, sf_dir):
     """Risk level and score per profile and hour, from raw events."""
@@ -87,7 +93,7 @@ def d16_findings(spark, sf_dir):
 
 @query(f"{FOUND}, c AS (SELECT fingerprint, finding_no AS no, last_seen AS l FROM fin WHERE finding_no % 2 = 1), n AS (SELECT * FROM fin WHERE finding_no % 2 = 0) SELECT n.fingerprint, n.finding_no, max(c.no) FILTER (WHERE c.l < n.first_seen)::INT AS previous_no FROM n LEFT JOIN c USING (fingerprint) GROUP BY n.fingerprint, n.finding_no")
 def d17_related_previous(spark, sf_dir):
-    found = G.roll_up(G.correlate(decided(spark, sf_dir)))
+    found = G.roll_up(G.correlate(stored_decisions(spark, sf_dir)))
     return G.related_previous(found.where("finding_no % 2 = 0"), found.where("finding_no % 2 = 1"))
 
 
@@ -96,7 +102,7 @@ SELECT o.fingerprint, {', '.join('o.' + k for k in ('dataset_kind', 'user_id', '
   max_by(finding_id, last_seen) FILTER (WHERE first_seen <= window_start + INTERVAL 60 minutes AND last_seen >= window_start - INTERVAL 60 minutes) AS finding_id
 FROM (SELECT * FROM occ WHERE hour(window_start) % 2 = 0) o LEFT JOIN s USING (fingerprint) GROUP BY ALL""")
 def d15_attach_to_stored(spark, sf_dir):
-    occ = G.correlate(decided(spark, sf_dir))
+    occ = G.correlate(stored_decisions(spark, sf_dir))
     found = G.roll_up(occ)
     status = F.when(F.col("finding_no") % 3 == 0, "resolved").otherwise("open")
     stored = found.select("fingerprint", F.concat_ws("-", F.lit("f"), "fingerprint", "finding_no").alias("finding_id"), "first_seen", "last_seen", status.alias("status"))
@@ -105,7 +111,7 @@ def d15_attach_to_stored(spark, sf_dir):
 
 @query(f"{FOUND} SELECT dataset_kind, user_id, host_id, fingerprint, finding_no, max_score, len(list(window_start))::INT AS n, min(occ.window_start) AS first_at, sum(occ.detection_score)::BIGINT AS total FROM fin JOIN occ USING (dataset_kind, user_id, host_id, fingerprint, finding_no) GROUP BY ALL")
 def j7_finding_detail(spark, sf_dir):
-    occ = G.correlate(decided(spark, sf_dir))
+    occ = G.correlate(stored_decisions(spark, sf_dir))
     d = G.detail(G.roll_up(occ), occ)
     rows = F.col("occurrence_list")
     total = F.aggregate(rows, F.lit(0).cast("long"), lambda a, o: a + o["detection_score"])
@@ -145,13 +151,13 @@ sup AS (SELECT dec.* REPLACE (CASE WHEN suppressed_by IS NOT NULL THEN 'suppress
 
 @query(f"{SUPPRESSED} SELECT {KEY}, status, suppressed_by FROM sup")
 def d19_j6_suppressed(spark, sf_dir):
-    dec = decided(spark, sf_dir)
+    dec = stored_decisions(spark, sf_dir)
     return tidy(G.suppress(dec, suppressions(spark, dec), NOW).select(*W.KEYS, "status", "suppressed_by"))
 
 
 @query(f"{SUPPRESSED} SELECT dataset_kind, user_id, host_id, count(*) AS examined, count(*) AS evaluated, 0::BIGINT AS skipped, count(*) FILTER (WHERE status = 'finding') AS findings, count(*) FILTER (WHERE status = 'suppressed') AS suppressed, max(detection_score) AS max_score FROM sup GROUP BY ALL")
 def a17_run_counters(spark, sf_dir):
-    dec = decided(spark, sf_dir)
+    dec = stored_decisions(spark, sf_dir)
     return D.run_counters(G.suppress(dec, suppressions(spark, dec), NOW))
 
 
@@ -159,7 +165,7 @@ def a17_run_counters(spark, sf_dir):
 SELECT dataset_kind AS parent, sum(examined)::BIGINT AS examined, sum(findings)::BIGINT AS findings, count(*) AS children,
   CASE WHEN bool_or(user_id = 'user-7') THEN 'failed' WHEN bool_or(user_id = 'user-2') THEN 'partial' ELSE 'completed' END AS run_status FROM r GROUP BY ALL""")
 def a18_run_rollup(spark, sf_dir):
-    dec = decided(spark, sf_dir)
+    dec = stored_decisions(spark, sf_dir)
     runs = D.run_counters(G.suppress(dec, suppressions(spark, dec), NOW))
     status = F.when(F.col("user_id") == "user-7", "failed").when(F.col("user_id") == "user-2", "partial").otherwise("completed")
     return D.run_rollup(runs.withColumn("parent", F.col("dataset_kind")).withColumn("run_status", status))
@@ -243,8 +249,8 @@ def d21_suppression_requests(spark, sf_dir):
     return G.check_requests(r, fixed, list(D.DEFAULT_POLICY), NOW).select("request_id", "refused")
 
 
-@query("""WITH l AS (SELECT 'scope-' || (user_id % 10) AS scope, 'policy-' || (event_id % 7) AS policy_id, ts AS at, event_id FROM events WHERE event_id % 40 = 0)
-SELECT scope, policy_id, at, lag(policy_id) OVER (PARTITION BY scope ORDER BY at, policy_id) AS previous, row_number() OVER (PARTITION BY scope ORDER BY at DESC, policy_id DESC) = 1 AS active FROM l""")
+@query("""WITH l AS (SELECT 'scope-' || (user_id % 10) AS scope, 'policy-' || (event_id % 7) AS policy_id, ts AS "at", event_id FROM events WHERE event_id % 40 = 0)
+SELECT scope, policy_id, "at", lag(policy_id) OVER (PARTITION BY scope ORDER BY "at", policy_id) AS previous, row_number() OVER (PARTITION BY scope ORDER BY "at" DESC, policy_id DESC) = 1 AS active FROM l""")
 def d27_activation(spark, sf_dir):
     from loomwatch.sources.telemetry import read_events
 

@@ -108,8 +108,8 @@ def observations_sql(minutes: int = 60) -> str:
     return f"""
 obs AS (SELECT event_id AS observation_id, dataset_kind, user_id, host_id, source AS collector, ts AS observed_at,
   (1800 + 900 * (event_id % 4))::INT AS interval_seconds, event_id % 9 <> 0 AS successful FROM tel),
-touch AS (SELECT dataset_kind, user_id, host_id, collector, epoch_us(observed_at) AS b, epoch_us(observed_at) + interval_seconds * 1000000 AS f,
-  unnest(generate_series(epoch_us(observed_at) // {minutes * 60_000_000}, (epoch_us(observed_at) + interval_seconds * 1000000 - 1) // {minutes * 60_000_000})) AS w
+touch AS (SELECT dataset_kind, user_id, host_id, collector, epoch_us(observed_at) AS b, epoch_us(observed_at) + interval_seconds::BIGINT * 1000000 AS f,
+  unnest(generate_series(epoch_us(observed_at) // {minutes * 60_000_000}, (epoch_us(observed_at) + interval_seconds::BIGINT * 1000000 - 1) // {minutes * 60_000_000})) AS w
   FROM obs WHERE successful),
 cov AS (SELECT dataset_kind, user_id, host_id, make_timestamp(w * {minutes * 60_000_000}) AS window_start, collector,
   round(least(1.0::DOUBLE, sum(least(f, (w + 1) * {minutes * 60_000_000}) - greatest(b, w * {minutes * 60_000_000})) / {minutes * 60_000_000}.0::DOUBLE), 4) AS coverage
