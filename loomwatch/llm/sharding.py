@@ -130,7 +130,9 @@ def place(records: DataFrame, owner: list[int], counts: dict[int, int]) -> DataF
     for slot, shard in enumerate(owner):
         start[slot] = filled.get(shard, 0)
         filled[shard] = start[slot] + counts.get(slot, 0)
-    shard_of, start_of = F.array(*map(F.lit, owner)), F.array(*[F.lit(x).cast("long") for x in start])
+    # One text literal for each list, folded to an array before the query runs.
+    shard_of = F.split(F.lit(",".join(map(str, owner))), ",").cast("array<int>")
+    start_of = F.split(F.lit(",".join(map(str, start))), ",").cast("array<long>")
     inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return records.withColumn("_n", F.row_number().over(inside) - 1).select(
         *records.columns,
