@@ -11,8 +11,8 @@ Copies: documents with equal sets are one class, met by an aggregate, and never
 Hot buckets: a bucket of n classes gives n - 1 pairs, each with its smallest class; confirmed
 pairs are joined into components. Only then, and only in buckets that still hold several
 components, are the pairs between components compared: in small buckets by an equi-join, in
-large ones tile by tile with numpy over the sketches, so that no pair of a bucket goes
-unexamined and no pairs within a component are made.
+large ones tile by tile with numpy, first over the sketches and then over the full sets, so that
+no pair of a bucket goes unexamined and a tile returns no more links than it has components.
 
 A pair of similarity s shares no band with probability (1 - s^4)^32: 5e-6 at 0.75, 5e-8 at 0.8.
 
@@ -35,8 +35,8 @@ from loomwatch.session import materialize
 BANDS, ROWS, BITS, WIDTH, PERCENT = 32, 4, 1024, 5, 75
 #: Five standard errors of the estimate from 128 samples at the threshold.
 MARGIN = 0.22
-#: Buckets up to this size are joined, larger ones compared in tiles of this side.
-TILE = 64
+#: Buckets up to SMALL rows are joined; larger ones are compared in tiles of TILE by TILE rows.
+SMALL, TILE = 16, 256
 MEMO_WORDS = 500_000
 
 _RNG = np.random.RandomState(20240229)
@@ -175,26 +175,80 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     return both.where(100 * common >= PERCENT * (F.size("xa") + F.size("xb") - common)).select("a", "b")
 
 
-def _tile_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of different components in large buckets, by sketches, a tile of the bucket at a time."""
+def common_counts(sets: list[np.ndarray], others: list[np.ndarray], chunk: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every set with every other set.
+
+    Shingles become columns of two 0/1 matrices, a chunk of columns at a time; their product counts.
+    """
+    lengths = [len(x) for x in (*sets, *others)]
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    _, column = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(others)), dtype=np.float64)
+    last = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, last, chunk):
+        lo, hi = np.searchsorted(column, [first, first + chunk])
+        part = np.zeros((len(lengths), min(chunk, last - first)), dtype=np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        total += part[: len(sets)] @ part[len(sets) :].T
+    return total.astype(np.int64)
+
+
+def tile_edges(reps: tuple, components: tuple, sketches: tuple, sets: tuple, same: bool) -> list[tuple[int, int]]:
+    """Links between different components of two blocks (each argument holds both blocks' values).
+
+    Sketches choose the pairs, the full sets decide; of links that join the same components only
+    enough to join them are kept.
+    """
+    near = np.stack([np.bitwise_count(row ^ sketches[1]).sum(axis=1) <= MOST_BITS for row in sketches[0]])
+    near &= components[0][:, None] != components[1][None, :]
+    if same:
+        near &= np.triu(np.ones(near.shape, dtype=bool), 1)
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return []
+    left, right = [sets[0][i] for i in rows], [sets[1][i] for i in columns]
+    common = common_counts(left, right)
+    union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - common
+    linked = near[np.ix_(rows, columns)] & (100 * common >= PERCENT * union)
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
+    edges = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        i, j = rows[i], columns[j]
+        one, two = top(int(components[0][i])), top(int(components[1][j]))
+        if one != two:
+            above[max(one, two)] = min(one, two)
+            edges.append((int(reps[0][i]), int(reps[1][j])))
+    return edges
+
+
+def _tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of large buckets, two blocks of a bucket at a time."""
     blocks = F.ceil(F.col("size") / TILE).cast("int")
-    placed = members.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("blocks", blocks)
+    placed = members.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("blocks", blocks)
     # Block i takes part in the tiles (i, j), i <= j, and (j, i), j < i.
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j")))
-    dealt = placed.select("key", "rep", "component", "sketch", "blk", F.explode(tiles).alias("t")).select("key", "t.i", "t.j", "rep", "component", "sketch", "blk")
+    dealt = placed.join(sets, "rep").select("key", "rep", "component", "sketch", "shingles", "blk", F.explode(tiles).alias("t"))
+    dealt = dealt.select("key", "t.i", "t.j", "rep", "component", "sketch", "shingles", "blk")
 
     def compare(key, pdf):
         import pandas as pd
 
-        one, two = pdf[pdf.blk == key[1]], pdf[pdf.blk == key[2]]
-        x, y = (np.stack(p.sketch.to_numpy()).view(np.uint64) if len(p) else np.zeros((0, BITS // 64), np.uint64) for p in (one, two))
-        found: dict[tuple[int, int], None] = {}
-        for i in range(len(one)):
-            near = np.bitwise_count(x[i] ^ y).sum(axis=1) <= MOST_BITS
-            near &= two.component.to_numpy() != one.component.iloc[i]
-            a = int(one.rep.iloc[i])
-            found |= {(min(a, int(b)), max(a, int(b))): None for b in two.rep.to_numpy()[near]}
-        return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+        parts = [pdf[pdf.blk == key[1]], pdf[pdf.blk == key[2]]]
+        found = []
+        if len(parts[0]) and len(parts[1]):
+            found = tile_edges(
+                tuple(p.rep.to_numpy() for p in parts), tuple(p.component.to_numpy() for p in parts),
+                tuple(np.stack(p.sketch.to_numpy()).view(np.uint64) for p in parts), tuple(list(p.shingles) for p in parts), key[1] == key[2],
+            )
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
@@ -221,13 +275,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = None
     else:
         members = placed.join(mixed, "key")
-        small = members.where(F.col("size") <= TILE).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
+        small = members.where(F.col("size") <= SMALL).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
         other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
-        pairs = small.join(other, "key").where("a < b and ca <> cb").select("a", "b")
-        large = members.where(F.col("size") > TILE).select("key", "rep", "component").join(classes.select("rep", "sketch"), "rep")
-        pairs = pairs.union(_tile_pairs(large, mixed.where(F.col("size") > TILE)))
-        pairs = pairs.distinct().join(stars, ["a", "b"], "left_anti")
-        rest = materialize(_confirmed(pairs, classes, docs, id_col, text_col), "rest-edges")
+        pairs = small.join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+        large = members.where(F.col("size") > SMALL).select("key", "size", "rep", "component").join(classes.select("rep", "sketch"), "rep")
+        wanted = classes.select("rep", "tk").join(large.select("rep").distinct(), "rep", "left_semi")
+        sets = materialize(full_sets(docs, wanted, id_col, text_col), "bucket-sets")
+        few = _confirmed(pairs, classes, docs, id_col, text_col)
+        rest = materialize(few.union(_tile_links(large, sets)), "rest-edges")
     if rest is not None and not rest.isEmpty():
         labels = connected_components(edges.union(rest))
     named = classes.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", own.alias("component"))

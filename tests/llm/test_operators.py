@@ -319,3 +319,33 @@ def test_pipeline_stages(spark):
     components, _ = brute_components([texts[i] for i in sorted(texts)])
     assert components == list(range(1, len(texts) + 1))
     assert docs.where(F.col("text").isNull()).count() >= 0
+
+
+def test_minhash_links_chains_inside_one_large_bucket(spark):
+    """A hot group: chains of edits that only neighbours in the chain link, against brute force."""
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for chain in range(3):
+        words = [*base[:60], *(f"c{chain}x{i}" for i in range(60))]
+        for step in range(40):
+            words = list(words)
+            words[60 + step] = f"e{chain}x{step}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(minhash.shingle_set(t).tolist()) for t in texts]
+    above = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                low, high = sorted((above[i], above[j]))
+                above = [low if x == high else x for x in above]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(above))
+
+
+def test_minhash_common_counts():
+    rng = np.random.RandomState(1)
+    one, two = ([np.unique(rng.randint(0, 50, n)).astype(np.int64) for n in sizes] for sizes in ((5, 30, 1), (40, 12)))
+    want = [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    assert minhash.common_counts(one, two, chunk=7).tolist() == want
