@@ -19,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with an equal or nearly equal earlier line go; so do documents that lose all they had."""
-    out = line_dedup.dedup_lines(docs)
+    """Lines with an equal earlier line of any length go, and those of 20 characters or more with
+    a nearly equal one; so do documents that lose all they had."""
+    out = line_dedup.dedup_lines(docs, exact_chars=1)
     emptied = (F.col("lines_dropped") > 0) & (F.trim("text") == "")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 

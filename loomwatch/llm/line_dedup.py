@@ -2,7 +2,9 @@
 
 A line goes if a line that comes earlier, in the order (doc_id, line number), lies within one
 character edit of it; equal lines are the case of no edit. Lines are compared after trimming
-spaces. Lines shorter than ``min_chars`` characters stay and are compared with nothing.
+spaces. Lines shorter than ``min_chars`` characters have no near match, and only equal ones of at
+least ``exact_chars`` go; ``exact_chars`` is ``min_chars`` unless given. Shorter lines stay and are
+compared with nothing, as do empty ones.
 
 Two lines lie within one edit exactly if they share a deletion variant: with equal lengths, the
 same text after removing the character at the same place; with lengths one apart, the shorter
@@ -154,25 +156,29 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("_t", "_wt", 1).between(0, 1)).select("_h", "_g").distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, exact_chars: int | None = None
+) -> DataFrame:
     """(_id, _tk, _lines): for each document that loses lines, the numbers of those lines."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = _occurrences(docs, id_col, text_col, min_chars)
+    lines = _occurrences(docs, id_col, text_col, min_chars if exact_chars is None else max(1, min(exact_chars, min_chars)))
     firsts = lines.groupBy("_h", "_g").agg(F.min("_ord").alias("first"), F.max("_ord").alias("last"))
     copied = firsts.where(F.col("first") < F.col("last")).select("_h", "_g", "first", F.lit(False).alias("near"))
     rules = copied
     if max_edits:
-        near = materialize(near_lines(lines), "line-near")
+        near = materialize(near_lines(lines.where(F.col("_n") >= min_chars)), "line-near")
         rules = copied.unionByName(near.select("_h", "_g", F.lit(None).cast(copied.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
     rules = rules.groupBy("_h", "_g").agg(F.min("first").alias("first"), F.max("near").alias("near"))
     gone = lines.select("_id", "_tk", "_ord", "_h", "_g").join(rules, ["_h", "_g"]).where(F.col("near") | (F.col("first") < F.col("_ord")))
     return gone.groupBy("_id", "_tk").agg(F.collect_set("_ord.n").alias("_lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, exact_chars: int | None = None
+) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and lines_total and lines_dropped (long)."""
-    gone = dropped_lines(docs, id_col, text_col, min_chars, max_edits)
+    gone = dropped_lines(docs, id_col, text_col, min_chars, max_edits, exact_chars)
     names = [c for c in docs.columns if c not in ("lines_total", "lines_dropped")]
     keyed = docs.select(*names, F.xxhash64(F.col(text_col)).alias("_dk"))
     joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["_dk"] == gone["_tk"]), "left")

@@ -72,6 +72,31 @@ def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def brute_lines_of_any_length(texts, min_chars=20):
+    """As brute_lines, but equal lines go whatever their length."""
+    seen, out = [], []
+    for text in texts:
+        kept = []
+        for line in (text or "").split("\n") if text else []:
+            key = line.strip(" ")
+            gone = key != "" and (key in seen or len(key) >= min_chars and any(len(s) >= min_chars and edits_at_most_one(key, s) for s in seen))
+            seen.append(key)
+            if not gone:
+                kept.append(line)
+        out.append("\n".join(kept) if text else text)
+    return out
+
+
+def test_short_equal_lines_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    texts = [*LINES, "\n\n short \nshor\nother", "other\nshor", "nineteen characters\nnineteen characterss\ntwenty of characters\ntwenty of character"]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, texts), DATA).collect()}
+    want = brute_lines_of_any_length(texts)
+    emptied = {i for i, t in enumerate(texts, 1) if t and t.strip(" ") and not want[i - 1].strip(" ")}
+    assert emptied and out == {i: t for i, t in enumerate(want, 1) if i not in emptied}
+
+
 # --- op2
 
 TEXTS = ["Hello, world!", "", None, "naïve café — 東京 🙂🙂", "a" * 3000, "  lead\n\n\ttabs  ", "x=1;\r\ny=2", "don't I'll 12345678"]
