@@ -7,7 +7,9 @@ exception phrases that take back the weight of the word inside. The summed weigh
 by length, goes through a logistic function.
 
 The lexicon is learned from labelled documents: terms of toxic documents that few clean ones
-have, weighted by log-odds. A term counts once per text and must stand between many different
+have, weighted by log-odds. How many toxic texts a term needs is no fixed count: it follows from
+the sample, as the count from which at most ``false_share`` of the terms taken would be so toxic by
+chance (see ``_beyond_chance``). A term counts once per text and must stand between many different
 neighbours, else a group of near copies would make all its words look toxic. Learning reads a
 sample bounded by ``sample_rows`` (the smallest hashes of doc_id); what reaches the driver is
 bounded by it and by ``max_terms``. Scoring reads every text whole, a row in and a row out.
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwatch.session import materialize
 
-SAMPLE_ROWS, MAX_TERMS, MAX_CANDIDATES = 20_000, 4_000, 200_000
+SAMPLE_ROWS, MAX_TERMS, MAX_CANDIDATES = 20_000, 4_000, 40_000
 PREFIXES = (4, 5, 6)
 
 # Letters of other scripts and the Latin letters they look like.
@@ -121,6 +123,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-
     return beta
 
 
+def _beyond_chance(rows: list, positives: int, negatives: int, false_share: float, least: int = 2) -> list:
+    """The rows (term, pos, neg; all terms of ``least`` toxic texts or more) that are too toxic for chance, at any sample size.
+
+    Among the terms that n texts have, at least ``least`` of them toxic, chance alone (each text toxic at
+    the sample's share) gives the number with c or more toxic texts. c is enough if that number is
+    at most ``false_share`` of the terms found with c or more.
+    """
+    share = positives / (positives + negatives)
+    by_size: dict[int, Counter[int]] = {}
+    for r in rows:
+        by_size.setdefault(r.pos + r.neg, Counter())[r.pos] += 1
+    enough = {}
+    for n, found in by_size.items():
+        spread = [math.exp(math.lgamma(n + 1) - math.lgamma(c + 1) - math.lgamma(n - c + 1) + c * math.log(share) + (n - c) * math.log1p(-share)) for c in range(n + 1)]
+        terms, tail, hits, known = sum(found.values()), 0.0, 0, sum(spread[least:]) or 1.0
+        for c in range(n, least - 1, -1):
+            tail, hits = tail + spread[c], hits + found[c]
+            if hits and terms * tail / known <= false_share * hits:
+                enough[n] = c
+    return [r for r in rows if r.pos >= enough.get(r.pos + r.neg, math.inf)]
+
+
 def _choose(rows: list, positives: int, negatives: int, precision: float, max_terms: int) -> list[tuple[str, float]]:
     """Shortest sufficient terms with their log-odds; a term that begins with a chosen one adds nothing."""
     good = {}
@@ -139,7 +163,7 @@ def _choose(rows: list, positives: int, negatives: int, precision: float, max_te
 
 def learn(
     docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, min_docs: int = 8, precision: float = 0.85, exceptions: tuple[str, ...] = EXCEPTIONS,
+    sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, false_share: float = 0.25, precision: float = 0.85, exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """A model from the labelled rows for which ``usable`` (over the id column) holds."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -170,8 +194,11 @@ def learn(
 
     seen = texts.where("y = 1").select("t").mapInArrow(contexts, "term string, context string")
     seen = seen.groupBy("term").agg(F.count("*").alias("pos"), F.count_distinct("context").alias("varied"))
-    seen = seen.where((F.col("pos") >= min_docs) & (F.col("varied") * 2 >= F.col("pos")))
+    seen = seen.where((F.col("pos") >= 2) & (F.col("varied") * 2 >= F.col("pos")))
     candidates = {r.term: r.pos for r in seen.orderBy(F.desc("pos"), "term").limit(MAX_CANDIDATES).collect()}  # of a bounded sample
+    # Terms of as many texts as the last one are not all here; they are the first that chance explains.
+    least = min(candidates.values()) + 1 if len(candidates) == MAX_CANDIDATES else 2
+    candidates = {t: n for t, n in candidates.items() if n >= least}
 
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
@@ -190,7 +217,8 @@ def learn(
         def __init__(self, term):
             self.term, self.pos, self.neg = term, candidates[term], negs.get(term, 0)
 
-    weights = dict(_choose([Row(t) for t in candidates], positives, negatives, precision, max_terms))
+    toxic = _beyond_chance([Row(t) for t in candidates], positives, negatives, false_share, least)
+    weights = dict(_choose(toxic, positives, negatives, precision, max_terms))
     for phrase in exceptions:
         folded = fold(phrase)
         inside = sum(w for t, w in weights.items() if t in folded)
@@ -204,7 +232,7 @@ def learn(
 
     rows = texts.select("y", measured("t").alias("x")).collect()  # sample_rows rows of three numbers
     beta = _logistic(np.array([r.x for r in rows]), np.array([float(r.y == 1) for r in rows]))
-    return Model(plain.weights, float(beta[0]), (float(beta[1]), float(beta[2])), {"positives": positives, "negatives": negatives})
+    return Model(plain.weights, float(beta[0]), (float(beta[1]), float(beta[2])), {"positives": positives, "negatives": negatives, "candidates": len(candidates), "least": least})
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:

@@ -315,6 +315,21 @@ def test_no_labels(spark):
     assert all(r.toxicity < 0.01 for r in toxicity.score_texts(docs, model).collect())
 
 
+@needs_data
+def test_few_labels_are_enough(spark):
+    """sf0.001 has six toxic texts to learn from: a lexicon comes of them, and the first stage rejects by it."""
+    import corpus_pipeline
+
+    docs = queries.table(spark, DATA, "documents")
+    terms = {t for t, w in queries.toxicity_model(spark, docs.select("doc_id", "text"), DATA).weights if w > 0}
+    assert {" scum ", " disg", " moro"} <= terms
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, DATA).select("doc_id").collect()}
+    labels = {r.doc_id: r.toxic for r in queries.table(spark, DATA, "labels").where("toxic is not null").collect()}
+    toxic, clean = ({i for i, y in labels.items() if y == side} for side in (1, 0))
+    assert len(toxic - kept) >= 0.5 * len(toxic)
+    assert len(clean - kept) <= 0.05 * len(clean)
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
