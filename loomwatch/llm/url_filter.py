@@ -3,8 +3,10 @@
 A rule names a host and a path prefix; the longest rule that fits decides. Where none fits, the
 host's own standing decides: personalised PageRank walks from trusted hosts along links, and
 distrust walks from blocked hosts against them (who links to a blocked host shares its distrust).
-Both run at once over one edge table, one join and one aggregate an iteration; a host is blocked
-if its distrust is over ``threshold`` times the sum of both.
+Both run at once over one edge table, one join and one aggregate an iteration, until no host changes
+by ``tolerance``. Trust and distrust are in pages, and so are comparable with a host's size: each of
+its pages without a rule counts ``neutral`` of a seed page for neither side, and a host is blocked
+if its distrust is over ``threshold`` times the sum of all three.
 
 Edges between hosts come from absolute and protocol-relative links in the pages. A host and the
 host above it (one label less, of three labels at least) are edges of weight ``kin`` both ways,
@@ -58,19 +60,14 @@ def host_edges(pages: DataFrame, kin: float = 0.5) -> DataFrame:
     return linked.unionByName(kindred).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 8, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, cut_every: int = 4) -> DataFrame:
     """(host, trust, distrust) after the walks; ``seeds`` has (host, trust, distrust).
 
     Trust follows edges, its share divided among a host's outgoing weight; distrust goes the
-    other way, divided among the incoming weight. Each seed vector sums to one. The lineage is
-    cut every ``cut_every`` iterations.
+    other way, divided among the incoming weight. Both are in the unit of the seeds. The walks end
+    when the largest change of a host is under ``tolerance``, looked at every ``cut_every``
+    iterations, where the lineage is cut; as each step is ``damping`` of the one before, they do end.
     """
-    total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
-    start = seeds.crossJoin(F.broadcast(total)).select(  # the right side is one row
-        "host",
-        F.coalesce(F.try_divide("trust", "t"), F.lit(0.0)).alias("st"),
-        F.coalesce(F.try_divide("distrust", "d"), F.lit(0.0)).alias("sd"),
-    )
     # Each edge is stored for both walks, keyed by the host that gives.
     forward = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("w").alias("wt"), F.lit(0.0).alias("wd"))
     backward = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), F.col("w").alias("wd"))
@@ -80,22 +77,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
         "host", "to", F.coalesce(F.try_divide("wt", "ot"), F.lit(0.0)).alias("pt"), F.coalesce(F.try_divide("wd", "od"), F.lit(0.0)).alias("pd")
     )
     shares = materialize(shares, "host-shares")
-    start = materialize(start, "host-seeds")
-    rank = start.select("host", F.col("st").alias("trust"), F.col("sd").alias("distrust"))
-    for i in range(iterations):
-        given = shares.join(rank, "host").select(
-            F.col("to").alias("host"), (F.col("trust") * F.col("pt") * damping).alias("trust"), (F.col("distrust") * F.col("pd") * damping).alias("distrust")
-        )
-        seeded = start.select("host", (F.col("st") * (1 - damping)).alias("trust"), (F.col("sd") * (1 - damping)).alias("distrust"))
-        rank = given.unionByName(seeded).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if (i + 1) % cut_every == 0 and i + 1 < iterations:
-            rank = materialize(rank, f"host-rank-{i + 1}")
-    return rank
+    trust, distrust = F.col("trust") * (1 - damping), F.col("distrust") * (1 - damping)
+    rank = seeds.select("host", trust.alias("trust"), distrust.alias("distrust"), trust.alias("dt"), distrust.alias("dd"))
+    rank = materialize(rank, "host-seeds")
+    while True:
+        for _ in range(cut_every):
+            step = shares.join(rank.where("dt > 0 or dd > 0"), "host").select(
+                F.col("to").alias("host"), (F.col("dt") * F.col("pt") * damping).alias("dt"), (F.col("dd") * F.col("pd") * damping).alias("dd")
+            )
+            step = step.select("host", F.col("dt").alias("trust"), F.col("dd").alias("distrust"), "dt", "dd")
+            held = rank.select("host", "trust", "distrust", F.lit(0.0).alias("dt"), F.lit(0.0).alias("dd"))
+            rank = held.unionByName(step).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "dt", "dd")])
+        rank = materialize(rank, "host-rank")
+        change = rank.agg(F.max(F.greatest("dt", "dd"))).first()[0]
+        if change is None or change < tolerance:
+            return rank.select("host", "trust", "distrust")
 
 
 def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", html_col: str = "html",
-    threshold: float = 0.5, damping: float = 0.85, iterations: int = 8, kin: float = 0.5,
+    threshold: float = 0.5, damping: float = 0.85, tolerance: float = 1e-3, kin: float = 0.5, neutral: float = 0.5,
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict, trust and distrust.
 
@@ -108,14 +109,19 @@ def judge_urls(
     judged = judged.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     slim = judged.select("host", F.col(html_col).alias("html"), "_r")
     edges = host_edges(slim, kin)
-    seeds = slim.where("_r is not null and host <> ''").groupBy("host").agg(
-        F.sum(F.when(F.col("_r.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("_r.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"),
+    verdict = F.col("_r.verdict")
+    hosts = slim.where("host <> ''").groupBy("host").agg(
+        F.sum(F.when(verdict == "allow", 1.0).otherwise(0.0)).alias("trust"),
+        F.sum(F.when(verdict == "block", 1.0).otherwise(0.0)).alias("distrust"),
+        F.sum(F.when(F.col("_r").isNull(), 1.0).otherwise(0.0)).alias("open"),
     )
-    rank = propagate(edges, seeds, damping, iterations)
+    hosts = materialize(hosts, "host-pages")
+    rank = propagate(edges, hosts.where("trust + distrust > 0").select("host", "trust", "distrust"), damping, tolerance)
+    # A page without a rule weighs against the seeds as they count in a walk, damped alike.
+    rank = hosts.select("host", (F.col("open") * neutral * (1 - damping)).alias("_neutral")).join(rank, "host", "left")
     standing = judged.join(rank, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when(distrust > threshold * (trust + distrust), "block").otherwise("allow")
+    own = F.when(distrust > threshold * (trust + distrust + F.coalesce("_neutral", F.lit(0.0))), "block").otherwise("allow")
     return standing.select(
         *names, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), own).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"),

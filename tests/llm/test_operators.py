@@ -173,6 +173,24 @@ def test_distrust_walks_against_links(spark):
     assert {r.page_id: r.verdict for r in out.collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_little_distrust_blocks_no_large_host(spark):
+    links = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    rows = [("http://big.example.com/de/", ""), *[(f"http://big.example.com/{i}", "") for i in range(40)]]
+    rows += [("http://most.example.com/x", ""), *[(f"http://most.example.com/de/{i}", "") for i in range(40)]]
+    rows += [("http://bad.net/", ""), ("http://large.io/", links("bad.net")), *[(f"http://large.io/{i}", "") for i in range(40)]]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    out = url_filter.judge_urls(pages, queries.URL_RULES).where("rule is null").select("host", "verdict").distinct().collect()
+    assert {r.host: r.verdict for r in out} == {"big.example.com": "allow", "most.example.com": "block", "large.io": "allow"}
+
+
+def test_distrust_walks_until_it_settles(spark):
+    """Twelve hops from a blocked host of many pages."""
+    rows = [(0, f"http://h0.net/{i}", "") for i in range(60)]
+    rows += [(i, f"http://h{i}.io/", f'<a href="http://h{i - 1}.{"net" if i == 1 else "io"}/">') for i in range(1, 13)]
+    out = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES)
+    assert {r.verdict for r in out.collect()} == {"block"}
+
+
 # --- op5
 
 
