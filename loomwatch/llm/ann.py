@@ -10,7 +10,8 @@ are merged by exact distance in double precision.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components are
 neither queries nor candidates; only vectors of equal length are compared; a query's own id is no
-candidate; ties go to the smaller id; a query id that comes more than once is asked once, with
+candidate; ties go to the smaller id; repeated candidate rows count once, and an id with several
+vectors is found by its nearest; a query id that comes more than once is asked once, with
 the vector of the smallest hash.
 """
 
@@ -144,8 +145,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """
     good = usable(vectors, id_col, vector_col)
     smallest = Window.partitionBy("h", "g").orderBy("vec_id")
-    few = good.withColumn("rn", F.row_number().over(smallest)).where(F.col("rn") <= k + 1)
-    nodes = few.groupBy("h", "g").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"), F.first("dim").alias("dim"))
+    few = good.withColumn("rn", F.dense_rank().over(smallest)).where(F.col("rn") <= k + 1)
+    nodes = few.groupBy("h", "g").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     nodes = materialize(nodes, "ann-nodes")
     shards = max(1, -(-nodes.count() // shard_nodes))
     dealt = nodes.select("dim", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "ids", "v")
@@ -186,7 +187,10 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
             for q, x, near in zip(qs.query_id.to_numpy(), asked_v, np.concatenate(found), strict=True):
                 near = near[near >= 0]
                 d = np.sqrt(((exact[near] - x) ** 2).sum(axis=1))
-                rows = sorted((float(a), int(v)) for a, n in zip(d, near, strict=True) for v in ids[n] if v != q)[:k]
+                nearest_of: dict[int, float] = {}
+                for a, v in sorted((float(a), int(v)) for a, n in zip(d, near, strict=True) for v in ids[n] if v != q):
+                    nearest_of.setdefault(v, a)
+                rows = [(a, v) for v, a in nearest_of.items()][:k]
                 out["query_id"] += [int(q)] * len(rows)
                 out["vec_id"] += [v for _, v in rows]
                 out["score"] += [a for a, _ in rows]

@@ -281,6 +281,13 @@ def test_nearest_of_odd_vectors(spark):
     assert {r.query_id for r in found} == {1, 2, 3, 8}
 
 
+def test_repeated_rows_take_one_place(spark):
+    rows = [(1, [1.0, 0.0])] * 20 + [(i, [1.0, 0.0]) for i in range(2, 14)] + [(2, [1.0, 0.1]), (99, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(table, table.where("vec_id = 99")).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(i, i, 0.0) for i in range(1, 11)]
+
+
 @needs_data
 def test_recall(spark):
     rows = [r for r in queries.table(spark, DATA, "embeddings").select("vec_id", "embedding").collect() if r.embedding]
