@@ -7,19 +7,21 @@ pattern, each match is encoded on its own, and a match that is itself in the voc
 one id. Decoding maps ids back to bytes.
 
 The model is about a megabyte; its file is read on the driver and broadcast, after a check of
-its size. Workers remember encoded matches up to a bounded number of characters. Each document is
-one row in and one row out: nothing is shuffled.
+its size. Workers remember the ids of up to ``MEMO`` matches, and whole batches are written and
+read as flat numbers. Each document is one row in and one row out: nothing is shuffled.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; null ids decode to no
-bytes; an id outside the vocabulary fails with its value; input columns named like an added one
-are replaced.
+bytes; an id outside the vocabulary fails with its value; a match of any length (a word of a
+million letters) is encoded whole and not remembered; repeated rows come back alike; an empty
+table stays empty; input columns named like an added one are replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 #: A rank file larger than this is no vocabulary and isn't broadcast.
 MAX_VOCABULARY_BYTES = 64_000_000
-#: Characters of remembered matches in a worker.
-MEMO_CHARS = 8_000_000
+#: Remembered matches in a worker, of up to ``MEMO_LENGTH`` characters: some 60 MB at most.
+MEMO, MEMO_LENGTH = 200_000, 64
+#: Texts whose matches are looked up together.
+TEXTS = 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -93,7 +97,7 @@ def serialize_model(pieces: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Encodes texts with a serialised model; remembers the ids of matches."""
+    """Encodes texts with a serialised model; remembers the ids of matches, as int32 bytes."""
 
     def __init__(self, model: bytes, pattern: str):
         import regex
@@ -101,25 +105,32 @@ class Encoder:
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.find = regex.compile(pattern).findall
-        self.letters = [c for _, c in sorted(byte_characters().items())]
-        self.memo: dict[str, list[int]] = {}
-        self.chars = 0
+        self.letters = byte_characters()
+        self.memo: dict[str, bytes] = {}
         self.size = self.pieces.get_piece_size() - 1
 
-    def encode(self, text: str | None) -> list[int]:
-        matches = self.find(text) if text else []
+    def _coded(self, matches: list[str]) -> Iterable[tuple[str, bytes]]:
+        mapped = [m.encode().decode("latin-1").translate(self.letters) for m in matches]
+        wholes = self.pieces.piece_to_id(mapped) if mapped else []
+        for m, whole, ids in zip(matches, wholes, self.pieces.encode(mapped, num_threads=1), strict=True):
+            yield m, array("i", (whole,) if whole < self.size else ids).tobytes()
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text, as int32 bytes."""
+        matches = [self.find(t) if t else [] for t in texts]
         memo = self.memo
-        if new := [m for m in dict.fromkeys(matches) if m not in memo]:
-            self.chars += sum(map(len, new))
-            if self.chars > MEMO_CHARS:
-                memo.clear()
-                new = list(dict.fromkeys(matches))
-                self.chars = sum(map(len, new))
-            mapped = ["".join(map(self.letters.__getitem__, m.encode())) for m in new]
-            for m, piece, ids in zip(new, mapped, self.pieces.encode(mapped, num_threads=1), strict=True):
-                whole = self.pieces.piece_to_id(piece)
-                memo[m] = [whole] if whole < self.size else ids
-        return list(chain.from_iterable(map(memo.__getitem__, matches)))
+        new = set().union(*matches).difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = set().union(*matches)
+        memo.update(self._coded(list(new)))
+        out = [b"".join(map(memo.__getitem__, m)) for m in matches]
+        for m in new if len(new) > MEMO else [m for m in new if len(m) > MEMO_LENGTH]:
+            del memo[m]
+        return out
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_all([text])[0], dtype=np.int32).tolist()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -139,10 +150,11 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _encoder(shared.value, pattern)
-        parts = [np.array(encoder.encode(t.as_py()), dtype=np.int32) for t in texts]
-        offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-        values = np.concatenate(parts) if parts else np.array([], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+        parts: list[bytes] = []
+        for start in range(0, len(texts), TEXTS):
+            parts += encoder.encode_all(texts[start : start + TEXTS].to_pylist())
+        offsets = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
 
     return docs.withColumn(ids_col, encode(F.col(text_col)))
 
@@ -154,12 +166,13 @@ def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", byt
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         pieces = shared.value
+        numbers, starts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
         out = []
-        for row in ids:
-            numbers = row.values.to_pylist() if row.is_valid else []
-            if numbers and not 0 <= min(numbers) <= max(numbers) < len(pieces):
-                raise ValueError(f"ids from {min(numbers)} to {max(numbers)}; the vocabulary has {len(pieces)}")
-            out.append(b"".join(map(pieces.__getitem__, numbers)))
+        for i, valid in enumerate(ids.is_valid().to_pylist()):
+            row = numbers[starts[i] : starts[i + 1]] if valid else numbers[:0]
+            if len(row) and not 0 <= row.min() <= row.max() < len(pieces):
+                raise ValueError(f"ids from {row.min()} to {row.max()}; the vocabulary has {len(pieces)}")
+            out.append(b"".join(map(pieces.__getitem__, row.tolist())))
         return pa.array(out, pa.binary())
 
     return docs.withColumn(bytes_col, decode(F.col(ids_col)))
