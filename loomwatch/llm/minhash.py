@@ -16,9 +16,14 @@ no pair of a bucket goes unexamined and a tile returns no more links than it has
 
 A pair of similarity s shares no band with probability (1 - s^4)^32: 5e-6 at 0.75, 5e-8 at 0.8.
 
+Both bounds are chances, set so low that brute force finds no difference on the test tables: the
+bands' and the sketch margin's (five standard errors: under 1e-6 a pair).
+
 Defined cases: a text without words (null, empty) has an empty set, its own component and is
 kept; a null doc_id has a null component and is kept; rows with equal doc_id and text come back
-alike; rows with one doc_id and different texts are linked through that id.
+alike; rows with one doc_id and different texts are linked through that id; a text of any length is
+read whole; an empty table gives an empty table; other input columns, whatever their names, play
+no part (``keep_one_each`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -30,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwatch.llm.components import connected_components
+from loomwatch.llm.names import col, fresh
 from loomwatch.session import materialize
 
 BANDS, ROWS, BITS, WIDTH, PERCENT = 32, 4, 1024, 5, 75
 #: Five standard errors of the estimate from 128 samples at the threshold.
 MARGIN = 0.22
-#: Buckets up to SMALL rows are joined; larger ones are compared in tiles of TILE by TILE rows.
-SMALL, TILE = 16, 256
-MEMO_WORDS = 500_000
+#: Buckets up to SMALL rows are joined; larger ones are compared in tiles of about TILE by TILE
+#: rows, fewer where their sets hold more than TILE_SHINGLES, so that a tile's memory is bounded.
+SMALL, TILE, TILE_SHINGLES = 16, 256, 1 << 19
 
 _RNG = np.random.RandomState(20240229)
 
@@ -54,27 +60,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    """Hashes of words, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
-
-
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
+    import xxhash
+
     words = text.encode().lower().split() if text else []
     if not words:
         return np.array([], dtype=np.uint64)
-    each = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     if len(words) < width:
         return _mix(np.array([(each * _PLACE[: len(words)]).sum() + np.uint64(len(words))], dtype=np.uint64))
     n = len(words) - width + 1
@@ -231,7 +224,7 @@ def tile_edges(reps: tuple, components: tuple, sketches: tuple, sets: tuple, sam
 
 def _tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the components of large buckets, two blocks of a bucket at a time."""
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
     placed = members.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("blocks", blocks)
     # Block i takes part in the tiles (i, j), i <= j, and (j, i), j < i.
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j")))
@@ -259,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = rows.where("n > 0 and id is not null")
     classes = full.groupBy("s1", "s2").agg(F.min(F.struct("id", "tk", "n", "bands", "sketch")).alias("c"))
     classes = materialize(classes.select("s1", "s2", F.col("c.id").alias("rep"), "c.tk", "c.n", "c.bands", "c.sketch"), "minhash-classes")
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     stars = keys.join(shared, "key").where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(stars, "star-pairs")
@@ -268,9 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets that hold several components: every pair between them that was not tried.
     own = F.coalesce("component", "rep")
-    placed = keys.join(shared.select("key"), "key", "left_semi").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", own.alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    mixed = materialize(mixed.select("key", "size"), "mixed-buckets")
+    placed = keys.join(shared.select("key"), "key", "left_semi").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", own.alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    mixed = materialize(mixed.where("lo < hi and size > 2").select("key", "size", "total"), "mixed-buckets")
     if mixed.isEmpty():
         rest = None
     else:
@@ -278,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         small = members.where(F.col("size") <= SMALL).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
         other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
         pairs = small.join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-        large = members.where(F.col("size") > SMALL).select("key", "size", "rep", "component").join(classes.select("rep", "sketch"), "rep")
+        large = members.where(F.col("size") > SMALL).select("key", "size", "total", "rep", "component").join(classes.select("rep", "sketch"), "rep")
         wanted = classes.select("rep", "tk").join(large.select("rep").distinct(), "rep", "left_semi")
         sets = materialize(full_sets(docs, wanted, id_col, text_col), "bucket-sets")
         few = _confirmed(pairs, classes, docs, id_col, text_col)
@@ -298,6 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are not kept."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select("doc_id", "tk").distinct()
-    keyed = docs.withColumn("_dk", F.xxhash64(F.col(text_col)))
-    gone = gone.select(F.col("doc_id").alias("_gid"), F.col("tk").alias("_gtk"))
-    return keyed.join(gone, (keyed[id_col] == gone["_gid"]) & (keyed["_dk"] == gone["_gtk"]), "left_anti").select(*docs.columns)
+    dk, gid, gtk = fresh(docs, "_dk", "_gid", "_gtk")
+    gone = gone.select(F.col("doc_id").alias(gid), F.col("tk").alias(gtk))
+    keyed = docs.withColumn(dk, F.xxhash64(col(text_col)))
+    return keyed.join(gone, (col(id_col) == col(gid)) & (col(dk) == col(gtk)), "left_anti").select(*map(col, docs.columns))

@@ -6,17 +6,22 @@ beginnings (a blank and a prefix) and whole words, so inflected and compound for
 exception phrases that take back the weight of the word inside. The summed weight, as it is and
 by length, goes through a logistic function.
 
+Exception phrases are a fixed list and those learned: a term's word together with the word before
+or after it, where clean texts have the pair and toxic ones hardly do.
+
 The lexicon is learned from labelled documents: terms of toxic documents that few clean ones
 have, weighted by log-odds. How many toxic texts a term needs is no fixed count: it follows from
 the sample, as the count from which at most ``false_share`` of the terms taken would be so toxic by
 chance (see ``_beyond_chance``). A term counts once per text and must stand between many different
 neighbours, else a group of near copies would make all its words look toxic. Learning reads a
-sample bounded by ``sample_rows`` (the smallest hashes of doc_id); what reaches the driver is
-bounded by it and by ``max_terms``. Scoring reads every text whole, a row in and a row out.
+sample bounded by ``sample_rows`` (the smallest hashes of doc_id) and counts all terms of it in
+Spark; what reaches the driver is the terms that pass, and three numbers a sampled text. Scoring
+reads every text whole, a row in and a row out, in time linear in its length.
 
 Defined cases: a null or empty text scores as one without matches; a document labelled more than
 once takes its largest label; without labels of both kinds every score is the share of toxic ones
-(0 without labels).
+(0 without labels); equal texts score alike, so repeated rows do; an empty table stays empty; an
+input column named like the added one is replaced, all others are returned as they are.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwatch.llm.names import col, fresh
 from loomwatch.session import materialize
 
-SAMPLE_ROWS, MAX_TERMS, MAX_CANDIDATES = 20_000, 4_000, 40_000
+SAMPLE_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 
 # Letters of other scripts and the Latin letters they look like.
@@ -48,10 +54,20 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 # Harmless phrases around words of abuse.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "scum of a pond", "pond scum")
 
-_LEET_WORD = re.compile(r"(?=\S*[^\W\d_])[\w@$!]*[^\W\d_][0-9@$!][\w@$!]*[^\W\d_]|[0-9@$][^\W\d_]{2,}")
+#: A run of word characters and signs with a digit or sign in it, taken at its start only: linear in the text.
+_MIXED = re.compile(r"(?<![\w@$!])[^\W0-9]*+[0-9@$!][\w@$!]*+")
+_LETTER = re.compile(r"[^\W\d_]")
 _GAP = re.compile(r"[^\w]+")
 
 
+def _unmask(m: re.Match) -> str:
+    """A run with its digits and signs as letters, up to its last letter, if two letters stand in it."""
+    run = m[0]
+    last = next((i for i in range(len(run) - 1, -1, -1) if _LETTER.match(run[i])), -1)
+    inner = run[: last + 1]
+    return inner.translate(LEET) + run[last + 1 :] if len(_LETTER.findall(inner)) >= 2 else run
+
+
 def fold(text: str | None) -> str:
     """Folded words, a blank before and after each."""
     if not text:
@@ -61,7 +77,7 @@ def fold(text: str | None) -> str:
         text = text.translate(LOOKALIKES).translate(HIDDEN)
         text = "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in text) if re.search("[！-～]", text) else text
     if re.search(r"[0-9@$!]", text):
-        text = _LEET_WORD.sub(lambda m: m[0].translate(LEET), text)
+        text = _MIXED.sub(_unmask, text)
     return f" {_GAP.sub(' ', text).strip()} "
 
 
@@ -80,34 +96,33 @@ class Model:
     fitted: dict = field(default_factory=dict, compare=False)
 
 
-_AUTOMATA: dict[int, tuple[Model, object]] = {}
-
-
-def _automaton(model: Model):
+def automaton_of(model: Model):
+    """The automaton of the model's terms; None without any."""
     import ahocorasick
 
-    key = hash(model)
-    if key not in _AUTOMATA or _AUTOMATA[key][0] != model:
-        auto = ahocorasick.Automaton()
-        for term, weight in model.weights:
-            auto.add_word(term, weight)
-        if model.weights:
-            auto.make_automaton()
-        _AUTOMATA[key] = (model, auto)
-    return _AUTOMATA[key][1]
+    if not model.weights:
+        return None
+    auto = ahocorasick.Automaton()
+    for term, weight in model.weights:
+        auto.add_word(term, weight)
+    auto.make_automaton()
+    return auto
 
 
-def measure(model: Model, text: str | None) -> tuple[float, float]:
+def _measure(auto, text: str | None) -> tuple[float, float]:
     """(summed weight, weight per hundred words), as logarithms of one plus."""
     folded = fold(text)
-    total = sum(w for _, w in _automaton(model).iter(folded)) if model.weights else 0.0
-    total = max(0.0, total)
+    total = max(0.0, sum(w for _, w in auto.iter(folded))) if auto else 0.0
     return math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ") - 1))
 
 
+def _chance(model: Model, measured: tuple[float, float]) -> float:
+    x = model.bias + model.slopes[0] * measured[0] + model.slopes[1] * measured[1]
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
+
+
 def score(model: Model, text: str | None) -> float:
-    a, b = measure(model, text)
-    return 1 / (1 + math.exp(-max(-50.0, min(50.0, model.bias + model.slopes[0] * a + model.slopes[1] * b))))
+    return _chance(model, _measure(automaton_of(model), text))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> np.ndarray:
@@ -123,47 +138,92 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-
     return beta
 
 
-def _beyond_chance(rows: list, positives: int, negatives: int, false_share: float, least: int = 2) -> list:
-    """The rows (term, pos, neg; all terms of ``least`` toxic texts or more) that are too toxic for chance, at any sample size.
+def _beyond_chance(found: dict[tuple[int, int], int], positives: int, negatives: int, false_share: float, least: int = 2) -> dict[int, int]:
+    """For terms of n texts, how many must be toxic to be more than chance, at any sample size.
 
-    Among the terms that n texts have, at least ``least`` of them toxic, chance alone (each text toxic at
-    the sample's share) gives the number with c or more toxic texts. c is enough if that number is
-    at most ``false_share`` of the terms found with c or more.
+    ``found`` has the number of terms for each (toxic texts, all texts), of ``least`` toxic texts or
+    more. Among the terms of n texts, chance alone (each text toxic at the sample's share) gives the
+    number with c or more toxic ones. c is enough if that number is at most ``false_share`` of the
+    terms found with c or more.
     """
     share = positives / (positives + negatives)
     by_size: dict[int, Counter[int]] = {}
-    for r in rows:
-        by_size.setdefault(r.pos + r.neg, Counter())[r.pos] += 1
+    for (pos, n), terms in found.items():
+        by_size.setdefault(n, Counter())[pos] += terms
     enough = {}
-    for n, found in by_size.items():
+    for n, counts in by_size.items():
         spread = [math.exp(math.lgamma(n + 1) - math.lgamma(c + 1) - math.lgamma(n - c + 1) + c * math.log(share) + (n - c) * math.log1p(-share)) for c in range(n + 1)]
-        terms, tail, hits, known = sum(found.values()), 0.0, 0, sum(spread[least:]) or 1.0
+        terms, tail, hits, known = sum(counts.values()), 0.0, 0, sum(spread[least:]) or 1.0
         for c in range(n, least - 1, -1):
-            tail, hits = tail + spread[c], hits + found[c]
+            tail, hits = tail + spread[c], hits + counts[c]
             if hits and terms * tail / known <= false_share * hits:
                 enough[n] = c
-    return [r for r in rows if r.pos >= enough.get(r.pos + r.neg, math.inf)]
+    return enough
 
 
-def _choose(rows: list, positives: int, negatives: int, precision: float, max_terms: int) -> list[tuple[str, float]]:
+def _choose(rows: list, positives: int, negatives: int) -> dict[str, float]:
     """Shortest sufficient terms with their log-odds; a term that begins with a chosen one adds nothing."""
-    good = {}
-    for r in rows:
-        rate_pos, rate_neg = (r.pos + 0.5) / (positives + 1), (r.neg + 0.5) / (negatives + 1)
-        if r.pos / (r.pos + r.neg) >= precision and rate_pos > 4 * rate_neg:
-            good[r.term] = (math.log(rate_pos / rate_neg), r.pos)
-    chosen: list[tuple[str, float]] = []
-    kept: set[str] = set()
-    for term in sorted(good, key=lambda t: (len(t), t)):
-        if not any(term[:n] in kept for n in range(2, len(term))):
-            kept.add(term)
-            chosen.append((term, round(good[term][0], 4)))
-    return sorted(chosen, key=lambda t: (-good[t[0]][1], t[0]))[:max_terms]
+    odds = {r.term: math.log((r.pos + 0.5) / (positives + 1) * (negatives + 1) / (r.neg + 0.5)) for r in rows}
+    chosen: dict[str, float] = {}
+    for term in sorted(odds, key=lambda t: (len(t), t)):
+        if not any(term[:n] in chosen for n in range(2, len(term))):
+            chosen[term] = round(odds[term], 4)
+    return chosen
+
+
+def _term_counts(texts: DataFrame) -> DataFrame:
+    """(term, pos, neg, varied) over ``texts`` (y, t): toxic and clean texts with the term, and its different neighbours in toxic ones."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                out: dict[str, list] = {"term": [], "y": [], "context": []}
+                for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = fold(text).split()
+                    around = [f"{a} {b}" for a, b in zip(["", *words], [*words[1:], ""], strict=False)] if y == 1 else [None] * len(words)
+                    one: dict[str, str | None] = {}
+                    for word, context in zip(words, around, strict=True):
+                        for term in terms_of(word):
+                            one.setdefault(term, context)  # one context a text is enough
+                    out["term"] += one
+                    out["y"] += [int(y == 1)] * len(one)
+                    out["context"] += one.values()
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("term", pa.string()), ("y", pa.int32()), ("context", pa.string())]))
+
+    terms = texts.select("y", "t").mapInArrow(rows, "term string, y int, context string")
+    toxic = terms.where("y = 1").groupBy("term").agg(F.count("*").alias("pos"), F.count_distinct("context").alias("varied"))
+    toxic = materialize(toxic.where("pos >= 2 and varied * 2 >= pos"), "toxic-terms")
+    clean = terms.where("y = 0").select("term").groupBy("term").agg(F.count("*").alias("neg"))
+    return toxic.join(clean, "term", "left").select("term", "pos", F.coalesce("neg", F.lit(0)).alias("neg"), "varied")
+
+
+def _learned_exceptions(texts: DataFrame, weights: dict[str, float], precision: float, least: int = 3) -> list[str]:
+    """Pairs of words around a term that ``least`` clean texts or more have, and toxic ones at most by 1 - ``precision``."""
+    plain = Model(weights=tuple(weights.items()))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton_of(plain)
+        for batch in batches:
+            out: dict[str, list] = {"phrase": [], "y": []}
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folded, found = fold(text), set()
+                if next(auto.iter(folded), None):
+                    words = folded.split()
+                    for a, b in zip(words, words[1:], strict=False):
+                        if any(t in weights for w in (a, b) for t in terms_of(w)):
+                            found.add(f" {a} {b} ")
+                out["phrase"] += found
+                out["y"] += [int(y == 1)] * len(found)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("phrase", pa.string()), ("y", pa.int32())]))
+
+    pairs = texts.select("y", "t").mapInArrow(rows, "phrase string, y int").groupBy("phrase").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    return [r.phrase for r in pairs.where((F.col("n") - F.col("pos") >= least) & (F.col("pos") <= (1 - precision) * F.col("n"))).select("phrase").collect()]
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, false_share: float = 0.25, precision: float = 0.85, exceptions: tuple[str, ...] = EXCEPTIONS,
+    sample_rows: int = SAMPLE_ROWS, false_share: float = 0.25, precision: float = 0.85, exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """A model from the labelled rows for which ``usable`` (over the id column) holds."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -180,46 +240,17 @@ def learn(
         share = min(max(positives / max(1, positives + negatives), 1e-9), 1 - 1e-9)
         return Model(bias=math.log(share / (1 - share)))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(term, context) of the toxic texts, once a text and context."""
-        for batch in batches:
-            for text in batch.column(0):
-                words = fold(text.as_py()).split()
-                around = zip(["", *words], words, [*words[1:], ""], strict=False)
-                rows = {(t, f"{a} {b}") for a, w, b in around for t in terms_of(w)}
-                by_term: dict[str, str] = {}
-                for t, c in sorted(rows):
-                    by_term.setdefault(t, c)  # one context a text is enough
-                yield pa.RecordBatch.from_pydict({"term": list(by_term), "context": list(by_term.values())})
-
-    seen = texts.where("y = 1").select("t").mapInArrow(contexts, "term string, context string")
-    seen = seen.groupBy("term").agg(F.count("*").alias("pos"), F.count_distinct("context").alias("varied"))
-    seen = seen.where((F.col("pos") >= 2) & (F.col("varied") * 2 >= F.col("pos")))
-    candidates = {r.term: r.pos for r in seen.orderBy(F.desc("pos"), "term").limit(MAX_CANDIDATES).collect()}  # of a bounded sample
-    # Terms of as many texts as the last one are not all here; they are the first that chance explains.
-    least = min(candidates.values()) + 1 if len(candidates) == MAX_CANDIDATES else 2
-    candidates = {t: n for t, n in candidates.items() if n >= least}
-
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
-
-    def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                mine = {t for w in set(fold(text.as_py()).split()) for t in terms_of(w)}
-                counts.update(mine & shared.value)
-        yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())}, pa.schema([("term", pa.string()), ("n", pa.int64())]))
-
-    clean = texts.where("y <> 1").select("t").mapInArrow(clean_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("neg"))
-    negs = {r.term: r.neg for r in clean.collect()}  # candidates at most
-
-    class Row:
-        def __init__(self, term):
-            self.term, self.pos, self.neg = term, candidates[term], negs.get(term, 0)
-
-    toxic = _beyond_chance([Row(t) for t in candidates], positives, negatives, false_share, least)
-    weights = dict(_choose(toxic, positives, negatives, precision, max_terms))
-    for phrase in exceptions:
+    terms = materialize(_term_counts(texts), "toxic-counts")
+    n = F.col("pos") + F.col("neg")
+    found = {(r.pos, r.n): r.terms for r in terms.groupBy("pos", n.alias("n")).agg(F.count("*").alias("terms")).collect()}  # pairs of counts
+    enough = _beyond_chance(found, positives, negatives, false_share)
+    toxic = []
+    if enough:  # of at most sample_rows numbers
+        needed = F.create_map(*[F.lit(x) for pair in sorted(enough.items()) for x in pair])
+        odds = (F.col("pos") + 0.5) * (negatives + 1) > 4 * (positives + 1) * (F.col("neg") + 0.5)
+        toxic = terms.where((F.col("pos") >= F.try_element_at(needed, n.cast("int"))) & (F.col("pos") >= precision * n) & odds).collect()  # those that pass
+    weights = _choose(toxic, positives, negatives)
+    for phrase in [*exceptions, *sorted(_learned_exceptions(texts, weights, precision) if weights else [])]:
         folded = fold(phrase)
         inside = sum(w for t, w in weights.items() if t in folded)
         if inside:
@@ -228,11 +259,12 @@ def learn(
 
     @F.arrow_udf("array<double>")
     def measured(column: pa.Array) -> pa.Array:
-        return pa.array([list(measure(plain, t.as_py())) for t in column], pa.list_(pa.float64()))
+        auto = automaton_of(plain)
+        return pa.array([list(_measure(auto, t.as_py())) for t in column], pa.list_(pa.float64()))
 
     rows = texts.select("y", measured("t").alias("x")).collect()  # sample_rows rows of three numbers
     beta = _logistic(np.array([r.x for r in rows]), np.array([float(r.y == 1) for r in rows]))
-    return Model(plain.weights, float(beta[0]), (float(beta[1]), float(beta[2])), {"positives": positives, "negatives": negatives, "candidates": len(candidates), "least": least})
+    return Model(plain.weights, float(beta[0]), (float(beta[1]), float(beta[2])), {"positives": positives, "negatives": negatives, "terms": len(toxic)})
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
@@ -240,11 +272,13 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col
 
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
-        return pa.array([score(model, t.as_py()) for t in column], pa.float64())
+        auto = automaton_of(model)
+        return pa.array([_chance(model, _measure(auto, t.as_py())) for t in column], pa.float64())
 
-    return docs.withColumn(score_col, scored(F.col(text_col)))
+    return docs.withColumn(score_col, scored(col(text_col)))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``."""
-    return score_texts(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    (added,) = fresh(docs, "_toxicity")
+    return score_texts(docs, model, text_col, added).where(col(added) < threshold).drop(added)
