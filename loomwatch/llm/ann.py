@@ -4,15 +4,19 @@ Equal vectors become one node that carries the smallest ids of its copies. Nodes
 shards by a hash of the vector; each shard's graph is built in one task over a bounded number of
 nodes: points are inserted in batches, a greedy beam search over the graph so far proposes
 neighbours, relaxed distance pruning (``alpha``) keeps few and diverse edges, and reverse edges
-are pruned the same way. The index (node, ids, vector, edges) is a table. Each query visits every
-shard with a beam search, in blocks of queries so that a task's memory is bounded, and the best
-are merged by exact distance in double precision.
+are pruned the same way. Searches begin at the nearest of some entry points that lie far from one
+another, so that they reach every cluster. The index (node, ids, vector, edges) is a table. Each
+query visits every shard with a beam search, in blocks of queries so that a task's memory is
+bounded, and the best are merged by exact distance in double precision.
+
+Within a graph, vectors are moved to their shard's mean and scaled, and distances are sums of
+squared differences in single precision: no large norms that cancel, no overflow.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components are
 neither queries nor candidates; only vectors of equal length are compared; a query's own id is no
 candidate; ties go to the smaller id; repeated candidate rows count once, and an id with several
 vectors is found by its nearest; a query id that comes more than once is asked once, with
-the vector of the smallest hash.
+the vector of the smallest hash; an empty table gives no rows; other input columns play no part.
 """
 
 from __future__ import annotations
@@ -23,26 +27,59 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loomwatch.session import materialize
 
-SHARD_NODES, DEGREE, BEAM, ALPHA, QUERY_BLOCK = 4096, 24, 56, 1.2, 2048
+SHARD_NODES, DEGREE, BEAM, BUILD_BEAM, ALPHA, QUERY_BLOCK = 4096, 32, 96, 64, 1.2, 8192
+#: Entry points of a graph, the queries that run together, and the most partitions asked for.
+ENTRIES, TOGETHER, MOST_PARTITIONS = 64, 128, 20_000
+
+
+def conditioned(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(points, middle, scale): points = (exact - middle) / scale in single precision.
+
+    Medians, so that a few far vectors don't press all others together. Quarters of the largest
+    doubles can be added without overflow.
+    """
+    middle = np.median(exact / 4, axis=0) * 4
+    apart = np.abs(exact / 4 - middle / 4)
+    apart = apart[apart > 0]
+    scale = float(min(np.median(apart), 4e307)) * 4 if len(apart) else 1.0
+    return moved(exact, middle, scale), middle, scale
+
 
+def moved(exact: np.ndarray, middle: np.ndarray, scale: float) -> np.ndarray:
+    """Vectors in a shard's own measure, held where their squares can be added in single precision."""
+    with np.errstate(over="ignore"):
+        return ((exact / 4 - middle / 4) / (scale / 4)).clip(-1e15, 1e15).astype(np.float32)
 
-def _distances(points: np.ndarray, norms: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+
+def entry_points(points: np.ndarray, count: int = ENTRIES) -> np.ndarray:
+    """The node nearest to the middle, then again and again the one farthest from those chosen."""
+    chosen = [int((points * points).sum(axis=1).argmin())]
+    least = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(count, len(points)):
+        chosen.append(int(least.argmax()))
+        least = np.minimum(least, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return np.array(chosen, dtype=np.int32)
+
+
+def _distances(points: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distances from each row of x to points[ids]; infinite where ids is -1."""
-    near = points[ids]
-    d = norms[ids] - 2 * np.matmul(near, x[:, :, None])[:, :, 0] + (x * x).sum(axis=1)[:, None]
-    return np.where(ids < 0, np.inf, np.maximum(d, 0))
+    apart = points[ids] - x[:, None, :]
+    return np.where(ids < 0, np.float32(np.inf), np.einsum("qkd,qkd->qk", apart, apart))
 
 
-def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, start: int, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of the best ``beam`` nodes met from ``start``, for all rows of x at once."""
+def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, squared distances) of the best ``beam`` nodes met from ``entries``, for all rows of x at once."""
     q = len(x)
-    ids = np.full((q, beam), -1, dtype=np.int32)
-    ids[:, 0] = start
-    dist = np.full((q, beam), np.inf, dtype=np.float32)
-    dist[:, 0] = _distances(points, norms, x, ids[:, :1])[:, 0]
+    width = max(beam, len(entries))
+    ids = np.full((q, width), -1, dtype=np.int32)
+    ids[:, : len(entries)] = entries
+    dist = np.full((q, width), np.inf, dtype=np.float32)
+    dist[:, : len(entries)] = _distances(points, x, ids[:, : len(entries)])
+    best = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+    ids, dist = np.take_along_axis(ids, best, 1), np.take_along_axis(dist, best, 1)
     done = np.zeros((q, beam), dtype=bool)
     seen = np.zeros((q, len(points)), dtype=bool)
-    seen[:, start] = True
+    seen[:, entries] = True
     rows = np.arange(q)
     while len(rows):
         open_ = np.where(done[rows] | (ids[rows] < 0), np.inf, dist[rows])
@@ -57,7 +94,7 @@ def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, start:
         near = np.where(fresh, near, -1)
         at, _ = np.nonzero(fresh)
         seen[rows[at], near[fresh]] = True
-        d = _distances(points, norms, x[rows], near)
+        d = _distances(points, x[rows], near)
         all_ids = np.concatenate([ids[rows], near], axis=1)
         all_d = np.concatenate([dist[rows], d], axis=1)
         all_done = np.concatenate([done[rows], np.zeros(near.shape, bool)], axis=1)
@@ -69,17 +106,15 @@ def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, start:
     return ids[here, order], dist[here, order]
 
 
-def robust_prune(points: np.ndarray, norms: np.ndarray, own: np.ndarray, ids: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+def robust_prune(points: np.ndarray, own: np.ndarray, ids: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Up to ``degree`` neighbours for each node of ``own`` from its candidates ``ids`` (-1: none).
 
     The nearest candidate is kept, and those that it is ``alpha`` times nearer to than the node
     is are dropped; again until none is left.
     """
     ids = np.where(ids == own[:, None], -1, ids)
-    dist = _distances(points, norms, points[own], ids)
+    dist = _distances(points, points[own], ids)
     near = points[np.maximum(ids, 0)]
-    sq = norms[np.maximum(ids, 0)]
-    between = sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(near, near.transpose(0, 2, 1))
     left = np.isfinite(dist)
     out = np.full((len(own), degree), -1, dtype=np.int32)
     here = np.arange(len(own))
@@ -89,28 +124,27 @@ def robust_prune(points: np.ndarray, norms: np.ndarray, own: np.ndarray, ids: np
         if not some.any():
             break
         out[some, k] = ids[here, best][some]
-        covered = alpha * alpha * np.maximum(between[here, best], 0) <= dist
+        apart = near - near[here, best][:, None, :]
+        covered = alpha * alpha * np.einsum("qkd,qkd->qk", apart, apart) <= dist
         left &= ~covered & (ids != ids[here, best][:, None])
         left[~some] = False
     return out
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5) -> tuple[np.ndarray, int]:
-    """(edges, start): the graph over ``points`` and the node nearest to their mean."""
+def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, entries): the graph over ``points`` and the nodes where searches begin."""
     n = len(points)
-    norms = (points * points).sum(axis=1)
-    start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    entries = entry_points(points)
     edges = np.full((n, degree), -1, dtype=np.int32)
     order = np.random.RandomState(seed).permutation(n)
-    order = np.concatenate([[start], order[order != start]]).astype(np.int32)
+    order = np.concatenate([entries, order[~np.isin(order, entries)]]).astype(np.int32)
     at = 1
     while at < n:
-        batch = order[at : at + max(1, min(256, at // 2))]
-        found, _ = beam_search(points, norms, edges, start, points[batch], beam)
+        batch = order[at : at + max(1, min(TOGETHER, at // 2))]
+        found, _ = beam_search(points, edges, entries[:at], points[batch], beam)
         if at < 2 * beam:  # the graph is small: all that is in it may propose itself
-            found = np.concatenate([found, np.broadcast_to(order[:at], (len(batch), at))], axis=1)
-            found = np.where(np.triu(found[:, :, None] == found[:, None, :], 1).any(axis=1), -1, found)
-        edges[batch] = robust_prune(points, norms, batch, found, degree, alpha)
+            found = np.broadcast_to(order[:at], (len(batch), at))
+        edges[batch] = robust_prune(points, batch, found, degree, alpha)
         # Reverse edges: to each neighbour, all of the batch that chose it.
         src = np.repeat(batch, degree)
         dst = edges[batch].ravel()
@@ -121,13 +155,23 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
         extra = np.full((len(targets), int(count.max(initial=0))), -1, dtype=np.int32)
         place = np.arange(len(dst)) - np.repeat(first, count)
         extra[np.repeat(np.arange(len(targets)), count), place] = src
-        for i in range(0, len(targets), 512):
-            some = targets[i : i + 512]
-            width = int(count[i : i + 512].max())
-            both = np.concatenate([edges[some], extra[i : i + 512, :width]], axis=1)
-            edges[some] = robust_prune(points, norms, some.astype(np.int32), both, degree, alpha)
+        for i in range(0, len(targets), TOGETHER):
+            some = targets[i : i + TOGETHER]
+            width = int(count[i : i + TOGETHER].max())
+            both = np.concatenate([edges[some], extra[i : i + TOGETHER, :width]], axis=1)
+            edges[some] = robust_prune(points, some.astype(np.int32), both, degree, alpha)
         at += len(batch)
-    return edges, start
+    return edges, entries
+
+
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths in double precision; scaled only where squares would overflow."""
+    with np.errstate(over="ignore"):
+        d = np.sqrt((rows**2).sum(axis=1))
+    if np.isinf(d).any():
+        top = np.abs(rows).max()
+        d = np.where(np.isinf(d), np.sqrt(((rows / top) ** 2).sum(axis=1)) * top, d)
+    return d
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -139,7 +183,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """(dim, shard, node, start, ids, v, edges): every vector, with the k + 1 smallest ids of equal ones.
+    """(dim, shard, shards, node, entry, ids, v, edges): every vector, with the k + 1 smallest ids of equal ones.
 
     No query of k neighbours can need more copies, its own among them.
     """
@@ -150,14 +194,17 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     nodes = materialize(nodes, "ann-nodes")
     shards = max(1, -(-nodes.count() // shard_nodes))
     dealt = nodes.select("dim", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "ids", "v")
+    # Given here, a number of partitions holds: few bytes a shard, but seconds of work.
+    dealt = dealt.repartition(min(shards, MOST_PARTITIONS), "dim", "shard")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0])).reset_index(drop=True)
-        points = np.stack(pdf.v.to_numpy()).astype(np.float32)
-        edges, start = build_graph(points)
-        return pdf.assign(node=np.arange(len(pdf), dtype=np.int32), start=np.int32(start), edges=list(edges))[["dim", "shard", "node", "start", "ids", "v", "edges"]]
+        edges, entries = build_graph(conditioned(np.stack(pdf.v.to_numpy()))[0])
+        numbers = {"node": np.arange(len(pdf), dtype=np.int32), "entry": -np.ones(len(pdf), dtype=np.int32), "shards": np.int32(shards)}
+        numbers["entry"][entries] = np.arange(len(entries))
+        return pdf.assign(**numbers, edges=list(edges))[["dim", "shard", "shards", "node", "entry", "ids", "v", "edges"]]
 
-    index = dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, node int, start int, ids array<long>, v array<double>, edges array<int>")
+    index = dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, node int, entry int, ids array<long>, v array<double>, edges array<int>")
     return materialize(index, "ann-index")
 
 
@@ -166,27 +213,28 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min_by(F.struct("v", "dim"), "h").alias("q"))
     asked = asked.select(F.col("vec_id").alias("query_id"), "q.v", "q.dim")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    shards = index.select("dim", "shard").distinct()
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    sent = asked.withColumn("block", block).join(F.broadcast(shards), "dim")  # a row a shard
-    sent = sent.select("query_id", "v", F.col("dim").alias("to_dim"), F.col("shard").alias("to_shard"), F.col("block").alias("to_block"))
+    shards = index.agg(F.max("shards")).first()[0] or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("to_block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to_shard")  # a row a shard
+    sent = asked.select("query_id", "v", F.col("dim").alias("to_dim"), block, every)
     tiles = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = min(shards * blocks, MOST_PARTITIONS)
+    sent, tiles = sent.repartition(parts, "to_dim", "to_shard", "to_block"), tiles.repartition(parts, "dim", "shard", "block")
 
     def look(key, nodes: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(nodes) and len(qs):
             nodes = nodes.sort_values("node")
             exact = np.stack(nodes.v.to_numpy())
-            points = exact.astype(np.float32)
-            edges = np.stack(nodes.edges.to_numpy()).astype(np.int32)
-            norms, ids = (points * points).sum(axis=1), nodes.ids.to_numpy()
+            points, middle, scale = conditioned(exact)
+            edges, ids = np.stack(nodes.edges.to_numpy()).astype(np.int32), nodes.ids.to_numpy()
+            entries = nodes[nodes.entry >= 0].sort_values("entry").node.to_numpy()
             asked_v = np.stack(qs.v.to_numpy())
-            found = []
-            for i in range(0, len(qs), 256):
-                found.append(beam_search(points, norms, edges, int(nodes.start.iloc[0]), asked_v[i : i + 256].astype(np.float32), beam)[0])
+            x = moved(asked_v, middle, scale)
+            found = [beam_search(points, edges, entries, x[i : i + TOGETHER], beam)[0] for i in range(0, len(qs), TOGETHER)]
             for q, x, near in zip(qs.query_id.to_numpy(), asked_v, np.concatenate(found), strict=True):
                 near = near[near >= 0]
-                d = np.sqrt(((exact[near] - x) ** 2).sum(axis=1))
+                d = _lengths(exact[near] - x)
                 nearest_of: dict[int, float] = {}
                 for a, v in sorted((float(a), int(v)) for a, n in zip(d, near, strict=True) for v in ids[n] if v != q):
                     nearest_of.setdefault(v, a)
