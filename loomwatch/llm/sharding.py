@@ -1,27 +1,37 @@
 """Sharding over fixed virtual slots (DataFrame functions only).
 
 Records hash into a fixed number of virtual slots. The records and bytes of each slot are summed
-once, and a versioned table maps slots to shards. Rebalancing edits that table and nothing else:
-the hash of a record never changes, so the rows that move are those of the slots that moved.
+once, and a stored table (version, vslot, shard) maps slots to shards. Rebalancing reads the newest
+version, appends the next and touches nothing else: the hash of a record never changes, so the rows
+that move are those of the slots that moved. Records are placed by a join with the newest version.
 
 Version 0 deals the slots round robin. Each later version moves whole slots from the fullest
 shards to the emptiest until no move makes the sizes more equal. What reaches the driver is one
-row a slot (``slots`` rows, 4096 by default), whatever the input.
+row a slot (at most twice ``slots`` rows, 4096 by default), whatever the input.
+
+Equal records share a slot, however many there are. Slots that many records have made large
+(``_oversized``) are cut: their rows are written once with a number each, and that number deals
+them over as many further slots, ``slots`` to 2 * ``slots`` - 1.
 
 Places inside a shard are gapless without a task that sees a whole shard: a slot's first place is
 the sum of the counts of the slots before it, and rows are numbered within their slot.
 
 Defined cases: a null text has no bytes and counts as the fixed record overhead; a null doc_id
-hashes like any value; repeated rows are separate records; an empty table has no rows and the
-version 0 map.
+hashes like any value; repeated rows are separate records, dealt apart where they are many; an
+empty table has no rows and a map of equal shares; input columns other than id and text play no part.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loomwatch.llm.names import col
+from loomwatch.session import materialize, shared_folder
+
 SLOTS = 4096
 OVERHEAD = 16
 
@@ -34,9 +44,9 @@ def record_size(text: Column) -> Column:
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot of each record; the hash takes all three."""
     base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        record_size(F.col(text_col)).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
+        col(id_col).alias("doc_id"),
+        record_size(col(text_col)).alias("size"),
+        F.crc32(F.coalesce(col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
     )
     return base.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
 
@@ -118,33 +128,62 @@ def grow(current: list[int], sizes: dict[int, int], shards: int) -> list[int]:
     return owner
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The stored map: (version, vslot, shard); rows of all versions."""
-    rows = [(v, s, shard) for v, owner in enumerate(versions) for s, shard in enumerate(owner)]
-    return spark.createDataFrame(rows, "version int, vslot int, shard int")
+def save_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
+    """Appends one version to the stored map: (version, vslot, shard), a row a slot."""
+    rows = [(version, slot, shard) for slot, shard in enumerate(owner)]
+    spark.createDataFrame(rows, "version int, vslot int, shard int").coalesce(1).write.mode("append").parquet(path)
 
 
-def place(records: DataFrame, owner: list[int], counts: dict[int, int]) -> DataFrame:
-    """``records`` with shard and slot, the gapless place in the shard."""
-    start, filled = [0] * len(owner), {}
-    for slot, shard in enumerate(owner):
-        start[slot] = filled.get(shard, 0)
-        filled[shard] = start[slot] + counts.get(slot, 0)
-    # One text literal for each list, folded to an array before the query runs.
-    shard_of = F.split(F.lit(",".join(map(str, owner))), ",").cast("array<int>")
-    start_of = F.split(F.lit(",".join(map(str, start))), ",").cast("array<long>")
+def newest_map(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The newest version of the stored map and its shard of each slot."""
+    table = spark.read.schema("version int, vslot int, shard int").parquet(path)
+    newest = table.agg(F.max("version")).first()[0]
+    return newest, [r.shard for r in table.where(F.col("version") == newest).orderBy("vslot").collect()]
+
+
+def place(records: DataFrame, path: str) -> DataFrame:
+    """``records`` with shard and slot, the gapless place in the shard, by the newest stored map."""
+    spark = records.sparkSession
+    newest, _ = newest_map(spark, path)
+    table = spark.read.schema("version int, vslot int, shard int").parquet(path).where(F.col("version") == newest)
+    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    filled = table.join(slot_totals(records).select("vslot", "records"), "vslot", "left").select("vslot", "shard", F.coalesce("records", F.lit(0)).alias("records"))
+    starts = filled.select("vslot", "shard", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    return records.withColumn("_n", F.row_number().over(inside) - 1).select(
-        *records.columns,
-        F.get(shard_of, F.col("vslot")).alias("shard"),
-        (F.get(start_of, F.col("vslot")) + F.col("_n")).cast("long").alias("slot"),
-    )
+    numbered = records.withColumn("_n", F.row_number().over(inside) - 1)
+    placed = numbered.join(F.broadcast(starts), "vslot")  # a row a slot, a number fixed beforehand
+    return placed.select(*records.columns, "shard", (F.col("_start") + F.col("_n")).cast("long").alias("slot"))
+
+
+def _oversized(totals: list, shards: int, slots: int) -> list[int]:
+    """Slots of several records with over a twentieth of a shard, or twice an equal share, in bytes or records."""
+    out = set()
+    for field in ("bytes", "records"):
+        floor = sum(r[field] for r in totals) * max(1 / (20 * shards), 2 / slots)
+        out |= {r["vslot"] for r in totals if r["records"] > 1 and r[field] > floor}
+    return sorted(out)
 
 
-def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Every record with its shard of the rebalanced map (version 1) and its place there."""
+def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """Every record with its shard of the rebalanced map and its place there.
+
+    With ``map_path``, the newest version of the map stored there (for ``shards`` shards and twice
+    ``slots`` slots) is edited, so that records stay where they are as far as balance allows;
+    without, a new map begins in the shared folder.
+    """
+    spark = docs.sparkSession
     records = with_slots(docs, id_col, text_col, slots)
-    totals = {r.vslot: (r.records, r.bytes) for r in slot_totals(records).collect()}  # at most `slots` rows
-    sizes = {s: int(b) for s, (_, b) in totals.items()}
-    owner = rebalance(first_map(shards, slots), sizes, shards)
-    return place(records, owner, {s: n for s, (n, _) in totals.items()})
+    totals = slot_totals(records).collect()  # at most ``slots`` rows
+    if large := _oversized(totals, shards, slots):
+        is_large = F.array_contains(F.split(F.lit(",".join(map(str, large))), ",").cast("array<int>"), F.col("vslot"))
+        cut = materialize(records.where(is_large).withColumn("_no", F.monotonically_increasing_id()), "large-slots")
+        again = (F.pmod(F.xxhash64("vslot", "_no"), F.lit(slots)) + slots).cast("int")
+        records = records.where(~is_large).unionByName(cut.withColumn("vslot", again).drop("_no"))
+        totals = slot_totals(records).collect()  # at most 2 * ``slots`` rows
+    sizes = {r["vslot"]: int(r["bytes"]) for r in totals}
+    if map_path is None:
+        map_path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+        save_map(spark, map_path, 0, first_map(shards, 2 * slots))
+    version, owner = newest_map(spark, map_path)
+    save_map(spark, map_path, version + 1, rebalance(owner, sizes, shards))
+    return place(records, map_path)

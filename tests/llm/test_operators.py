@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -319,6 +320,42 @@ def test_shards(spark):
     assert sharding.shard_documents(docs_of(spark, []), 8).count() == 0
 
 
+def test_equal_records_are_dealt_apart(spark):
+    same = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("the same text").alias("text"), F.lit(0).alias("shard"), F.lit(0).alias("vslot"))
+    rows = sharding.shard_documents(same, 8).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("places"), F.max("slot").alias("last")).collect()
+    assert len(rows) == 8 and max(r.n for r in rows) <= 1.01 * 2500
+    assert all(r.places == r.n == r.last + 1 for r in rows)
+
+
+def test_the_stored_map_is_edited_by_versions(spark, tmp_path):
+    docs = docs_of(spark, ["t" * (i % 40) for i in range(500)])
+    path = str(tmp_path / "map")
+    sharding.save_map(spark, path, 0, sharding.first_map(4, 2 * 64))
+    sharding.shard_documents(docs, 4, slots=64, map_path=path).collect()
+    version, owner = sharding.newest_map(spark, path)
+    assert version == 1 and owner != sharding.first_map(4, 128)
+    again = sharding.shard_documents(docs, 4, slots=64, map_path=path)
+    assert sharding.newest_map(spark, path) == (2, owner)  # balanced already: nothing moves
+    by_slot = {r.vslot: r.shard for r in again.select("vslot", "shard").distinct().collect()}
+    assert all(owner[v] == s for v, s in by_slot.items())
+
+
+@needs_data
+def test_query_deals_bytes_over_forty_shards(spark):
+    rows = queries.op9_sharding(spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    load, places = {}, {}
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert sorted(texts) == sorted(r.doc_id for r in rows) and set(load) <= set(range(40))
+    largest = max(r["size"] for r in rows)
+    assert max(load.values()) <= max(sum(load.values()) / 40 * 1.05, largest + 1)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_growth_moves_rows_only_into_the_new_shard():
     owner, sizes = sharding.first_map(4, 64), {s: 10 + s % 7 for s in range(64)}
     grown = sharding.grow(owner, sizes, 4)
