@@ -3,24 +3,30 @@
 A rule names a host and a path prefix; the longest rule that fits decides. Where none fits, the
 host's own standing decides: personalised PageRank walks from trusted hosts along links, and
 distrust walks from blocked hosts against them (who links to a blocked host shares its distrust).
-Both run at once over one edge table, one join and one aggregate an iteration, until no host changes
-by ``tolerance``. Trust and distrust are in pages, and so are comparable with a host's size: each of
-its pages without a rule counts ``neutral`` of a seed page for neither side, and a host is blocked
-if its distrust is over ``threshold`` times the sum of all three.
+Both run at once over one edge table, one join and one aggregate an iteration, until the mass still
+under way is at most ``tolerance`` of the seeds' mass; as each step passes on ``damping`` of the one
+before at most, that takes the same number of iterations at any size. Mass that comes to hosts
+without a way on returns to the seeds, in proportion. Trust and distrust are in pages, and so are
+comparable with a host's size: each of its pages without a rule counts ``neutral`` of a seed page
+for neither side, and a host is blocked if its distrust is over ``threshold`` times the sum of all
+three.
 
 Edges between hosts come from absolute and protocol-relative links in the pages. A host and the
 host above it (one label less, of three labels at least) are edges of weight ``kin`` both ways,
 as www.a.example.com and a.example.com are one site. Links within one host are no edges.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-allowed; a host without links keeps only its seed; seeds are hosts on which the rules allow or
-block pages, weighted by their pages; repeated pages are judged alike and count as pages each.
+allowed; null html has no links; a host without links keeps only its seed; seeds are hosts on which
+the rules allow or block pages, weighted by their pages; repeated pages are judged alike and count
+as pages each; an empty table gives an empty table; input columns named like an added one are
+replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwatch.llm.names import col, fresh
 from loomwatch.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,14 +66,15 @@ def host_edges(pages: DataFrame, kin: float = 0.5) -> DataFrame:
     return linked.unionByName(kindred).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, cut_every: int = 4) -> DataFrame:
-    """(host, trust, distrust) after the walks; ``seeds`` has (host, trust, distrust).
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.02, cut_every: int = 6) -> DataFrame:
+    """(host, trust, distrust, unit) after the walks; ``seeds`` has (host, trust, distrust).
 
     Trust follows edges, its share divided among a host's outgoing weight; distrust goes the
-    other way, divided among the incoming weight. Both are in the unit of the seeds. The walks end
-    when the largest change of a host is under ``tolerance``, looked at every ``cut_every``
-    iterations, where the lineage is cut; as each step is ``damping`` of the one before, they do end.
+    other way, divided among the incoming weight. Both are in the unit of the seeds, and each sums
+    up to their mass; unit is what a blocked seed page counts at its own host. The mass under way is looked at every ``cut_every`` iterations, where the
+    lineage is cut.
     """
+    mass = seeds.agg(F.sum("trust"), F.sum("distrust")).first()
     # Each edge is stored for both walks, keyed by the host that gives.
     forward = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("w").alias("wt"), F.lit(0.0).alias("wd"))
     backward = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), F.col("w").alias("wd"))
@@ -89,25 +96,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
             held = rank.select("host", "trust", "distrust", F.lit(0.0).alias("dt"), F.lit(0.0).alias("dd"))
             rank = held.unionByName(step).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "dt", "dd")])
         rank = materialize(rank, "host-rank")
-        change = rank.agg(F.max(F.greatest("dt", "dd"))).first()[0]
-        if change is None or change < tolerance:
-            return rank.select("host", "trust", "distrust")
+        *whole, trust_left, distrust_left = rank.agg(*[F.sum(c) for c in ("trust", "distrust", "dt", "dd")]).first()
+        # What is under way comes to damping / (1 - damping) of the last step at most.
+        ahead = damping / (1 - damping)
+        if all(not m or left * ahead <= tolerance * m for m, left in zip(mass, (trust_left, distrust_left), strict=True)):
+            back = [m / w if m and w else 1.0 for m, w in zip(mass, whole, strict=True)]  # from hosts without a way on
+            return rank.select("host", (F.col("trust") * back[0]).alias("trust"), (F.col("distrust") * back[1]).alias("distrust"), F.lit((1 - damping) * back[1]).alias("unit"))
 
 
 def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", html_col: str = "html",
-    threshold: float = 0.5, damping: float = 0.85, tolerance: float = 1e-3, kin: float = 0.5, neutral: float = 0.5,
+    threshold: float = 0.5, damping: float = 0.85, tolerance: float = 0.02, kin: float = 0.5, neutral: float = 0.5,
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict, trust and distrust.
 
-    Rules are few (a list of the program, matched without a join); input columns named like the
-    added ones are replaced.
+    Rules are few (a list of the program, matched without a join).
     """
     added = ("host", "path", "rule", "verdict", "trust", "distrust")
-    names = [c for c in pages.columns if c not in added]
-    judged = pages.select(*names, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    judged = judged.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    slim = judged.select("host", F.col(html_col).alias("html"), "_r")
+    names = [c for c in pages.columns if c.lower() not in added]
+    ruled, neutral_col, own_trust, own_distrust = fresh(pages, "_r", "_neutral", "_trust", "_distrust")
+    judged = pages.select(*map(col, names), host_of(col(url_col)).alias("host"), path_of(col(url_col)).alias("path"))
+    judged = judged.withColumn(ruled, rule_of(F.col("host"), F.col("path"), rules))
+    slim = pages.select(host_of(col(url_col)).alias("host"), path_of(col(url_col)).alias("path"), col(html_col).alias("html"))
+    slim = slim.select("host", "html", rule_of(F.col("host"), F.col("path"), rules).alias("_r"))
     edges = host_edges(slim, kin)
     verdict = F.col("_r.verdict")
     hosts = slim.where("host <> ''").groupBy("host").agg(
@@ -117,12 +128,13 @@ def judge_urls(
     )
     hosts = materialize(hosts, "host-pages")
     rank = propagate(edges, hosts.where("trust + distrust > 0").select("host", "trust", "distrust"), damping, tolerance)
-    # A page without a rule weighs against the seeds as they count in a walk, damped alike.
-    rank = hosts.select("host", (F.col("open") * neutral * (1 - damping)).alias("_neutral")).join(rank, "host", "left")
+    # A page without a rule weighs against the seeds as they count at their own host.
+    rank = hosts.select("host", "open").join(rank, "host", "left")
+    rank = rank.select("host", (F.col("open") * neutral * F.col("unit")).alias(neutral_col), F.col("trust").alias(own_trust), F.col("distrust").alias(own_distrust))
     standing = judged.join(rank, "host", "left")
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when(distrust > threshold * (trust + distrust + F.coalesce("_neutral", F.lit(0.0))), "block").otherwise("allow")
+    trust, distrust, apart = (F.coalesce(col(c), F.lit(0.0)) for c in (own_trust, own_distrust, neutral_col))
+    own = F.when(distrust > threshold * (trust + distrust + apart), "block").otherwise("allow")
     return standing.select(
-        *names, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), own).alias("verdict"),
+        *map(col, names), "host", "path", F.col(f"{ruled}.rule").alias("rule"), F.coalesce(F.col(f"{ruled}.verdict"), own).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"),
     )
