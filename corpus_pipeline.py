@@ -33,10 +33,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    found = decontaminate.contamination(docs, queries.table(spark, sf_dir, "benchmark")).select("_id", "_tk")
-    keyed = docs.withColumn("_dk", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_dk"] == found["_tk"])
-    return keyed.join(found, same, "left_anti").select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

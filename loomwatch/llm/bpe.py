@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loomwatch.llm.names import col
+
 #: A rank file larger than this is no vocabulary and isn't broadcast.
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Remembered matches in a worker, of up to ``MEMO_LENGTH`` characters: some 60 MB at most.
@@ -156,7 +158,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
         offsets = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
 
-    return docs.withColumn(ids_col, encode(F.col(text_col)))
+    return docs.withColumn(ids_col, encode(col(text_col)))
 
 
 def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -175,4 +177,4 @@ def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", byt
             out.append(b"".join(map(pieces.__getitem__, row.tolist())))
         return pa.array(out, pa.binary())
 
-    return docs.withColumn(bytes_col, decode(F.col(ids_col)))
+    return docs.withColumn(bytes_col, decode(col(ids_col)))

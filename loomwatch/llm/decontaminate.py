@@ -13,7 +13,9 @@ documents. Nothing is grouped but by document.
 
 Defined cases: null and empty texts have no words, and an item without words has no window;
 rows that share doc_id and text come back alike; equal windows of several items count for each
-item; input columns named like the added ones are replaced.
+item; a text of any length is read whole; empty documents give an empty table, and an empty
+benchmark marks nothing; input columns named like an added one are replaced, all others are returned
+as they are.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwatch.llm.names import col, fresh
 from loomwatch.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,7 +47,7 @@ def words_of(text: Column) -> Column:
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Distinct windows: (win array, items array of ids that have it)."""
-    words = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    words = items.select(col(id_col).cast("string").alias("item"), words_of(col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
     wins = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, width))).alias("win"))
     return wins.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -83,12 +86,12 @@ def contamination(
     hits: the sorted distinct numbers (from 0) of the words that lie in some occurrence;
     item_ids: the sorted distinct ids of the items with one.
     """
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = docs.select(col(text_col).alias("text"))
     windows = materialize(item_windows(items, item_id_col, item_text_col, width), "windows")
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
     counts = corpus_counts(texts, vocabulary, block_rows)
     prefixes = materialize(prefixed(windows, counts), "window-prefixes")
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_tk"), words_of(F.col(text_col)).alias("_w"))
+    keyed = docs.select(col(id_col).alias("_id"), F.xxhash64(col(text_col)).alias("_tk"), words_of(col(text_col)).alias("_w"))
     found = []
     for block in _blocks(prefixes, ["win"], block_rows):
         each = keyed.select("_id", "_tk", "_w", F.posexplode("_w").alias("_at", "word"))
@@ -109,15 +112,24 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     With ``keep_text`` False only the id comes with them, and no text is shuffled.
     """
     added = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
-    names = [c for c in docs.columns if c not in added] if keep_text else [id_col]
+    names = [c for c in docs.columns if c.lower() not in added] if keep_text else [id_col]
+    words, dk, gid, gtk, hits, ids = fresh(docs, "_words", "_dk", "_id", "_tk", "_hits", "_ids")
     found = contamination(docs, items, id_col, text_col, **options)
-    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_ANY_CASE))
-    keyed = docs.select(*names, n_words.cast("long").alias("n_words"), F.xxhash64(F.col(text_col)).alias("_dk"))
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["_id"]) & (keyed["_dk"] == found["_tk"]), "left")
-    n_hit = F.coalesce(F.size("hits"), F.lit(0)).cast("long")
-    none = F.array().cast("array<string>")
+    found = found.select(F.col("_id").alias(gid), F.col("_tk").alias(gtk), F.size("hits").alias(hits), F.col("item_ids").alias(ids))
+    n_words = F.regexp_count(F.coalesce(col(text_col), F.lit("")), F.lit(WORD_ANY_CASE))
+    keyed = docs.select(*map(col, names), n_words.cast("long").alias(words), F.xxhash64(col(text_col)).alias(dk))
+    joined = keyed.join(found, col(id_col).eqNullSafe(col(gid)) & (col(dk) == col(gtk)), "left")
+    marked = col(hits).isNotNull()
     return joined.select(
-        *[keyed[c] for c in names], "n_words", F.when(F.col("hits").isNull(), F.lit(0)).otherwise(n_hit).cast("long").alias("n_hit"),
-        F.when(F.col("hits").isNull(), F.lit(0)).otherwise(F.size("item_ids")).cast("long").alias("n_items"),
-        F.coalesce("item_ids", none).alias("item_ids"), F.col("hits").isNotNull().alias("contaminated"),
+        *map(col, names), col(words).alias("n_words"), F.when(marked, col(hits)).otherwise(0).cast("long").alias("n_hit"),
+        F.when(marked, F.size(col(ids))).otherwise(0).cast("long").alias("n_items"),
+        F.coalesce(col(ids), F.array().cast("array<string>")).alias("item_ids"), marked.alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without an occurrence, with their columns as they are."""
+    dk, gid, gtk = fresh(docs, "_dk", "_id", "_tk")
+    found = contamination(docs, items, id_col, text_col, **options).select(F.col("_id").alias(gid), F.col("_tk").alias(gtk))
+    keyed = docs.withColumn(dk, F.xxhash64(col(text_col)))
+    return keyed.join(found, col(id_col).eqNullSafe(col(gid)) & (col(dk) == col(gtk)), "left_anti").select(*map(col, docs.columns))

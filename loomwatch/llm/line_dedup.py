@@ -22,14 +22,16 @@ confirmed by ``levenshtein``.
 
 Defined cases: a null or empty text has no lines and comes back as it is; rows that share a
 doc_id count as one document (lines at the same place in them are not copies of each other, so
-repeated rows come back alike); a null doc_id sorts before all others; input columns named like
-the two added ones are replaced.
+repeated rows come back alike); a null doc_id sorts before all others; a text of any length or number
+of lines is read whole, in time linear in it; an empty table gives an empty table; input columns
+named like the two added ones are replaced, all others are returned as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwatch.llm.names import col, fresh
 from loomwatch.session import materialize
 
 #: Broadcast the hashes of candidate lines up to this many (8 bytes each); beyond, shuffle.
@@ -39,9 +41,9 @@ BROADCAST_HASHES = 2_000_000
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """One row per line of at least ``min_chars``: document key, order, text and two hashes."""
     exploded = docs.select(
-        F.col(id_col).alias("_id"),
-        F.xxhash64(F.col(text_col)).alias("_tk"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("_no", "_raw"),
+        col(id_col).alias("_id"),
+        F.xxhash64(col(text_col)).alias("_tk"),
+        F.posexplode(F.split(col(text_col), "\n")).alias("_no", "_raw"),
     )
     trimmed = exploded.select("_id", "_tk", "_no", F.trim("_raw").alias("_t"))
     return trimmed.where(F.char_length("_t") >= min_chars).select(
@@ -179,15 +181,18 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and lines_total and lines_dropped (long)."""
     gone = dropped_lines(docs, id_col, text_col, min_chars, max_edits, exact_chars)
-    names = [c for c in docs.columns if c not in ("lines_total", "lines_dropped")]
-    keyed = docs.select(*names, F.xxhash64(F.col(text_col)).alias("_dk"))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["_dk"] == gone["_tk"]), "left")
-    parts = F.split(keyed[text_col], "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    text = F.when(F.col("_lines").isNull(), keyed[text_col]).otherwise(kept)
-    total = F.when(F.coalesce(F.length(keyed[text_col]), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(parts))
+    names = [c for c in docs.columns if c.lower() not in ("lines_total", "lines_dropped")]
+    dk, gid, gtk, dropped = fresh(docs, "_dk", "_id", "_tk", "_lines")
+    gone = gone.select(F.col("_id").alias(gid), F.col("_tk").alias(gtk), F.col("_lines").alias(dropped))
+    keyed = docs.select(*map(col, names), F.xxhash64(col(text_col)).alias(dk))
+    joined = keyed.join(gone, col(id_col).eqNullSafe(col(gid)) & (col(dk) == col(gtk)), "left")
+    parts = F.split(col(text_col), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), col(dropped))  # by hash, in the order of the lines
+    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    text = F.when(col(dropped).isNull(), col(text_col)).otherwise(kept)
+    total = F.when(F.coalesce(F.length(col(text_col)), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(parts))
     return joined.select(
-        *[text.alias(c) if c == text_col else keyed[c] for c in names],
+        *[text.alias(c) if c == text_col else col(c) for c in names],
         total.cast("long").alias("lines_total"),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("lines_dropped"),
+        F.coalesce(F.size(col(dropped)), F.lit(0)).cast("long").alias("lines_dropped"),
     )

@@ -4,19 +4,27 @@ Three named kinds are found by pattern. Beyond them, strings of token characters
 a window of ``WINDOW`` characters; the window's Shannon entropy follows from counts that change by
 one character in and one out, and the windows over the threshold of the string's character class
 (hex, alphanumeric or base64) form the span. Strings on the allow-list, and spans that touch a
-named one, are left out. One row in, one row out; nothing is shuffled.
+named one, are left out. One row in, one row out, in time linear in the text; nothing is shuffled.
 
-Defined cases: a null or empty text has no spans; positions count code points, ends exclusive.
+Letters alone are allowed where they read as words: in one case, capitalised, or joined words of
+that kind of four letters a word on average. Letters of mixed case that don't are candidates.
+
+Defined cases: a null or empty text has no spans; positions count code points, ends exclusive;
+repeated rows come back alike; an empty table stays empty; an input column named like the added one
+is replaced, all others are returned as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loomwatch.llm.names import col
+
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character in a window of 20, by character class.
@@ -31,10 +39,24 @@ _CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[A-Za-z
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"[0-9+/=_-]+"),  # numbers, dates, rules
-    re.compile(r"[A-Za-z+/=_-]+"),  # words, paths
+    re.compile(r"[a-z+/=_-]+|[A-Z+/=_-]+"),  # words and paths of one case
     re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/](?:[A-Za-z]+|[0-9]+))+"),  # slugs
     re.compile(r".*(?:EXAMPLE|example|XXXX|xxxx).*"),  # placeholders
 )
+_LETTERS = re.compile(r"[A-Za-z+/=_-]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def allowed(candidate: str) -> bool:
+    """Whether a candidate stands on the allow-list."""
+    if any(p.fullmatch(candidate) for p in ALLOWED):
+        return True
+    if not _LETTERS.fullmatch(candidate):
+        return False
+    words = _WORD.findall(candidate)  # camel case and capitalised words
+    return sum(map(len, words)) >= 4 * len(words)
+
+
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -68,15 +90,22 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    base = list(found)
+    named: list[tuple[int, int]] = []  # merged, in order
+    for start, end in sorted((s, e) for _, s, e in found):
+        if named and start <= named[-1][1]:
+            named[-1] = (named[-1][0], max(end, named[-1][1]))
+        else:
+            named.append((start, end))
+    starts = [s for s, _ in named]
     for m in _CANDIDATE.finditer(text):
         word = m[0]
-        if any(p.fullmatch(word) for p in ALLOWED):
+        if allowed(word):
             continue
         kind = next(k for k, p in _CLASSES if p.fullmatch(word))
         for start, end in entropy_spans(word, THRESHOLDS[kind]):
             start, end = start + m.start(), end + m.start()
-            if not any(s < end and start < e for _, s, e in base):
+            before = bisect_left(starts, end) - 1  # the last named span that starts before this one ends
+            if before < 0 or named[before][1] <= start:
                 found.append(("entropy", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -90,4 +119,4 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.array(rows, kind)
 
-    return docs.withColumn(spans_col, scan(F.col(text_col)))
+    return docs.withColumn(spans_col, scan(col(text_col)))
