@@ -1,21 +1,24 @@
 """Main-text extraction by a recurrent block labeller (bidirectional LSTM in numpy).
 
 A page is cut into leaf blocks: runs of text between block-level tags, each with the path of its
-open tags (and their class, id and role words). A block's vector holds its hashed path words, the
-mean of its hashed words, and a few measures of its form. A bidirectional LSTM reads all blocks
-of the page in order, so each block is judged with the whole document in view, and marks it as
-main text or not.
+open tags (and their class, id and role words), kept as counts of hashed words so that deep nesting
+costs no more than its tags. A block's vector holds its hashed path words, the mean of all its
+hashed words, and a few measures of its form. A bidirectional LSTM reads all blocks of the page in
+order, so each block is judged with the whole document in view, and marks it as main text or not.
 
 The labeller is trained here: on a sample of pages bounded by ``sample_pages`` and
 ``sample_chars``, with labels from page structure (inside an article or main element and outside
 menus, headers, footers, sidebars, notices, adverts, forms and comments), and on variants of
-those pages with more furniture of every kind put in and containers renamed. Its weights are
-about a hundred thousand numbers and go to the tasks by broadcast. Extraction is a row in and a
-row out; within a batch, pages of like length run together.
+those pages with more furniture of every kind put in and containers renamed. Training reads every
+block of those pages, in windows of ``TRAIN_WINDOW`` blocks. The weights are about forty thousand
+numbers and go to the tasks by broadcast. Extraction is a row in and a row out; within a batch,
+pages of like length run together.
 
 Defined cases: null and empty html give an empty text; unclosed and crossed tags are mended as
 browsers do (a new paragraph ends an open one, ends without a start are ignored); an unfinished
-character reference stays as it is.
+character reference stays as it is; pages of any length and depth are read whole; repeated rows come
+back alike; an empty table stays empty; an input column named like the added one is replaced, all
+others are returned as they are.
 """
 
 from __future__ import annotations
@@ -23,13 +26,16 @@ from __future__ import annotations
 import html as entities
 import re
 from binascii import crc32
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-SAMPLE_PAGES, SAMPLE_CHARS = 160, 60_000
+from loomwatch.llm.names import col
+
+SAMPLE_PAGES, SAMPLE_CHARS, TRAIN_WINDOW = 160, 60_000, 160
 PATH_DIM, WORD_DIM, FORM_DIM, HIDDEN = 256, 32, 6, 16
 INPUT = PATH_DIM + WORD_DIM + FORM_DIM
 
@@ -56,11 +62,16 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _WORD = re.compile(r"\w+")
 
 
+Path = tuple[tuple[int, int], ...]
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # a word for each open tag and for each of its names, "tag" or ".name"
+    path: Path  # the place of each path word's feature, and how often it stands in the path
     text: str
     linked: bool
+    main: bool  # what the teacher says
+    heading: bool = False
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -70,38 +81,84 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys("." + w for x in found for w in re.split(r"[\s_-]+", x.lower()) if w))
 
 
+class _Places(dict):
+    """Where a word's feature stands, up to a bound of remembered words."""
+
+    def __init__(self, first: int, size: int):
+        self.first, self.count = first, size
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        place = self[word] = self.first + crc32(word.encode()) % self.count
+        return place
+
+
+_PATHS, _WORDS = _Places(0, PATH_DIM), _Places(PATH_DIM, WORD_DIM)
+
+
+_FURNITURE = frozenset([*FURNITURE_TAGS, *("." + w for w in FURNITURE_WORDS)])
+_MAIN = frozenset([*MAIN_TAGS, *("." + w for w in MAIN_WORDS)])
+
+
+def block_of(path: tuple[str, ...], text: str, linked: bool) -> Block:
+    """A block under the path words given, "tag" or ".name"; the teacher calls it main text inside a
+    main container and outside every kind of furniture."""
+    main = _FURNITURE.isdisjoint(path) and not _MAIN.isdisjoint(path)
+    return Block(tuple(Counter(_PATHS[w] for w in path).items()), text, linked, main, path[-1:] in (("h1",), ("h2",)))
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, white space made single, empty ones left out."""
     if not page:
         return []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open tags with their words
+    where: dict[str, list[int]] = {}  # depths at which a tag is open
+    words: Counter[int] = Counter()  # of the open tags that are no inline ones
+    furniture = mains = 0
     out: list[Block] = []
     parts: list[str] = []
-    at: tuple[tuple[str, ...], bool] | None = None
+    at: tuple[Path, bool, bool, bool] | None = None
 
     def flush() -> None:
         nonlocal at
         text = " ".join(entities.unescape("".join(parts)).split())
         if text and at:
-            out.append(Block(at[0], text, at[1]))
+            out.append(Block(at[0], text, *at[1:]))
         parts.clear()
         at = None
 
     def take(text: str) -> None:
         nonlocal at
         if at is None and text.strip():
-            path = tuple(w for tag, names in stack if tag not in INLINE for w in (tag, *names))
-            at = (path, any(tag == "a" for tag, _ in stack))
+            at = (tuple(words.items()), bool(where.get("a")), mains > 0 and not furniture, any(where.get(h) for h in ("h1", "h2")))
         parts.append(text)
 
-    def pop_to(tags: tuple[str, ...], until: tuple[str, ...] = ()) -> bool:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return True
-            if stack[i][0] in until:
-                return False
-        return False
+    def count(path: tuple[str, ...], by: int) -> None:
+        nonlocal furniture, mains
+        for w in path:
+            place = _PATHS[w]
+            words[place] += by
+            if not words[place]:
+                del words[place]
+        furniture += 0 if _FURNITURE.isdisjoint(path) else by
+        mains += 0 if _MAIN.isdisjoint(path) else by
+
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        path = () if tag in INLINE else (tag, *names)
+        where.setdefault(tag, []).append(len(stack))
+        stack.append((tag, path))
+        count(path, 1)
+
+    def pop_to(tags: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
+        """Closes the innermost of ``tags`` and all within it, unless one of ``until`` is open further in."""
+        depth = max((where[t][-1] for t in tags if where.get(t)), default=-1)
+        if depth < 0 or depth < max((where[t][-1] for t in until if where.get(t)), default=-1):
+            return
+        while len(stack) > depth:
+            tag, path = stack.pop()
+            where[tag].pop()
+            count(path, -1)
 
     end = 0
     for m in _TOKEN.finditer(page):
@@ -112,10 +169,10 @@ def blocks_of(page: str | None) -> list[Block]:
         if raw:
             flush()
             if raw.lower() in ("title", "textarea"):
-                stack.append((raw.lower(), _names(raw_names)))
+                push(raw.lower(), _names(raw_names))
                 take(raw_text)
                 flush()
-                stack.pop()
+                pop_to((raw.lower(),))
             continue
         if not tag:
             continue
@@ -124,55 +181,29 @@ def blocks_of(page: str | None) -> list[Block]:
         if block:
             flush()
         if slash:
-            if any(t == tag for t, _ in stack):
-                pop_to((tag,))
+            pop_to((tag,))
         else:
             if tag in ENDS_PARAGRAPH:
                 pop_to(("p",), ("article", "body", "div", "section", "li", "td", "main"))
             if tag in CLOSES:
                 pop_to(CLOSES[tag], ("ul", "ol", "table", "dl", "select"))
             if tag not in VOID and not attributes.endswith("/"):
-                stack.append((tag, _names(attributes)))
+                push(tag, _names(attributes))
     if end < len(page):
         take(page[end:])
     flush()
     return out
 
 
-def structure_says(path: tuple[str, ...]) -> bool:
-    """The teacher: inside a main container and outside every kind of furniture."""
-    furniture = any(w in FURNITURE_TAGS or w[:1] == "." and w[1:] in FURNITURE_WORDS for w in path)
-    return not furniture and any(w in MAIN_TAGS or w[:1] == "." and w[1:] in MAIN_WORDS for w in path)
-
-
-class _Places(dict):
-    """Where a word's feature stands, up to a bound of remembered words."""
-
-    def __init__(self, first: int, size: int):
-        self.first, self.count = first, size
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        place = self[word] = self.first + crc32(word.encode()) % self.count
-        return place
-
-
-_PATHS, _WORDS = _Places(0, PATH_DIM), _Places(PATH_DIM, WORD_DIM)
-
-
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row per block: counts of hashed path words, shares of hashed words, and measures of form.
-
-    The first words of a block stand for its words here; its text stays whole.
-    """
+    """A row per block: counts of hashed path words, shares of hashed words, and measures of form."""
     rows, places, values = [], [], []
     form = np.empty((len(blocks), FORM_DIM), dtype=np.float32)
     for r, block in enumerate(blocks):
-        words = _WORD.findall(block.text[:600].lower())[:60]
+        words = list(map(_WORDS.__getitem__, _WORD.findall(block.text.lower())))
         rows += [r] * (len(block.path) + len(words))
-        places += [*map(_PATHS.__getitem__, block.path), *map(_WORDS.__getitem__, words)]
-        values += [1.0] * len(block.path) + [1.0 / max(1, len(words))] * len(words)
+        places += [*(place for place, _ in block.path), *words]
+        values += [*(float(times) for _, times in block.path), *[1.0 / max(1, len(words))] * len(words)]
         n = len(block.text)
         form[r] = (np.log1p(n) / 8, n < 25, block.linked, block.text[-1] in ".!?", block.text[:1] == "©", 1.0)
     flat = np.array(rows, dtype=np.int64) * INPUT + np.array(places, dtype=np.int64)
@@ -278,12 +309,12 @@ def _variants(pages: list[list[Block]], rng: np.random.RandomState) -> list[tupl
         if named and not any(n[1:] in FURNITURE_WORDS for n in names):
             names = ("." + pick(FURNITURE_WORDS),)
         inner = pick([(), ("p",), ("ul", "li"), ("div",), ("h3",), ("div", "p"), ("label",)])
-        return [Block((*base, tag, *names, *inner), pick(texts)[: pick([20, 60, 200, 1000])].strip() or "x", rng.rand() < 0.3) for _ in range(rng.randint(1, 6))]
+        return [block_of((*base, tag, *names, *inner), pick(texts)[: pick([20, 60, 200, 1000])].strip() or "x", rng.rand() < 0.3) for _ in range(rng.randint(1, 6))]
 
     out = []
     for page in pages:
-        plain = [b for b in page if structure_says(b.path)]
-        out.append((page, np.array([structure_says(b.path) for b in page], dtype=np.float32)))
+        plain = [b for b in page if b.main]
+        out.append((page, np.array([b.main for b in page], dtype=np.float32)))
         for _ in range(3):
             container = pick([("html", "body", "article"), ("html", "body", "main"), ("html", "body", "main", "article"), ("html", "body", "div", ".page", "article"), ("html", "body", "div", ".content"), ("html", "body", "main", "div", ".post", ".content"), ("html", "body", "section", ".wrap", "article", ".entry"), ("html", "body", "div", ".article", ".body")])
             rows: list[tuple[Block, float]] = []
@@ -291,10 +322,11 @@ def _variants(pages: list[list[Block]], rng: np.random.RandomState) -> list[tupl
                 rows += [(b, 0.0) for b in furniture(("html", "body", *pick([(), ("div",), ("div", ".page")])))]
             short = rng.rand() < 0.3  # also articles of few and repeated words
             for b in plain:
+                text = b.text
                 if short or rng.rand() < 0.15:
-                    b = Block(b.path, pick([b.text, plain[0].text, pick(texts)])[: pick([3, 12, 30, 80])].strip() or b.text, b.linked)
-                tail = pick([("p",)] * 6 + [("h2",), ("ul", "li"), ("blockquote", "p"), ("div",), ("pre",), ("table", "tr", "td"), ()]) if b.path[-1:] != ("h1",) else ("h1",)
-                rows.append((Block((*container, *tail), b.text, b.linked), 1.0))
+                    text = pick([text, plain[0].text, pick(texts)])[: pick([3, 12, 30, 80])].strip() or text
+                tail = pick([("p",)] * 6 + [("h2",), ("ul", "li"), ("blockquote", "p"), ("div",), ("pre",), ("table", "tr", "td"), ()]) if not b.heading else pick([("h1",), ("h2",)])
+                rows.append((block_of((*container, *tail), text, b.linked), 1.0))
                 if rng.rand() < 0.15:
                     rows += [(f, 0.0) for f in furniture(container)]
             for _ in range(rng.randint(1, 4)):
@@ -307,7 +339,7 @@ def train(pages: list[str], epochs: int = 24, seed: int = 7, rate: float = 0.01)
     """Weights fitted (Adam) to the pages' structure; without a page, those of the bare skeleton."""
     rng = np.random.RandomState(seed)
     parsed = [b for b in map(blocks_of, pages) if b] or [blocks_of("<html><body><nav><p>a</p></nav><article><h1>t</h1><p>Some text.</p></article><footer>c</footer></body></html>")]
-    examples = [(vectors(b[:160]), y[:160]) for b, y in _variants(parsed, rng)]
+    examples = [(vectors(b[i : i + TRAIN_WINDOW]), y[i : i + TRAIN_WINDOW]) for b, y in _variants(parsed, rng) for i in range(0, len(b), TRAIN_WINDOW)]
     examples.sort(key=lambda e: len(e[0]))
     batches = []
     for i in range(0, len(examples), 32):
@@ -351,8 +383,9 @@ def label_pages(w: Weights, pages: list[list[Block]]) -> list[np.ndarray]:
 
 def fit_labeller(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Weights:
     """Weights trained on the ``sample_pages`` pages with the smallest hashes, of up to ``sample_chars`` characters."""
-    known = pages.select(F.col(html_col).alias("h")).where(F.length("h").between(1, sample_chars))
-    sample = known.select("h").distinct().orderBy(F.xxhash64("h")).limit(sample_pages).collect()  # bounded by both
+    known = pages.select(col(html_col).alias("h")).where(F.length("h").between(1, sample_chars)).select("h", F.xxhash64("h").alias("k"))
+    least = known.select("k").distinct().orderBy("k").limit(sample_pages)  # eight bytes a row are shuffled, no page
+    sample = known.join(F.broadcast(least), "k").groupBy("k").agg(F.first("h").alias("h")).orderBy("k").collect()  # bounded by both
     return train([r.h for r in sample])
 
 
@@ -369,4 +402,4 @@ def extract_text(pages: DataFrame, weights: Weights, html_col: str = "html", tex
             texts += ["\n".join(b.text for b, m in zip(p, k, strict=True) if m) for p, k in zip(parsed, marks, strict=True)]
         return pa.array(texts, pa.string())
 
-    return pages.withColumn(text_col, extract(F.col(html_col)))
+    return pages.withColumn(text_col, extract(col(html_col)))
