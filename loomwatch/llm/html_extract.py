@@ -94,7 +94,17 @@ class _Places(dict):
         return place
 
 
-_PATHS, _WORDS = _Places(0, PATH_DIM), _Places(PATH_DIM, WORD_DIM)
+class _WordBytes(_Places):
+    """Where a word's feature stands, as one byte: a text's words join to an array."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 200_000:
+            self.clear()
+        place = self[word] = bytes([crc32(word.encode()) % self.count])
+        return place
+
+
+_PATHS, _WORDS = _Places(0, PATH_DIM), _WordBytes(0, WORD_DIM)
 
 
 _FURNITURE = frozenset([*FURNITURE_TAGS, *("." + w for w in FURNITURE_WORDS)])
@@ -197,18 +207,22 @@ def blocks_of(page: str | None) -> list[Block]:
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     """A row per block: counts of hashed path words, shares of hashed words, and measures of form."""
-    rows, places, values = [], [], []
+    rows, places, times, hashed = [], [], [], []
     form = np.empty((len(blocks), FORM_DIM), dtype=np.float32)
     for r, block in enumerate(blocks):
-        words = list(map(_WORDS.__getitem__, _WORD.findall(block.text.lower())))
-        rows += [r] * (len(block.path) + len(words))
-        places += [*(place for place, _ in block.path), *words]
-        values += [*(float(times) for _, times in block.path), *[1.0 / max(1, len(words))] * len(words)]
+        hashed.append(b"".join(map(_WORDS.__getitem__, _WORD.findall(block.text.lower()))))
+        rows += [r] * len(block.path)
+        for place, n in block.path:
+            places.append(place)
+            times.append(n)
         n = len(block.text)
         form[r] = (np.log1p(n) / 8, n < 25, block.linked, block.text[-1] in ".!?", block.text[:1] == "©", 1.0)
-    flat = np.array(rows, dtype=np.int64) * INPUT + np.array(places, dtype=np.int64)
-    x = np.bincount(flat, weights=values, minlength=len(blocks) * INPUT).astype(np.float32).reshape(len(blocks), INPUT)
-    np.minimum(x[:, :PATH_DIM], 2.0, out=x[:, :PATH_DIM])
+    x = np.zeros((len(blocks), INPUT), dtype=np.float32)
+    x[rows, places] = np.minimum(times, 2)
+    count = np.array([len(h) for h in hashed])
+    flat = np.repeat(np.arange(len(blocks)) * WORD_DIM, count) + np.frombuffer(b"".join(hashed), dtype=np.uint8)
+    words = np.bincount(flat, minlength=len(blocks) * WORD_DIM).reshape(len(blocks), WORD_DIM)
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = words / np.maximum(count, 1)[:, None]
     x[:, PATH_DIM + WORD_DIM :] = form
     return x
 
