@@ -66,6 +66,13 @@ CONTRACTS = {
 }
 
 
+# The class of each check's error.
+ERROR_CLASSES = {
+    "payload": "ValidationError", "identifier": "ValidationError", "unknown_keys": "ValueError", "timestamp": "ValueError",
+    "size": "ValueError", "not_finite": "ValidationError", "contract": "ValidationError",
+}
+
+
 def payload_map(payload: Column) -> Column:
     """The payload's keys and values as text; quotes that the parser leaves around bare NaN go."""
     return F.transform_values(F.from_json(payload, "map<string,string>"), lambda _, v: F.regexp_replace(v, r'^"(NaN|-?Infinity)"$', "$1"))
@@ -125,28 +132,30 @@ def not_finite(payload: Column) -> Column:
 
 
 def validate(raw: DataFrame) -> DataFrame:
-    """``raw`` with the payload map, trimmed identifiers, and errors (class, text).
+    """``raw`` with the payload map, trimmed identifiers, and errors (check, error_class, text).
 
-    Every check is an expression of the row; an event is accepted if no check fails.
+    Every check is an expression of the row; an event is accepted if no check fails. The order is
+    that in which the checks are made; the first one gives a quarantined row its class.
     """
     ids = ("user_id", "host_id", "source")
     df = raw.withColumns({c: F.trim(c) for c in ids}).withColumn("fields", payload_map(F.col("payload")))
 
-    def error(kind: str, text: Column) -> Column:
-        return F.when(text != "", F.struct(F.lit(kind).alias("error_class"), text.alias("text")))
+    def error(check: str, text: Column) -> Column:
+        return F.when(text != "", F.struct(F.lit(check).alias("check"), F.lit(ERROR_CLASSES[check]).alias("error_class"), text.alias("text")))
 
     fields = F.col("fields")
     blank = F.concat_ws(",", *[F.when(~F.char_length(c).between(1, 128), F.lit(c)) for c in ids])
-    late = F.when(~F.year("ts").between(2000, 2100), F.lit("timestamp out of range")).otherwise("")
-    size = F.when(F.octet_length(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))) > MAX_BYTES, F.lit("payload too large")).otherwise("")
+    late = F.when(~F.year("ts").between(2000, 2100), F.lit("timestamp is outside supported range")).otherwise("")
+    size = F.when(F.octet_length(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))) > MAX_BYTES, F.lit("payload is too large")).otherwise("")
+    unknown = F.array_join(unknown_keys(fields), ", ")
     checks = [
-        F.when(fields.isNull(), F.struct(F.lit("payload").alias("error_class"), F.lit("payload is no object").alias("text"))),
+        error("payload", F.when(fields.isNull(), F.lit("payload is no object")).otherwise("")),
         error("identifier", blank),
-        error("unknown_keys", F.array_join(unknown_keys(fields), ",")),
-        error("not_finite", F.array_join(not_finite(fields), ",")),
-        error("contract", F.array_join(broken_fields(fields), ",")),
+        error("unknown_keys", F.when(unknown != "", F.concat(F.lit("unknown or forbidden payload field(s): "), unknown)).otherwise("")),
         error("timestamp", late),
         error("size", size),
+        error("not_finite", F.array_join(not_finite(fields), ",")),
+        error("contract", F.array_join(broken_fields(fields), ",")),
     ]
     return df.withColumn("errors", F.array_compact(F.array(*checks)))
 
@@ -157,11 +166,11 @@ def accepted(validated: DataFrame) -> DataFrame:
 
 
 def quarantined(validated: DataFrame) -> DataFrame:
-    """The rest, with the first error's class, all errors as the reason (1000 characters) and a safe payload."""
-    first = F.col("errors")[0]["error_class"]
-    reason = F.array_join(F.transform("errors", lambda e: F.concat_ws(": ", e["error_class"], e["text"])), "; ")
+    """The rest, with the first error's class and check, all errors as the reason (1000 characters) and a safe payload."""
+    first, failed = F.col("errors")[0]["error_class"], F.col("errors")[0]["check"]
+    reason = F.array_join(F.transform("errors", lambda e: F.concat_ws(": ", e["check"], e["text"])), "; ")
     return validated.where(F.size("errors") > 0).select(
-        "event_id", "dataset_kind", "event_type", "source", first.alias("error_class"), F.substring(reason, 1, 1000).alias("reason"),
+        "event_id", "dataset_kind", "event_type", "source", first.alias("error_class"), failed.alias("failed_check"), F.substring(reason, 1, 1000).alias("reason"),
         F.to_json(F.map_from_entries(F.array_sort(F.map_entries(whitelist(F.col("fields")))))).alias("safe_payload"), "ingested_at",
     )
 

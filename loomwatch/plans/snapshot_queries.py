@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from loomwatch.operators import collectors as X, snapshots as P, validation as V, windows as W
+from loomwatch.operators import collectors as X, snapshots as P, windows as W
 from loomwatch.plans.detection_queries import decided
 from loomwatch.plans.registry import KEY, QUALITY_SQL, TEL, decisions_sql, observations_sql, query, tidy, windows_sql
 from loomwatch.plans.windows_queries import MINUTES, quality, tel
@@ -92,18 +92,6 @@ def u3_profiles_in_range(spark, sf_dir):
     return ranged.select(*W.PROFILE).distinct()
 
 
-@query(f"WITH {TEL} SELECT event_type, count(*) AS kept, 0::BIGINT AS lost FROM tel GROUP BY ALL")
-def v14_deduplicated(spark, sf_dir):
-    once = V.deduplicate(S.arrivals(S.read_events(spark, sf_dir)))
-    return once.groupBy("event_type").agg(F.count("*").alias("kept"), F.count_if(F.col("arrival") > 1).alias("lost"))
-
-
-@query()
-def a3_quarantine_summary(spark, sf_dir):
-    bad = V.quarantined(V.validate(S.raw_telemetry(S.read_events(spark, sf_dir))))
-    return bad.groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @query(f"{DECIDED}, t AS (SELECT {KEY}, detection_score, row_number() OVER (PARTITION BY {PROFILE} ORDER BY detection_score DESC, window_start)::INT AS place FROM dec) SELECT * FROM t WHERE place <= 3")
 def w4_top_windows(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy(*W.PROFILE).orderBy(F.desc("detection_score"), "window_start"))
