@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 # Log event ids with the action and result they stand for, and interactive logon types.
-LOG_EVENTS = {4624: ("logon", "success"), 4625: ("logon", "failure"), 4634: ("logoff", "success"), 4647: ("logoff", "success")}
+LOG_EVENTS = {4624: ("login", "success"), 4625: ("login", "failure"), 4634: ("logout", "success"), 4647: ("logout", "success")}
 INTERACTIVE = (2, 7, 10, 11)
-SYSTEM_ACCOUNTS = ("SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "ANONYMOUS LOGON")
+SYSTEM_ACCOUNTS = ("system", "local service", "network service")
 
 
 def auth_events(log: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def auth_events(log: DataFrame) -> DataFrame:
         value = F.struct(F.lit(action).alias("action"), F.lit(result).alias("result"))
         fits = F.col("log_event_id") == event
         chain = F.when(fits, value) if chain is None else chain.when(fits, value)
-    person = (F.trim("account") != "") & ~F.endswith("account", F.lit("$")) & ~F.upper("account").isin(*SYSTEM_ACCOUNTS)
+    person = (F.trim("account") != "") & ~F.endswith(F.trim("account"), F.lit("$")) & ~F.lower(F.trim("account")).isin(*SYSTEM_ACCOUNTS)
     fine = person & (F.col("logon_type").isNull() | F.col("logon_type").isin(*INTERACTIVE))
     kept = log.where(fine).withColumn("_e", chain).where("_e is not null")
     return kept.select("source", "record_id", "ts", "account", "logon_type", F.col("_e.action").alias("action"), F.col("_e.result").alias("result"))

@@ -9,11 +9,11 @@ from loomwatch.operators.windows import KEYS
 
 # Default policy parameters, bounds of scores and of risk.
 DEFAULT_POLICY = {
-    "rare-process": {"enabled": True, "new_process_min": 1.0, "process_min": 1.0, "activity_min": 0.0, "base": 60.0},
-    "new-remote-spike": {"enabled": True, "new_remote_min": 3.0, "network_min": 10.0, "base": 66.0},
-    "unusual-hour": {"enabled": True, "start_hour": 22.0, "end_hour": 5.0, "activity_min": 12.0, "event_min": 1.0, "base": 58.0},
-    "resource-pressure": {"enabled": True, "avg_cpu_min": 70.0, "max_cpu_min": 90.0, "avg_ram_min": 85.0, "max_ram_min": 90.0, "base": 64.0},
-    "auth-failure-burst": {"enabled": True, "failure_min": 5.0, "success_max": 100000.0, "base": 70.0},
+    "rare-process-v1": {"enabled": True, "new_process_min": 1.0, "process_min": 1.0, "activity_min": 0.0, "base": 60.0},
+    "new-remote-spike-v1": {"enabled": True, "new_remote_min": 3.0, "network_min": 10.0, "activity_min": 0.0, "base": 66.0},
+    "unusual-hour-activity-v1": {"enabled": True, "start_hour": 22.0, "end_hour": 5.0, "activity_min": 12.0, "event_min": 1.0, "base": 58.0},
+    "resource-pressure-v1": {"enabled": True, "avg_cpu_min": 70.0, "max_cpu_min": 90.0, "avg_ram_min": 85.0, "max_ram_min": 90.0, "base": 64.0},
+    "authentication-failure-burst-v1": {"enabled": True, "failure_min": 5.0, "success_max": 100000.0, "activity_min": 0.0, "base": 70.0},
 }
 RISK_LEVELS = (("critical", 90), ("high", 75), ("medium", 55), ("low", 35))
 FINDING_THRESHOLD = 55
@@ -24,9 +24,9 @@ MODES = ("hybrid", "rules_only", "model_only")
 def scaled_policy() -> dict:
     """The defaults with thresholds for sparse data."""
     policy = {rule: dict(params) for rule, params in DEFAULT_POLICY.items()}
-    policy["new-remote-spike"] |= {"new_remote_min": 2.0, "network_min": 2.0}
-    policy["auth-failure-burst"] |= {"failure_min": 3.0}
-    policy["unusual-hour"] |= {"activity_min": 0.05}
+    policy["new-remote-spike-v1"] |= {"new_remote_min": 2.0, "network_min": 2.0}
+    policy["authentication-failure-burst-v1"] |= {"failure_min": 3.0}
+    policy["unusual-hour-activity-v1"] |= {"activity_min": 0.05}
     return policy
 
 
@@ -51,14 +51,21 @@ def policy_hash(policies: DataFrame) -> DataFrame:
     return policies.groupBy("policy_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ";"), 256).alias("policy_hash"))
 
 
-def _evidence(*rows: tuple[str, float, str]) -> Column:
-    """Observed values against thresholds."""
+def _evidence(*rows: tuple[str, float | None, str]) -> Column:
+    """Observed values against thresholds (none for the parts of a sum), with what each says."""
     return F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("observed"), F.lit(float(t)).alias("threshold"), F.lit(d).alias("direction"))
-        for f, t, d in rows
+        F.struct(
+            F.col(f).cast("double").alias("observed"), F.lit(None if t is None else float(t)).cast("double").alias("threshold"),
+            F.lit(f).alias("feature"), F.lit("above").alias("direction"), F.lit(text).alias("text"),
+        )
+        for f, t, text in rows
     ])
 
 
+def _density(params: dict) -> tuple[str, float, str]:
+    return "activity_density", params["activity_min"], "Activity density gate."
+
+
 def rule_signals(policy: dict) -> list[Column]:
     """A struct (signal_id, matched, strength, evidence) for each rule of the policy."""
     f = F.col
@@ -69,47 +76,50 @@ def rule_signals(policy: dict) -> list[Column]:
         whole = F.least(F.lit(100), strength.cast("int"))
         signals.append(F.struct(F.lit(rule).alias("signal_id"), matched.alias("matched"), F.when(matched, whole).otherwise(0).alias("strength"), evidence.alias("evidence")))
 
-    if p := policy.get("rare-process"):
+    if p := policy.get("rare-process-v1"):
         add(
-            "rare-process",
+            "rare-process-v1",
             (f("new_process_count") >= p["new_process_min"]) & (f("process_count") >= p["process_min"]) & (f("activity_density") >= p["activity_min"]),
             p["base"] + F.greatest(F.lit(0.0), f("new_process_count") - 1) * 5,
-            _evidence(("new_process_count", p["new_process_min"], "above"), ("process_count", p["process_min"], "above"), ("activity_density", p["activity_min"], "above")),
+            _evidence(("new_process_count", p["new_process_min"], "New process count."), ("process_count", p["process_min"], "Process activity gate."), _density(p)),
         )
-    if p := policy.get("new-remote-spike"):
+    if p := policy.get("new-remote-spike-v1"):
         add(
-            "new-remote-spike",
-            (f("new_remote_count") >= p["new_remote_min"]) & (f("network_connection_count") >= p["network_min"]),
+            "new-remote-spike-v1",
+            (f("new_remote_count") >= p["new_remote_min"]) & (f("network_connection_count") >= p["network_min"]) & (f("activity_density") >= p["activity_min"]),
             p["base"] + F.greatest(F.lit(0.0), f("new_remote_count") - p["new_remote_min"]) * 2,
-            _evidence(("new_remote_count", p["new_remote_min"], "above"), ("network_connection_count", p["network_min"], "above")),
+            _evidence(("new_remote_count", p["new_remote_min"], "New remote count."), ("network_connection_count", p["network_min"], "Network activity gate."), _density(p)),
         )
-    if p := policy.get("unusual-hour"):
+    if p := policy.get("unusual-hour-activity-v1"):
         add(
-            "unusual-hour",
+            "unusual-hour-activity-v1",
             ((f("hour_of_day") >= p["start_hour"]) | (f("hour_of_day") <= p["end_hour"]))
             & (f("activity_density") >= p["activity_min"])
             & (f("process_count") + f("network_connection_count") >= p["event_min"]),
             p["base"] + F.greatest(F.lit(0.0), f("activity_density") - p["activity_min"]),
-            _evidence(("hour_of_day", p["start_hour"], "outside"), ("activity_density", p["activity_min"], "above")),
+            _evidence(
+                ("hour_of_day", p["start_hour"], "Unusual hour gate."), _density(p),
+                ("process_count", None, "Process side of process/network gate."), ("network_connection_count", None, "Network side of process/network gate."),
+            ),
         )
-    if p := policy.get("resource-pressure"):
+    if p := policy.get("resource-pressure-v1"):
         names = ("avg_cpu", "max_cpu", "avg_ram", "max_ram")
         limits = {f"{n}_percent": p[f"{n}_min"] for n in names}
         over = F.lit(False)
         for name, limit in limits.items():
             over = over | (f(name) >= limit)
         add(
-            "resource-pressure",
+            "resource-pressure-v1",
             over,
             p["base"] + F.greatest(F.lit(0.0), F.greatest("max_cpu_percent", "max_ram_percent") - min(limits.values())),
-            _evidence(*[(name, limit, "above") for name, limit in limits.items()]),
+            _evidence(*[(name, limit, f"{'Average' if name[:3] == 'avg' else 'Maximum'} {name[4:7].upper()} gate.") for name, limit in limits.items()]),
         )
-    if p := policy.get("auth-failure-burst"):
+    if p := policy.get("authentication-failure-burst-v1"):
         add(
-            "auth-failure-burst",
-            (f("auth_failure_count") >= p["failure_min"]) & (f("auth_success_count") <= p["success_max"]),
+            "authentication-failure-burst-v1",
+            (f("auth_failure_count") >= p["failure_min"]) & (f("auth_success_count") <= p["success_max"]) & (f("activity_density") >= p["activity_min"]),
             p["base"] + F.greatest(F.lit(0.0), f("auth_failure_count") - p["failure_min"]) * 3,
-            _evidence(("auth_failure_count", p["failure_min"], "above"), ("auth_success_count", p["success_max"], "below")),
+            _evidence(("auth_failure_count", p["failure_min"], "Authentication failure count."), ("auth_success_count", p["success_max"], "Authentication success gate."), _density(p)),
         )
     return signals
 
@@ -120,7 +130,7 @@ def model_signal(score: Column, threshold: Column, model: Column) -> Column:
     scale = F.when(threshold <= 0, F.greatest(F.abs(score), F.lit(1e-9))).otherwise(F.greatest(F.abs(threshold), F.lit(1e-9)))
     strength = F.greatest(F.lit(1), F.least(F.lit(100), F.bround(50 + 50 * F.least(F.lit(1.0), margin / scale)).cast("int")))
     matched = score > threshold
-    none = F.array().cast("array<struct<feature:string,observed:double,threshold:double,direction:string>>")
+    none = F.array().cast("array<struct<observed:double,threshold:double,feature:string,direction:string,text:string>>")
     signal = F.struct(F.concat(F.lit("model-"), model).alias("signal_id"), matched.alias("matched"), F.when(matched, strength).otherwise(0).alias("strength"), none.alias("evidence"))
     return F.when(model.isNotNull() & score.isNotNull(), signal)
 
@@ -139,7 +149,7 @@ def signal_rows(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def evidence_rows(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per window, matched signal and piece of evidence."""
     s = scored.select(*keys, F.explode("signals").alias("s")).where("s.matched")
-    return s.select(*keys, "s.signal_id", F.explode("s.evidence").alias("e")).select(*keys, "signal_id", "e.feature", "e.observed", "e.threshold", "e.direction")
+    return s.select(*keys, "s.signal_id", F.explode("s.evidence").alias("e")).select(*keys, "signal_id", "e.feature", "e.observed", "e.threshold", "e.direction", "e.text")
 
 
 def fuse(scored: DataFrame, gate: tuple[str, ...] = QUALITY_GATE, finding_threshold: int = FINDING_THRESHOLD) -> DataFrame:
@@ -175,8 +185,9 @@ def risk(score: Column) -> Column:
 
 
 def with_fingerprint(decided: DataFrame, policy_hash: str | Column, model: Column | None = None) -> DataFrame:
-    """What makes two findings the same: profile, leading signal, matched rules, policy and model."""
-    rules = F.array_join(F.array_sort(F.transform("matched_signals", lambda s: s["signal_id"])), ",")
+    """What makes two findings the same: profile, leading signal, matched rules (no model signal), policy and model."""
+    own = F.filter("matched_signals", lambda s: ~F.startswith(s["signal_id"], F.lit("model-")))
+    rules = F.array_join(F.array_sort(F.transform(own, lambda s: s["signal_id"])), ",")
     policy = F.lit(policy_hash) if isinstance(policy_hash, str) else policy_hash
     return decided.withColumn("fingerprint", fingerprint("dataset_kind", "user_id", "host_id", F.coalesce("primary_signal", F.lit("")), rules, policy, model if model is not None else F.lit("rules")))
 
@@ -229,6 +240,12 @@ def run_counters(decided: DataFrame) -> DataFrame:
     )
 
 
+def finding_counters(occurrences: DataFrame) -> DataFrame:
+    """New findings, occurrences, and occurrences that went to a finding already there, per profile."""
+    new = F.count_distinct("fingerprint", "finding_no")
+    return occurrences.groupBy("dataset_kind", "user_id", "host_id").agg(new.alias("new_findings"), (F.count("*") - new).alias("updated_findings"), F.count("*").alias("occurrences"))
+
+
 # Run statuses from best to worst.
 STATUS_ORDER = ("completed", "partial", "failed")
 

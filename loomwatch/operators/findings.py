@@ -62,16 +62,16 @@ def check_requests(requests: DataFrame, existing: DataFrame, signals: list[str],
 def suppress(decided: DataFrame, suppressions: DataFrame, now: str) -> DataFrame:
     """``decided`` with suppressed_by, and status suppressed where a suppression in force fits.
 
-    One matched signal that is suppressed suppresses the whole window. Order: profile scope, kind
-    scope, then fingerprint (only for would-be findings); earlier suppressions first. Each scope is
-    an equi-join. A window that has no matched signal is never suppressed.
+    One matched signal that is suppressed suppresses the whole window. The first suppression made
+    that fits a signal wins, for its profile or its kind alike; fingerprints (of would-be findings)
+    come after those. Each scope is an equi-join. A window without matched signal is never suppressed.
     """
     live = effective(suppressions, now)
     matched = decided.where("n_matched > 0").select(*KEYS, "fingerprint", "status", F.explode("matched_signals.signal_id").alias("signal_id"))
 
     def scope(rank: int) -> DataFrame:
         rows = live.where(F.col("scope") == SCOPES[rank])
-        return rows.withColumn("o", F.struct(F.lit(rank).alias("r"), F.col("created_at").alias("c"), F.col("suppression_id").alias("id")))
+        return rows.withColumn("o", F.struct(F.lit(rank // 2).alias("r"), F.col("created_at").alias("c"), F.col("suppression_id").alias("id")))
 
     p = scope(0).select("dataset_kind", "user_id", "host_id", "signal_id", "o")
     k = scope(1).select("dataset_kind", "signal_id", "o")
@@ -147,7 +147,16 @@ def latest_state(history: DataFrame) -> DataFrame:
     return history.groupBy("finding_id").agg(F.max_by("to_status", F.struct("at", "to_status")).alias("status"), F.count("*").alias("moves"))
 
 
-def detail(findings: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Findings with their occurrences in order."""
+def revoke(suppressions: DataFrame, revocations: DataFrame) -> DataFrame:
+    """Suppressions with those of ``revocations`` (suppression_id) no longer active."""
+    gone = revocations.select("suppression_id").distinct().withColumn("_gone", F.lit(True))
+    return suppressions.join(gone, "suppression_id", "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+
+
+def detail(findings: DataFrame, occurrences: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Findings with their occurrences, and the steps of their history (to_status, at), in order."""
+    if history is not None:
+        h = history.groupBy("fingerprint", "finding_no").agg(F.array_sort(F.collect_list(F.struct("at", "to_status"))).alias("history_list"))
+        findings = findings.join(h, ["fingerprint", "finding_no"], "left")
     o = occurrences.groupBy("fingerprint", "finding_no").agg(F.array_sort(F.collect_list(F.struct("window_start", "detection_score"))).alias("occurrence_list"))
     return findings.join(o, ["fingerprint", "finding_no"], "left")

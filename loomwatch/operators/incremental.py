@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomwatch.operators.windows import KEYS, PROFILE, aligned, entity_windows, feature_windows, first_seen
 
 LATE_MINUTES = 60
+#: Stands for the model of an evaluation by rules only.
+NO_MODEL = "none"
 
 
 def watermark(events: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -105,8 +107,10 @@ def materialize_increment(state: State | None, batch: DataFrame, minutes: int, l
 
 
 def detection_watermark(evaluations: DataFrame) -> DataFrame:
-    """The last window evaluated per profile and policy, and how many were."""
-    return evaluations.groupBy(*PROFILE, "policy_hash").agg(F.max("window_start").alias("window_start"), F.count("*").alias("evaluated"))
+    """The last window (start, then id) evaluated per profile, policy and model, and how many were."""
+    last = F.max(F.struct("window_start", "window_id")).alias("last")
+    found = evaluations.groupBy(*PROFILE, "policy_hash", F.coalesce("model_id", F.lit(NO_MODEL)).alias("model_id")).agg(last, F.count("*").alias("evaluated"))
+    return found.select(*PROFILE, "policy_hash", "model_id", "last.window_start", "last.window_id", "evaluated")
 
 
 def replace_range(old: DataFrame, new: DataFrame, start: str, end: str) -> DataFrame:

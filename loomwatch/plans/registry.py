@@ -75,19 +75,19 @@ FEATURE_SQL = """process_count, new_process_count, network_connection_count, new
 RISK_SQL = "CASE WHEN detection_score >= 90 THEN 'critical' WHEN detection_score >= 75 THEN 'high' WHEN detection_score >= 55 THEN 'medium' WHEN detection_score >= 35 THEN 'low' ELSE 'none' END"
 
 
-def decisions_sql(new_remote: float = 2, network: float = 2, failures: float = 3, activity: float = 0.05) -> str:
-    """CTEs sg, rk and dec over win: signals, their ranks and the decisions (the scaled policy)."""
+def decisions_sql(new_remote: float = 2, network: float = 2, failures: float = 3, activity: float = 0.05, gate: float = 0) -> str:
+    """CTEs sg, rk and dec over win: signals, their ranks and the decisions (the scaled policy); ``gate`` is the least activity of two rules."""
     return f"""
 sig AS (
-  SELECT {KEY}, 'rare-process' AS signal_id, new_process_count >= 1 AND process_count >= 1 AND activity_density >= 0 AS m,
+  SELECT {KEY}, 'rare-process-v1' AS signal_id, new_process_count >= 1 AND process_count >= 1 AND activity_density >= 0 AS m,
     60 + greatest(0, new_process_count - 1) * 5 AS s FROM win
-  UNION ALL SELECT {KEY}, 'new-remote-spike', new_remote_count >= {new_remote} AND network_connection_count >= {network},
+  UNION ALL SELECT {KEY}, 'new-remote-spike-v1', new_remote_count >= {new_remote} AND network_connection_count >= {network} AND activity_density >= {gate}::DOUBLE,
     66 + greatest(0, new_remote_count - {new_remote}) * 2 FROM win
-  UNION ALL SELECT {KEY}, 'unusual-hour', (hour_of_day >= 22 OR hour_of_day <= 5) AND activity_density >= {activity}::DOUBLE AND process_count + network_connection_count >= 1,
+  UNION ALL SELECT {KEY}, 'unusual-hour-activity-v1', (hour_of_day >= 22 OR hour_of_day <= 5) AND activity_density >= {activity}::DOUBLE AND process_count + network_connection_count >= 1,
     58 + greatest(0, activity_density - {activity}::DOUBLE) FROM win
-  UNION ALL SELECT {KEY}, 'resource-pressure', avg_cpu_percent >= 70 OR max_cpu_percent >= 90 OR avg_ram_percent >= 85 OR max_ram_percent >= 90,
+  UNION ALL SELECT {KEY}, 'resource-pressure-v1', avg_cpu_percent >= 70 OR max_cpu_percent >= 90 OR avg_ram_percent >= 85 OR max_ram_percent >= 90,
     64 + greatest(0, greatest(max_cpu_percent, max_ram_percent) - 70) FROM win
-  UNION ALL SELECT {KEY}, 'auth-failure-burst', auth_failure_count >= {failures} AND auth_success_count <= 100000,
+  UNION ALL SELECT {KEY}, 'authentication-failure-burst-v1', auth_failure_count >= {failures} AND auth_success_count <= 100000 AND activity_density >= {gate}::DOUBLE,
     70 + greatest(0, auth_failure_count - {failures}) * 3 FROM win),
 sg AS (SELECT {KEY}, signal_id, m AS matched, CASE WHEN m THEN least(100, trunc(s)::INT) ELSE 0 END AS strength FROM sig),
 rk AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY strength DESC, signal_id) AS r FROM sg WHERE matched),
@@ -115,16 +115,22 @@ cov AS (SELECT dataset_kind, user_id, host_id, make_timestamp(w * {minutes * 60_
   round(least(1.0::DOUBLE, sum(least(f, (w + 1) * {minutes * 60_000_000}) - greatest(b, w * {minutes * 60_000_000})) / {minutes * 60_000_000}.0::DOUBLE), 4) AS coverage
   FROM touch GROUP BY dataset_kind, user_id, host_id, w, collector),
 wide AS (SELECT {KEY}, max(coverage) FILTER (WHERE collector = 'system') AS system, max(coverage) FILTER (WHERE collector = 'process') AS process,
-  max(coverage) FILTER (WHERE collector = 'network') AS network FROM cov GROUP BY ALL)"""
+  max(coverage) FILTER (WHERE collector = 'network') AS network, max(coverage) AS best FROM cov GROUP BY ALL)"""
 
 
 QUALITY_SQL = f"""
 qual AS (
   SELECT {KEY}, event_count, system, process, network,
+    CASE WHEN dataset_kind = 'real' THEN best WHEN event_count > 0 THEN 1 ELSE 0 END::DOUBLE AS heartbeat_coverage,
     CASE WHEN dataset_kind <> 'real' THEN CASE WHEN event_count > 0 THEN 'good' ELSE 'insufficient' END
-      WHEN greatest(system, process, network) <= 0 THEN 'insufficient'
+      WHEN best <= 0 THEN 'insufficient'
       WHEN system >= 0.8 AND process >= 0.8 THEN CASE WHEN network >= 0.8 THEN 'good' ELSE 'degraded' END
       WHEN system >= 0.5 AND process >= 0.5 THEN 'degraded' ELSE 'insufficient' END AS quality_status,
-    CASE WHEN dataset_kind = 'real' THEN round((1 - greatest(system, process, network)) * 3600, 4) ELSE 0 END::DOUBLE AS gap_seconds
-  FROM (SELECT {KEY}, event_count, coalesce(system, 0) AS system, coalesce(process, 0) AS process, coalesce(network, 0) AS network
+    CASE WHEN dataset_kind <> 'real' THEN CASE WHEN event_count > 0 THEN ['quality checks passed'] ELSE ['no synthetic telemetry'] END
+      WHEN best > 0 AND system >= 0.8 AND process >= 0.8 AND network >= 0.8 THEN ['quality checks passed']
+      ELSE list_filter([CASE WHEN best <= 0 THEN 'no collector observations cover window' WHEN system >= 0.8 AND process >= 0.8 THEN 'network collector coverage below 80 percent'
+        WHEN system >= 0.5 AND process >= 0.5 THEN 'core collector coverage is partial' ELSE 'system metrics or process collector coverage is insufficient' END,
+        CASE WHEN no_system THEN 'system metrics collector did not poll' END, CASE WHEN no_process THEN 'process collector did not poll' END], lambda r: r IS NOT NULL) END AS reasons,
+    round((1 - CASE WHEN dataset_kind = 'real' THEN best WHEN event_count > 0 THEN 1 ELSE 0 END) * 3600, 4)::DOUBLE AS gap_seconds
+  FROM (SELECT {KEY}, event_count, system IS NULL AS no_system, process IS NULL AS no_process, coalesce(system, 0) AS system, coalesce(process, 0) AS process, coalesce(network, 0) AS network, coalesce(best, 0) AS best
     FROM win LEFT JOIN wide USING ({KEY})))"""

@@ -31,17 +31,21 @@ def _split(spark, sf_dir):
 
 
 @query("""SELECT 'host-' || (user_id % 10 % 2) AS source, event_id AS record_id, ts, 'user-' || (user_id % 10) AS account, ([2, 3, 7, 10, 11, NULL])[event_id % 6 + 1]::INT AS logon_type,
-CASE WHEN event_id % 5 < 2 THEN 'logon' ELSE 'logoff' END AS action, CASE WHEN event_id % 5 = 1 THEN 'failure' ELSE 'success' END AS result
+CASE WHEN event_id % 5 < 2 THEN 'login' ELSE 'logout' END AS action, CASE WHEN event_id % 5 = 1 THEN 'failure' ELSE 'success' END AS result
 FROM events WHERE event_id % 4 = 0 AND event_id % 5 < 4 AND event_id % 6 <> 1""")
 def x1_auth_events(spark, sf_dir):
     return tidy(X.auth_events(S.auth_log(S.read_events(spark, sf_dir))))
 
 
-@query("""WITH l AS (SELECT 'host-' || (user_id % 10 % 2) AS source, event_id FROM events), c AS (SELECT source, max(event_id) AS m FROM l WHERE event_id % 3 = 0 AND event_id < 500 GROUP BY ALL)
+@query("""WITH l AS (SELECT 'host-' || (user_id % 10 % 2) AS source, event_id, ts FROM events), d AS (SELECT source, min(ts) + INTERVAL 1 day AS until FROM l GROUP BY ALL),
+c AS (SELECT source, max(event_id) AS m FROM l JOIN d USING (source) WHERE ts < until GROUP BY ALL)
 SELECT source, count(*) AS fresh, max(event_id) AS record_id FROM l LEFT JOIN c USING (source) WHERE m IS NULL OR event_id > m GROUP BY ALL""")
 def x3_auth_cursor(spark, sf_dir):
-    log = S.auth_log(S.read_events(spark, sf_dir))
-    fresh = X.after_record(log, X.last_records(log.where("record_id % 3 = 0 and record_id < 500")))
+    """What came after the cursors that each source's first day of records left."""
+    log = materialize(S.auth_log(S.read_events(spark, sf_dir)), "auth-log")
+    until = log.groupBy("source").agg((F.min("ts") + F.make_interval(days=F.lit(1))).alias("until"))
+    seen = log.join(until, "source").where(F.col("ts") < F.col("until"))
+    fresh = X.after_record(log, X.last_records(seen))
     return fresh.groupBy("source").agg(F.count("*").alias("fresh"), F.max("record_id").alias("record_id"))
 
 

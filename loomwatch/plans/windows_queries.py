@@ -81,13 +81,13 @@ def f13_feature_matrix(spark, sf_dir):
 
 
 @query(f"""WITH {TEL}, {windows_sql()}, {observations_sql()},
-ok AS (SELECT DISTINCT dataset_kind, user_id, host_id, time_bucket(INTERVAL '60 minutes', observed_at) AS window_start FROM obs WHERE dataset_kind = 'real' AND observation_id % 2 = 0),
-half AS (SELECT * FROM win WHERE hour(window_start) % 2 = 0)
-SELECT {KEY}, coalesce(process_count, 0) AS process_count, coalesce(round(max_cpu_percent, 6), 0) AS max_cpu_percent, hour(window_start)::DOUBLE AS hour_of_day, coalesce(event_count, 0) AS event_count FROM half FULL JOIN ok USING ({KEY})""")
+ok AS (SELECT DISTINCT dataset_kind, user_id, host_id, time_bucket(INTERVAL '60 minutes', observed_at + interval_seconds * INTERVAL 1 second) AS window_start FROM obs WHERE dataset_kind = 'real')
+SELECT {KEY}, coalesce(process_count, 0) AS process_count, coalesce(round(max_cpu_percent, 6), 0) AS max_cpu_percent, hour(window_start)::DOUBLE AS hour_of_day, coalesce(event_count, 0) AS event_count FROM win FULL JOIN ok USING ({KEY})""")
 def f14_empty_windows(spark, sf_dir):
-    obs = S.observations(S.read_events(spark, sf_dir)).where("dataset_kind = 'real' and observation_id % 2 = 0")
-    half = wins(spark, sf_dir).where(F.hour("window_start") % 2 == 0)
-    out = W.with_empty_windows(half, C.observation_keys(obs, MINUTES))
+    """All windows, and those of polls that began as the interval of an event's own poll ended, most of them without events."""
+    obs = S.observations(S.read_events(spark, sf_dir)).where("dataset_kind = 'real'")
+    later = obs.withColumn("observed_at", F.timestamp_micros(F.unix_micros("observed_at") + F.col("interval_seconds").cast("long") * 1_000_000))
+    out = W.with_empty_windows(wins(spark, sf_dir), C.observation_keys(later, MINUTES))
     return tidy(out.select(*W.KEYS, "process_count", "max_cpu_percent", "hour_of_day", "event_count"))
 
 
@@ -96,16 +96,11 @@ def f15_coverage(spark, sf_dir):
     return tidy(C.coverage(S.observations(S.read_events(spark, sf_dir)), MINUTES))
 
 
-@query(f"WITH {TEL}, {windows_sql()}, {observations_sql()}, {QUALITY_SQL} SELECT * FROM qual")
+@query(f"WITH {TEL}, {windows_sql()}, {observations_sql()}, {QUALITY_SQL} SELECT * EXCLUDE (reasons) FROM qual")
 def f16_window_quality(spark, sf_dir):
-    return tidy(quality(spark, sf_dir).select(*W.KEYS, "event_count", "system", "process", "network", "quality_status", "gap_seconds"))
+    return tidy(quality(spark, sf_dir).select(*W.KEYS, "event_count", "system", "process", "network", "heartbeat_coverage", "quality_status", "gap_seconds"))
 
 
-@query(f"""WITH {TEL}, {windows_sql()}, {observations_sql()}, {QUALITY_SQL}, r AS (
-SELECT {KEY}, unnest([CASE WHEN greatest(system, process, network) <= 0 THEN 'no collector coverage' END,
-  CASE WHEN greatest(system, process, network) > 0 AND system < 0.8 THEN 'system coverage' END,
-  CASE WHEN greatest(system, process, network) > 0 AND process < 0.8 THEN 'process coverage' END,
-  CASE WHEN greatest(system, process, network) > 0 AND network < 0.8 THEN 'network coverage' END]) AS reason FROM qual WHERE dataset_kind = 'real')
-SELECT * FROM r WHERE reason IS NOT NULL""")
+@query(f"WITH {TEL}, {windows_sql()}, {observations_sql()}, {QUALITY_SQL} SELECT {KEY}, unnest(reasons) AS reason FROM qual")
 def f16_quality_reasons(spark, sf_dir):
     return tidy(quality(spark, sf_dir).select(*W.KEYS, F.explode("quality_reasons").alias("reason")))
