@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from loomwatch.llm.names import col
 
 SAMPLE_PAGES, SAMPLE_CHARS, TRAIN_WINDOW = 160, 60_000, 160
-PATH_DIM, WORD_DIM, FORM_DIM, HIDDEN = 256, 32, 6, 16
+#: Variants of each sampled page; more where few pages are sampled, to so many in all.
+VARIANTS, LEAST_VARIANTS = 3, 480
+PATH_DIM, WORD_DIM, FORM_DIM, HIDDEN = 512, 32, 6, 16
 INPUT = PATH_DIM + WORD_DIM + FORM_DIM
 
 # Fixed values of HTML.
@@ -54,6 +56,13 @@ FURNITURE_WORDS = (
 ).split()
 MAIN_TAGS, MAIN_WORDS = ("article", "main"), ("article", "content", "main", "post", "entry", "story", "body")
 
+# What variants of training pages wrap around and call their main text.
+WRAPPERS = ((), (), ("div",), ("div", ".page"), ("div", ".wrap"), ("div", ".container"), ("div", ".site", "div"), ("section", ".outer"))
+CONTAINERS = (
+    ("article",), ("main",), ("main", "article"), ("div", ".content"), ("main", "div", ".post", ".content"), ("article", ".entry"),
+    ("div", ".article", ".body"), ("div", ".story"), ("article", ".post"), ("div", ".main"), ("section", ".content"), ("div", ".entry", ".content"),
+)
+
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})\b((?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
@@ -329,22 +338,25 @@ def _variants(pages: list[list[Block]], rng: np.random.RandomState) -> list[tupl
     for page in pages:
         plain = [b for b in page if b.main]
         out.append((page, np.array([b.main for b in page], dtype=np.float32)))
-        for _ in range(3):
-            container = pick([("html", "body", "article"), ("html", "body", "main"), ("html", "body", "main", "article"), ("html", "body", "div", ".page", "article"), ("html", "body", "div", ".content"), ("html", "body", "main", "div", ".post", ".content"), ("html", "body", "section", ".wrap", "article", ".entry"), ("html", "body", "div", ".article", ".body")])
+        for _ in range(max(VARIANTS, -(-LEAST_VARIANTS // len(pages)))):
+            container = ("html", "body", *pick(WRAPPERS), *pick(CONTAINERS), *pick([(), (), (), ("div",), ("section",)]))
             rows: list[tuple[Block, float]] = []
-            for _ in range(rng.randint(1, 4)):
-                rows += [(b, 0.0) for b in furniture(("html", "body", *pick([(), ("div",), ("div", ".page")])))]
+            for _ in range(rng.randint(0, 4)):
+                rows += [(b, 0.0) for b in furniture(("html", "body", *pick(WRAPPERS)))]
             short = rng.rand() < 0.3  # also articles of few and repeated words
-            for b in plain:
+            some = plain if rng.rand() < 0.6 else plain[: rng.randint(1, 5)]
+            for b in some:
                 text = b.text
                 if short or rng.rand() < 0.15:
                     text = pick([text, plain[0].text, pick(texts)])[: pick([3, 12, 30, 80])].strip() or text
-                tail = pick([("p",)] * 6 + [("h2",), ("ul", "li"), ("blockquote", "p"), ("div",), ("pre",), ("table", "tr", "td"), ()]) if not b.heading else pick([("h1",), ("h2",)])
+                tail = pick([("p",)] * 5 + [("h2",), ("h3",), ("ul", "li"), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("div",), ("pre",), ("table", "tr", "td"), ()]) if not b.heading else pick([("h1",), ("h2",)])
                 rows.append((block_of((*container, *tail), text, b.linked), 1.0))
+                if "li" in tail:  # more items, short ones too
+                    rows += [(block_of((*container, *tail), pick(texts)[: pick([4, 12, 40, 200])].strip() or "x", rng.rand() < 0.1), 1.0) for _ in range(rng.randint(0, 4))]
                 if rng.rand() < 0.15:
                     rows += [(f, 0.0) for f in furniture(container)]
-            for _ in range(rng.randint(1, 4)):
-                rows += [(b, 0.0) for b in furniture(pick([("html", "body"), container]))]
+            for _ in range(rng.randint(0, 4)):
+                rows += [(b, 0.0) for b in furniture(pick([("html", "body"), container, container[:-1]]))]
             out.append(([b for b, _ in rows], np.array([y for _, y in rows], dtype=np.float32)))
     return out
 

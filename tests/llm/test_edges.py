@@ -149,7 +149,7 @@ LABELLED = [
 
 @pytest.fixture(scope="module")
 def labeller(spark):
-    return html_extract.fit_labeller(spark.read.parquet(f"{DATA}/pages.parquet"))
+    return html_extract.fit_labeller(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
 
 
 def test_html_of_pages_labelled_by_hand(spark, labeller):
