@@ -33,8 +33,8 @@ from loomwatch.llm.names import col
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Remembered matches in a worker, of up to ``MEMO_LENGTH`` characters: some 60 MB at most.
 MEMO, MEMO_LENGTH = 200_000, 64
-#: Texts whose matches are looked up together.
-TEXTS = 64
+#: Texts whose matches are looked up together, and ids that are decoded together.
+TEXTS, PART = 64, 1 << 16
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -161,20 +161,30 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
     return docs.withColumn(ids_col, encode(col(text_col)))
 
 
+def _bytes_of(ids: np.ndarray, pool: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The bytes that ids stand for, gathered from the pieces' pool."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < len(lengths):
+        raise ValueError(f"ids from {ids.min()} to {ids.max()}; the vocabulary has {len(lengths)}")
+    size = lengths[ids]
+    before = np.cumsum(size) - size
+    return pool[np.repeat(first[ids] - before, size) + np.arange(size.sum())].tobytes()
+
+
 def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with ``bytes_col``, the bytes (binary) that the ids stand for."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    pieces = read_ranks(vocabulary)
+    lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+    # The pieces' bytes one after the other, and where each begins and how long it is.
+    shared = docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths))
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        pieces = shared.value
-        numbers, starts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        numbers, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
         out = []
         for i, valid in enumerate(ids.is_valid().to_pylist()):
-            row = numbers[starts[i] : starts[i + 1]] if valid else numbers[:0]
-            if len(row) and not 0 <= row.min() <= row.max() < len(pieces):
-                raise ValueError(f"ids from {row.min()} to {row.max()}; the vocabulary has {len(pieces)}")
-            out.append(b"".join(map(pieces.__getitem__, row.tolist())))
+            row = numbers[ends[i] : ends[i + 1]] if valid else numbers[:0]
+            parts = (row[at : at + PART] for at in range(0, len(row), PART))
+            out.append(b"".join(_bytes_of(part, *shared.value) for part in parts))
         return pa.array(out, pa.binary())
 
     return docs.withColumn(bytes_col, decode(col(ids_col)))
