@@ -6,7 +6,11 @@ from loomwatch.plans.registry import KEY, TEL, query, tidy, windows_sql
 from loomwatch.streaming import features as F10
 
 
-@query(f"""WITH {TEL}, {windows_sql()} SELECT {KEY}, process_count::INT AS process_count, network_connection_count::INT AS network_connection_count, round(max_cpu_percent, 6) AS max_cpu_percent,
-auth_failure_count::BIGINT AS auth_failure_count, event_count FROM win WHERE window_start + INTERVAL 60 minutes <= (SELECT max(date_trunc('milliseconds', ts)) FROM tel) - INTERVAL 60 minutes""")
+CLOSED = "window_start + INTERVAL 60 minutes <= (SELECT max(date_trunc('milliseconds', ts)) FROM tel) - INTERVAL 60 minutes"
+MEASURES = """process_count::INT AS process_count, network_connection_count::INT AS network_connection_count, round(avg_cpu_percent, 6) AS avg_cpu_percent, round(max_cpu_percent, 6) AS max_cpu_percent,
+round(avg_ram_percent, 6) AS avg_ram_percent, round(max_ram_percent, 6) AS max_ram_percent, auth_success_count::BIGINT AS auth_success_count, auth_failure_count::BIGINT AS auth_failure_count, event_count, hour_of_day, round(activity_density, 6) AS activity_density"""
+
+
+@query(f"WITH {TEL}, {windows_sql()} SELECT {KEY}, {MEASURES} FROM win WHERE {CLOSED}")
 def t10_window_stream(spark, sf_dir):
     return tidy(F10.closed_windows(spark, sf_dir))

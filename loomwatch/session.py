@@ -24,19 +24,28 @@ def build_session(app: str = "loomwatch", master: str = "local[*]", partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomwatch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/loomwatch-{spark.sparkContext.applicationId}"
 
 
+def clear_intermediates(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` wrote in this application; tables that still read it fail afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the table that reads it.
 
     Every executor sees the folder, so a lost executor costs a read and no recomputation. The
-    folder holds one sub-folder per application and may be dropped when the application ends.
+    folder holds one sub-folder per application; ``clear_intermediates`` drops it once results are out.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

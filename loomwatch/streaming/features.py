@@ -29,11 +29,13 @@ def window_stream(events: DataFrame, minutes: int, late_minutes: int = LATE_MINU
     grouped = events.withWatermark("ts", f"{late_minutes} minutes").groupBy(*PROFILE, F.window("ts", f"{minutes} minutes").alias("w")).agg(
         F.size(F.collect_set(F.when(F.col("event_type") == "process", F.col("process_name")))).alias("process_count"),
         F.size(F.collect_set(F.when(F.col("event_type") == "network", remote))).alias("network_connection_count"),
-        F.coalesce(F.max("cpu_percent"), F.lit(0.0)).alias("max_cpu_percent"),
+        *[F.coalesce(f(f"{x}_percent"), F.lit(0.0)).alias(f"{name}_{x}_percent") for x in ("cpu", "ram") for name, f in (("avg", F.avg), ("max", F.max))],
+        F.count_if(F.col("result") == "success").alias("auth_success_count"),
         F.count_if(F.col("result") == "failure").alias("auth_failure_count"),
         F.count("*").alias("event_count"),
     )
-    return grouped.withColumn("window_start", F.col("w.start")).drop("w")
+    placed = grouped.withColumn("window_start", F.col("w.start")).drop("w")
+    return placed.withColumn("hour_of_day", F.hour("window_start").cast("double")).withColumn("activity_density", F.col("event_count") / minutes)
 
 
 def run_available(windows: DataFrame, path: str, checkpoint: str) -> None:
