@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Log event ids with the action and result they stand for, and interactive logon types.
 LOG_EVENTS = {4624: ("login", "success"), 4625: ("login", "failure"), 4634: ("logout", "success"), 4647: ("logout", "success")}
@@ -23,6 +23,36 @@ def auth_events(log: DataFrame) -> DataFrame:
     return kept.select("source", "record_id", "ts", "account", "logon_type", F.col("_e.action").alias("action"), F.col("_e.result").alias("result"))
 
 
+# Names of a log record's fields, in event XML and in the two spellings of JSON.
+LOG_FIELDS = {
+    "event_id": ("EventID", "event_id"), "record_id": ("EventRecordID", "RecordID", "record_id"), "time_created": ("TimeCreated", "time_created"),
+    "target_user_name": ("TargetUserName", "target_user_name"), "target_domain_name": ("TargetDomainName", "target_domain_name"),
+    "logon_type": ("LogonType", "logon_type"), "failure_reason": ("FailureReason", "failure_reason"), "status": ("Status", "status"), "sub_status": ("SubStatus", "sub_status"),
+}
+EVENT_XML = "System STRUCT<EventID STRING, EventRecordID STRING, TimeCreated STRUCT<_SystemTime STRING, _VALUE STRING>>, EventData STRUCT<Data ARRAY<STRUCT<_Name STRING, _VALUE STRING>>>"
+
+
+def log_fields(records: DataFrame, body: str = "body") -> DataFrame:
+    """The fields of log records as text columns beside the input's others; ``body`` is JSON or event XML.
+
+    In JSON the first name with a value counts, in XML the first Data element of that name. A field
+    that is absent or empty is null; so are all of a broken, empty or null body.
+    """
+    text = F.col(body)
+    root = F.from_xml(F.when(F.startswith(F.ltrim(text), F.lit("<")), text), EVENT_XML, {"rowTag": "Event", "mode": "PERMISSIVE"})
+    rows = records.withColumn("_x", root)
+    in_system = {"event_id": F.col("_x.System.EventID"), "record_id": F.col("_x.System.EventRecordID"), "time_created": F.col("_x.System.TimeCreated._SystemTime")}
+
+    def field(name: str) -> Column:
+        keys = LOG_FIELDS[name]
+        data = F.get(F.filter(F.col("_x.EventData.Data"), lambda d: d["_Name"] == keys[0]), F.lit(0))["_VALUE"]
+        json = [F.get_json_object(text, f"$.{k}") for k in keys]
+        return F.nullif(F.coalesce(in_system.get(name, data), *json), F.lit("")).alias(name)
+
+    others = [c for c in records.columns if c not in LOG_FIELDS and c != body]
+    return rows.select(*others, *[field(n) for n in LOG_FIELDS])
+
+
 def after_record(log: DataFrame, cursors: DataFrame) -> DataFrame:
     """Rows past the last record seen of their source; ``cursors`` has a row a source."""
     seen = cursors.select("source", F.col("record_id").alias("_last"))

@@ -28,16 +28,21 @@ def entity_of() -> Column:
     return F.when(F.col("event_type") == "process", F.col("process_name")).when(F.col("event_type") == "network", remote)
 
 
-def entity_windows(events: DataFrame, minutes: int) -> DataFrame:
-    """Partial aggregates per profile, window, event type and entity: the only pass over events."""
+def entity_sums() -> list[Column]:
+    """The partial aggregates that windows are made of; they can be summed further."""
     cpu, ram = F.col("cpu_percent"), F.col("ram_percent")
-    keyed = events.withColumn("window_start", aligned(F.col("ts"), minutes)).withColumn("entity", entity_of())
-    return keyed.groupBy(*KEYS, "event_type", "entity").agg(
+    return [
         F.count("*").alias("n"),
         F.sum(cpu).alias("cpu_sum"), F.count(cpu).alias("cpu_n"), F.max(cpu).alias("cpu_max"),
         F.sum(ram).alias("ram_sum"), F.count(ram).alias("ram_n"), F.max(ram).alias("ram_max"),
         F.count_if(F.col("result") == "success").alias("ok"), F.count_if(F.col("result") == "failure").alias("failed"),
-    )
+    ]
+
+
+def entity_windows(events: DataFrame, minutes: int) -> DataFrame:
+    """Partial aggregates per profile, window, event type and entity: the only pass over events."""
+    keyed = events.withColumn("window_start", aligned(F.col("ts"), minutes)).withColumn("entity", entity_of())
+    return keyed.groupBy(*KEYS, "event_type", "entity").agg(*entity_sums())
 
 
 def first_seen(parts: DataFrame) -> DataFrame:
@@ -65,7 +70,13 @@ def feature_windows(events: DataFrame, minutes: int = 15, baseline: DataFrame |
 
     ``baseline`` holds entities seen before the first of these windows (T5).
     """
-    parts = _flag_new(entity_windows(events, minutes), baseline)
+    return windows_of_parts(entity_windows(events, minutes), minutes, baseline)
+
+
+def windows_of_parts(parts: DataFrame, minutes: int, baseline: DataFrame | None = None) -> DataFrame:
+    """F1-F9 from the partial aggregates of ``entity_windows``."""
+    parts = _flag_new(parts, baseline)
+
     def of(kind: str) -> Column:
         return (F.col("event_type") == kind) & F.col("entity").isNotNull()
 

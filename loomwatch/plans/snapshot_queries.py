@@ -37,6 +37,13 @@ def x1_auth_events(spark, sf_dir):
     return tidy(X.auth_events(S.auth_log(S.read_events(spark, sf_dir))))
 
 
+@query("""SELECT 'host-' || (user_id % 10 % 2) AS source, ([4624, 4625, 4634, 4647, 4688])[event_id % 5 + 1]::VARCHAR AS event_id, event_id::VARCHAR AS record_id,
+strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_created, (['user-' || (user_id % 10), 'SYSTEM', 'HOST$', NULL])[event_id % 4 + 1] AS target_user_name, ([2, 3, 7, 10, 11, NULL])[event_id % 6 + 1]::VARCHAR AS logon_type FROM events""")
+def x2_log_fields(spark, sf_dir):
+    fields = X.log_fields(S.raw_auth_log(S.read_events(spark, sf_dir)))
+    return fields.select("source", "event_id", "record_id", "time_created", "target_user_name", "logon_type")
+
+
 @query("""WITH l AS (SELECT 'host-' || (user_id % 10 % 2) AS source, event_id, ts FROM events), d AS (SELECT source, min(ts) + INTERVAL 1 day AS until FROM l GROUP BY ALL),
 c AS (SELECT source, max(event_id) AS m FROM l JOIN d USING (source) WHERE ts < until GROUP BY ALL)
 SELECT source, count(*) AS fresh, max(event_id) AS record_id FROM l LEFT JOIN c USING (source) WHERE m IS NULL OR event_id > m GROUP BY ALL""")

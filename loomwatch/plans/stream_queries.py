@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loomwatch.plans.registry import KEY, TEL, query, tidy, windows_sql
-from loomwatch.streaming import features as F10
+from loomwatch.operators import windows as W
+from loomwatch.plans.registry import KEY, TEL, decisions_sql, query, tidy, windows_sql
+from loomwatch.streaming import detection as F12, features as F10
 
 
 CLOSED = "window_start + INTERVAL 60 minutes <= (SELECT max(date_trunc('milliseconds', ts)) FROM tel) - INTERVAL 60 minutes"
@@ -14,3 +15,10 @@ round(avg_ram_percent, 6) AS avg_ram_percent, round(max_ram_percent, 6) AS max_r
 @query(f"WITH {TEL}, {windows_sql()} SELECT {KEY}, {MEASURES} FROM win WHERE {CLOSED}")
 def t10_window_stream(spark, sf_dir):
     return tidy(F10.closed_windows(spark, sf_dir))
+
+
+@query(f"""WITH {TEL}, {windows_sql()}, {decisions_sql()} SELECT {KEY}, win.new_process_count, win.new_remote_count, n_matched, primary_signal, detection_score, risk_level, status
+FROM dec JOIN (SELECT {KEY}, new_process_count, new_remote_count FROM win) win USING ({KEY}) WHERE {CLOSED}""")
+def t11_t12_continuous_detection(spark, sf_dir):
+    found = F12.evaluated(spark, sf_dir)
+    return tidy(found.select(*W.KEYS, "new_process_count", "new_remote_count", "n_matched", "primary_signal", "detection_score", "risk_level", "status"))

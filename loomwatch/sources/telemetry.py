@@ -139,6 +139,21 @@ def auth_log(events: DataFrame) -> DataFrame:
     )
 
 
+def raw_auth_log(events: DataFrame) -> DataFrame:
+    """The security log as it is collected: (source, body), in two spellings of JSON and as event XML."""
+    log = auth_log(events)
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    camel = F.to_json(F.struct(F.col("log_event_id").alias("EventID"), F.col("record_id").alias("RecordID"), at.alias("TimeCreated"), F.col("account").alias("TargetUserName"), F.col("logon_type").alias("LogonType")))
+    snake = F.to_json(F.struct(F.col("log_event_id").alias("event_id"), "record_id", at.alias("time_created"), F.col("account").alias("target_user_name"), "logon_type"))
+    xml = F.concat(
+        F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><EventID>'), "log_event_id", F.lit("</EventID><TimeCreated SystemTime=\""), at,
+        F.lit('"/><EventRecordID>'), "record_id", F.lit('</EventRecordID></System><EventData><Data Name="TargetUserName">'), "account",
+        F.lit('</Data><Data Name="LogonType">'), F.coalesce(F.col("logon_type").cast("string"), F.lit("")), F.lit("</Data></EventData></Event>"),
+    )
+    form = F.col("record_id") % 3
+    return log.select("source", F.when(form == 0, camel).when(form == 1, snake).otherwise(xml).alias("body"))
+
+
 def process_snapshots(events: DataFrame) -> DataFrame:
     """(host_id, snapshot day, pid, create_time) of the processes seen that day."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))

@@ -12,10 +12,13 @@ from loomwatch.session import shared_folder
 from loomwatch.sources import telemetry as S
 
 
-def read_events_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events file of a folder, and any that come to it later, as a stream of telemetry."""
-    schema = S.read_events(spark, folder).schema
-    return S.telemetry(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder))
+def read_events_stream(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
+    """The events files of a folder, and any that come to it later, as a stream of telemetry."""
+    schema = spark.read.option("pathGlobFilter", "events*.parquet").parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    if files_a_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return S.telemetry(reader.parquet(folder))
 
 
 def window_stream(events: DataFrame, minutes: int, late_minutes: int = LATE_MINUTES) -> DataFrame:
