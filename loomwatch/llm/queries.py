@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwatch.llm import ann, bpe, decontaminate, html_extract, line_dedup, minhash, secret_scan, sharding, toxicity, url_filter
+from loomwatch.llm import ann, bpe, decontaminate, fuzzy_hash, html_extract, line_dedup, merkle, minhash, secret_scan, sharding, toxicity, url_filter, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tamper=seventh, changed={"n_chars": F.col("n_chars") + 1})
+
+
+def op13_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_hash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -119,6 +133,9 @@ QUERIES: dict[str, Query] = {
     "op8_ann": op8_ann,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle": op12_merkle,
+    "op13_fuzzy_hash": op13_fuzzy_hash,
 }
 
 #: Near lines by equal halves instead of deletion variants: an independent form of the same relation.
@@ -168,4 +185,62 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(cov.c, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_decontaminate": DECONTAMINATE_SQL}
+def _codes_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Rounds of assignment and update, unrolled; equal ids are not told apart."""
+    def nearest(book: str, name: str) -> str:
+        distance = "list_sum(list_transform(range(1, len(pt.c) + 1), lambda i: (pt.c[i] - b.c[i]) * (pt.c[i] - b.c[i])))"
+        return f"{name} AS MATERIALIZED (SELECT vec_id, label, p, any_value(c) AS c, min({{'d': d, 'e': e}}) AS m FROM (SELECT pt.vec_id, pt.label, pt.p, pt.c, b.e, {distance} AS d FROM pt JOIN {book} b USING (p)) GROUP BY vec_id, label, p)"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(nearest(f"b{r}", f"a{r}"))
+        steps.append(f"""u{r} AS (SELECT p, e, list(x ORDER BY i) AS c FROM (SELECT p, m.e AS e, i, floor(sum(c[i]) / count(*))::BIGINT AS x FROM a{r}, range(1, (SELECT max(len(c)) FROM pt) + 1) t(i) GROUP BY p, m.e, i) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(u.c, b.c) AS c FROM b{r} b LEFT JOIN u{r} u USING (p, e))""")
+    steps.append(nearest(f"b{rounds}", "z"))
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+pt AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS c FROM k, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, c FROM (SELECT p, c, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM pt) WHERE e < {entries}),
+{", ".join(steps)},
+x AS (SELECT vec_id, label, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM z GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM x
+"""
+
+
+def _merkle_sql(rows: int = 20, groups: int = 8) -> str:
+    """Levels of both trees, unrolled: as many as 2^``rows`` leaves a group and 2^``groups`` groups need."""
+    def level(name: str, k: int) -> str:
+        return f"""{name}{k + 1} AS MATERIALIZED (SELECT g, i // 2 AS i, CASE WHEN t = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (t + 1) // 2 AS t FROM {name}{k} GROUP BY g, i // 2, t)"""
+
+    def fold(name: str, k: int, old: str, new: str) -> str:
+        return f"""{new} AS MATERIALIZED (SELECT f.* REPLACE (f.j // 2 AS j, f.proof || coalesce(s.h, '') AS proof,
+  CASE WHEN o.t = 1 THEN v WHEN f.j % 2 = 0 THEN sha256(v || coalesce(s.h, '')) ELSE sha256(s.h || v) END AS v)
+  FROM {old} f JOIN {name}{k} o ON o.g = f.g AND o.i = f.j LEFT JOIN {name}{k} s ON s.g = f.g AND s.i = xor(f.j, 1::BIGINT))"""
+
+    def field(x: str) -> str:
+        return f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x}), '-')"
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+    table = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n::BIGINT))"
+    crc = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+    steps = [level("n", k) for k in range(rows)]
+    steps.append(f"m0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS t, g AS name FROM n{rows})")
+    steps += [level("m", k) for k in range(groups)]
+    steps.append("f0 AS MATERIALIZED (SELECT l.doc_id, l.g, n0.i AS j, l.leaf, CASE WHEN coalesce(c % 7 = 0, false) THEN l.other ELSE l.leaf END AS v, '' AS proof, l.no FROM l JOIN n0 ON n0.no = l.no)")
+    steps += [fold("n", k, f"f{k}", f"f{k + 1}") for k in range(rows)]
+    steps.append(f"p0 AS MATERIALIZED (SELECT f.* REPLACE ('' AS g, m0.i AS j), m0.h AS subroot FROM f{rows} f JOIN m0 ON m0.name = f.g)")
+    steps += [fold("m", k, f"p{k}", f"p{k + 1}") for k in range(groups)]
+    return f"""
+WITH tb AS MATERIALIZED (SELECT {table} AS tab),
+l AS MATERIALIZED (SELECT doc_id, coalesce('+' || lang, '') AS g, {leaf("n_chars")} AS leaf, {leaf("n_chars + 1")} AS other, {crc} AS c, row_number() OVER () AS no FROM documents, tb),
+n0 AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY g) AS t, no FROM l),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, v AS folded_root, v = root AS verified FROM p{groups}, (SELECT h AS root FROM m{groups})
+"""
+
+
+ORACLES: dict[str, str] = {"op11_vector_codes": _codes_sql(), "op12_merkle": _merkle_sql(), "op1_line_dedup": LINE_DEDUP_SQL, "op3_decontaminate": DECONTAMINATE_SQL}
