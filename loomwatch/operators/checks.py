@@ -68,7 +68,7 @@ def split_violations(rows: DataFrame) -> DataFrame:
 
 
 def compatibility(models: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Models with the first reason why they don't go with their dataset; null where they do."""
+    """M5: models with the first reason why they don't go with their dataset; null where they do."""
     d = datasets.select("dataset_id", *[F.col(c).alias(f"_{c}") for c in ("dataset_kind", "profile_key", "schema_version", "feature_names")])
     joined = models.join(d, "dataset_id", "left")
     reason = F.when(F.col("_dataset_kind").isNull(), "no such dataset")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loomwatch.operators.folds import in_order
 from loomwatch.operators.windows import KEYS
 
 # Allowed moves of a finding, and the states that end it.
@@ -115,19 +116,62 @@ def occurrence_rows(occurrences: DataFrame) -> DataFrame:
 
 
 def attach(occurrences: DataFrame, stored: DataFrame, minutes: int = CORRELATION_MINUTES) -> DataFrame:
-    """D15 against stored findings: the latest open finding within ``minutes`` of each new occurrence, or null."""
+    """D15 against stored findings: ``occurrences`` with finding_id and is_new, as if taken one by one in the order of time.
+
+    An occurrence goes to the open finding whose span, grown by the occurrences before, comes within
+    ``minutes`` of it, to the one seen last of several; without one it starts a finding. Those before
+    it have grown a span to the previous occurrence at most. So it goes to the stored finding seen
+    last (of those that begin by ``minutes`` after it, if that was seen since ``minutes`` before it)
+    where that was seen after the previous occurrence, or the previous is out of reach; else to where
+    the previous occurrence went. That is two windows over occurrences and stored findings together.
+    """
     span = minutes * 60_000_000
-    s = stored.where(~F.col("status").isin(*ENDED)).select("fingerprint", "finding_id", F.unix_micros("first_seen").alias("_f"), F.unix_micros("last_seen").alias("_l"))
     t = F.unix_micros("window_start")
-    near = occurrences.join(s, "fingerprint", "left").withColumn("_hit", (F.col("_f") <= t + span) & (F.col("_l") >= t - span))
-    return near.groupBy("fingerprint", *KEYS).agg(F.max_by(F.when(F.col("_hit"), F.col("finding_id")), F.when(F.col("_hit"), F.struct("_l", "finding_id"))).alias("finding_id"))
+    own = [c for c in occurrences.columns if c not in ("finding_id", "is_new")]
+    o = occurrences.select(*own, t.alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<l:bigint,id:string>").alias("_s"))
+    live = stored.where(~F.col("status").isin(*ENDED))
+    s = live.select("fingerprint", (F.unix_micros("first_seen") - span).alias("_t"), F.lit(0).alias("_kind"), F.struct(F.unix_micros("last_seen").alias("l"), F.col("finding_id").cast("string").alias("id")).alias("_s"))
+    by_time = Window.partitionBy("fingerprint").orderBy("_t", "_kind", *[c for c in KEYS if c in own])
+    upto = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    both = o.unionByName(s, allowMissingColumns=True).withColumn("_best", F.max("_s").over(upto)).where("_kind = 1")
+    both = both.withColumn("_before", F.lag("_t").over(by_time))
+    near = F.when(F.col("_best.l") >= F.col("_t") - span, F.col("_best"))
+    apart = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > span)
+    fresh = F.concat_ws("-", F.lit("f"), "fingerprint", F.col("_t").cast("string"))
+    starts = F.when(near.isNotNull() & (apart | (near["l"] > F.col("_before"))), F.struct(near["id"].alias("id"), F.lit(False).alias("is_new"))).when(apart, F.struct(fresh.alias("id"), F.lit(True).alias("is_new")))
+    placed = both.withColumn("_to", F.last(starts, ignorenulls=True).over(upto))
+    return placed.select(*own, F.col("_to.id").alias("finding_id"), F.col("_to.is_new").alias("is_new"))
 
 
 def related_previous(findings: DataFrame, closed: DataFrame) -> DataFrame:
-    """New findings with the last closed finding of their fingerprint that ended before them."""
-    c = closed.select("fingerprint", F.col("finding_no").alias("_no"), F.col("last_seen").alias("_last"))
-    joined = findings.join(c, "fingerprint", "left").withColumn("_ok", F.col("_last") < F.col("first_seen"))
-    return joined.groupBy("fingerprint", "finding_no").agg(F.max_by(F.when(F.col("_ok"), F.col("_no")), F.when(F.col("_ok"), F.col("_last"))).alias("previous_no"))
+    """(finding_id, related_previous): the closed finding of the same fingerprint seen last, whatever its time."""
+    last = closed.groupBy("fingerprint").agg(F.max_by("finding_id", F.struct("last_seen", "finding_id")).alias("related_previous"))
+    return findings.select("finding_id", "fingerprint").join(last, "fingerprint", "left")
+
+
+def merge_findings(stored: DataFrame, attached: DataFrame) -> DataFrame:
+    """The stored findings after the occurrences that ``attach`` has placed, and the new ones, open.
+
+    Spans grow, occurrences are counted, and a score above the stored one brings its risk along.
+    ``stored`` has finding_id, fingerprint, the profile, status, first_seen, last_seen, occurrences,
+    max_score, risk_level, primary_signal and related_previous.
+    """
+    first = F.struct(-F.col("detection_score"), "window_start")
+    news = attached.groupBy("finding_id", "fingerprint", "dataset_kind", "user_id", "host_id").agg(
+        F.max("is_new").alias("_new"), F.min("window_start").alias("_f"), F.max("window_start").alias("_l"), F.count("*").alias("_n"), F.max("detection_score").alias("_s"),
+        F.min_by("risk_level", first).alias("_r"), F.min_by("primary_signal", "window_start").alias("_p"),
+    )
+    grown = stored.join(news.select("finding_id", *[c for c in news.columns if c.startswith("_")]), "finding_id", "left")
+    higher = F.coalesce(F.col("_s") > F.col("max_score"), F.lit(False))
+    changed = {
+        "first_seen": F.least("first_seen", "_f"), "last_seen": F.greatest("last_seen", "_l"), "occurrences": F.col("occurrences") + F.coalesce("_n", F.lit(0)),
+        "max_score": F.greatest("max_score", "_s"), "risk_level": F.when(higher, F.col("_r")).otherwise(F.col("risk_level")),
+    }
+    old = grown.select(*[changed.get(c, F.col(c)).alias(c) for c in stored.columns])
+    fresh = news.where("_new").join(related_previous(news.where("_new"), stored.where(F.col("status").isin(*ENDED))).drop("fingerprint"), "finding_id")
+    named = {"first_seen": "_f", "last_seen": "_l", "occurrences": "_n", "max_score": "_s", "risk_level": "_r", "primary_signal": "_p"}
+    begun = fresh.select(*[F.lit("open").alias(c) if c == "status" else F.col(named.get(c, c)).alias(c) for c in stored.columns])
+    return old.unionByName(begun)
 
 
 def moves_table(spark) -> DataFrame:
@@ -147,10 +191,44 @@ def latest_state(history: DataFrame) -> DataFrame:
     return history.groupBy("finding_id").agg(F.max_by("to_status", F.struct("at", "to_status")).alias("status"), F.count("*").alias("moves"))
 
 
-def revoke(suppressions: DataFrame, revocations: DataFrame) -> DataFrame:
-    """Suppressions with those of ``revocations`` (suppression_id) no longer active."""
-    gone = revocations.select("suppression_id").distinct().withColumn("_gone", F.lit(True))
-    return suppressions.join(gone, "suppression_id", "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+def finding_moves(requests: DataFrame, start: str = "open") -> DataFrame:
+    """Requests (finding_id, request_id, at, to_status, confirm) with from_status, the state that the accepted ones before left, and refused.
+
+    A state that ends a finding wants a confirmation, and is never left again.
+    """
+    def step(state: dict, row: dict) -> tuple:
+        now, to = state.get("status", start), row["to_status"]
+        if to in ENDED and not row["confirm"]:
+            return now, "needs confirmation"
+        if to not in MOVES.get(now, ()):
+            return now, "no such move"
+        state["status"] = to
+        return now, None
+
+    return in_order(requests, ["finding_id"], ["at", "request_id"], step, {"from_status": "string", "refused": "string"})
+
+
+def admit_requests(requests: DataFrame, existing: DataFrame, signals: list[str]) -> DataFrame:
+    """Requests (``check_requests``' columns and at) in order, each with refused or null.
+
+    The first of equal requests is in force until its time is over; equal ones are refused till then,
+    as they are while an equal one of ``existing`` is in force.
+    """
+    fields = ["scope", "dataset_kind", "user_id", "host_id", "signal_id", "fingerprint"]
+    key = F.concat_ws("|", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
+    held = existing.where("active").groupBy(key.alias("_key")).agg(F.max(F.unix_micros("expires_at")).alias("_held"))
+    checked = check_requests(requests, existing.where("false"), signals, "1970-01-01").withColumnRenamed("refused", "_wrong")
+    keyed = checked.withColumn("_key", key).join(held, "_key", "left").withColumn("_at", F.unix_micros("at"))
+
+    def step(state: dict, row: dict) -> tuple:
+        if row["_wrong"]:
+            return (row["_wrong"],)
+        if max(state.get("until", -(2**63)), -(2**63) if row["_held"] is None else int(row["_held"])) > row["_at"]:
+            return ("an equal one is in force",)
+        state["until"] = row["_at"] + int(row["ttl_minutes"]) * 60_000_000
+        return (None,)
+
+    return in_order(keyed, ["_key"], ["_at", "request_id"], step, {"refused": "string"}).select(*requests.columns, "refused")
 
 
 def detail(findings: DataFrame, occurrences: DataFrame, history: DataFrame | None = None) -> DataFrame:

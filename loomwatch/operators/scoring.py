@@ -115,12 +115,3 @@ def latest_per(rows: DataFrame, by: list[str], at: str, tie: str) -> DataFrame:
     """Each group's newest row."""
     newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(at), F.desc(tie)))
     return rows.withColumn("_n", newest).where("_n = 1").drop("_n")
-
-
-def champions(log: DataFrame) -> DataFrame:
-    """(profile, model_id, since): the model promoted last, unless it was retired after that; one a profile at most."""
-    last = F.max_by(F.struct("model_id", "action", F.col("at").alias("since")), F.struct("at", "model_id"))
-    promoted = log.where("action = 'promote'").groupBy(*PROFILE).agg(last.alias("p")).select(*PROFILE, "p.model_id", "p.since")
-    retired = log.where("action = 'retire'").select(*PROFILE, "model_id", F.col("at").alias("_r"))
-    gone = promoted.join(retired, [*PROFILE, "model_id"]).where(F.col("_r") > F.col("since")).select(*PROFILE)
-    return promoted.join(gone, PROFILE, "left_anti")

@@ -117,24 +117,6 @@ def d16_findings(spark, sf_dir):
     return tidy(G.roll_up(G.correlate(decided(spark, sf_dir))))
 
 
-@query(f"{FOUND}, c AS (SELECT fingerprint, finding_no AS no, last_seen AS l FROM fin WHERE finding_no % 2 = 1), n AS (SELECT * FROM fin WHERE finding_no % 2 = 0) SELECT n.fingerprint, n.finding_no, max(c.no) FILTER (WHERE c.l < n.first_seen)::INT AS previous_no FROM n LEFT JOIN c USING (fingerprint) GROUP BY n.fingerprint, n.finding_no")
-def d17_related_previous(spark, sf_dir):
-    found = G.roll_up(G.correlate(stored_decisions(spark, sf_dir)))
-    return G.related_previous(found.where("finding_no % 2 = 0"), found.where("finding_no % 2 = 1"))
-
-
-@query(f"""{FOUND}, s AS (SELECT fingerprint, 'f-' || fingerprint || '-' || finding_no AS finding_id, first_seen, last_seen FROM fin WHERE finding_no % 3 <> 0)
-SELECT o.fingerprint, {', '.join('o.' + k for k in ('dataset_kind', 'user_id', 'host_id', 'window_start'))},
-  max_by(finding_id, last_seen) FILTER (WHERE first_seen <= window_start + INTERVAL 60 minutes AND last_seen >= window_start - INTERVAL 60 minutes) AS finding_id
-FROM (SELECT * FROM occ WHERE hour(window_start) % 2 = 0) o LEFT JOIN s USING (fingerprint) GROUP BY ALL""")
-def d15_attach_to_stored(spark, sf_dir):
-    occ = G.correlate(stored_decisions(spark, sf_dir))
-    found = G.roll_up(occ)
-    status = F.when(F.col("finding_no") % 3 == 0, "resolved").otherwise("open")
-    stored = found.select("fingerprint", F.concat_ws("-", F.lit("f"), "fingerprint", "finding_no").alias("finding_id"), "first_seen", "last_seen", status.alias("status"))
-    return tidy(G.attach(occ.where(F.hour("window_start") % 2 == 0), stored))
-
-
 @query(f"{FOUND} SELECT dataset_kind, user_id, host_id, count(DISTINCT (fingerprint, finding_no)) AS new_findings, count(*) - count(DISTINCT (fingerprint, finding_no)) AS updated_findings, count(*) AS occurrences FROM occ GROUP BY ALL")
 def a17_finding_counters(spark, sf_dir):
     return D.finding_counters(G.correlate(decided(spark, sf_dir)))

@@ -169,7 +169,7 @@ def m4_split_checks(spark, sf_dir):
 
 @query(f"""WITH {TEL}, {windows_sql()}, p AS (SELECT DISTINCT {PROFILE} FROM win)
 SELECT 'm-' || user_id AS model_id, CASE user_id WHEN 'user-1' THEN 'no such dataset' WHEN 'user-2' THEN 'dataset kind differs' WHEN 'user-3' THEN 'profile differs' WHEN 'user-4' THEN 'feature schema differs' WHEN 'user-5' THEN 'feature names differ' END AS mismatch FROM p""")
-def m5_m30_m31_compatibility(spark, sf_dir):
+def m5_compatibility(spark, sf_dir):
     """A model for each profile, some of them recorded with another dataset, kind, profile, schema or feature order."""
     p = wins(spark, sf_dir).select(*W.PROFILE).distinct().withColumn("profile_key", ids.profile_key())
     names = F.lit(",".join(W.FEATURES))
@@ -226,7 +226,7 @@ def _scored(spark, sf_dir):
 
 
 @query(f"{SCORED} SELECT {KEY}, split, score, risk_level FROM rs")
-def m14_s10_scored_windows(spark, sf_dir):
+def m14_scored_windows(spark, sf_dir):
     return tidy(_scored(spark, sf_dir).select(*W.KEYS, "split", "score", "risk_level"))
 
 
@@ -327,24 +327,6 @@ def w7_latest_evaluation(spark, sf_dir):
     return latest.select("model_id", F.col("day").cast("string").alias("day"), "n", "hits")
 
 
-@query(f"""{BASE}, {EVALS}, ev AS (SELECT {PROFILE}, model_id, sum(hits) / sum(n) AS recall, min(hits) / max(n) AS fpr, max(mean) AS pr_auc FROM ea GROUP BY ALL)
-SELECT {PROFILE}, model_id, row_number() OVER (PARTITION BY {PROFILE} ORDER BY recall DESC, fpr, pr_auc DESC, model_id)::INT AS place FROM ev""")
-def w5_m28_candidate_ranking(spark, sf_dir):
-    e = _evaluations(spark, sf_dir).groupBy(*W.PROFILE, "model_id").agg((F.sum("hits") / F.sum("n")).alias("recall"), (F.min("hits") / F.max("n")).alias("fpr"), F.max("mean").alias("pr_auc"))
-    return M.rank_candidates(e.withColumn("inference_seconds", F.lit(0.0)), W.PROFILE).select(*W.PROFILE, "model_id", "place")
-
-
-@query(f"""{BASE}, lg AS (SELECT {PROFILE}, 'm' || (day(day) % 3) || '-' || user_id AS model_id, day AS "at", CASE WHEN day(day) % 5 = 0 THEN 'retire' ELSE 'promote' END AS action FROM (SELECT DISTINCT {PROFILE}, window_start::DATE AS day FROM win)),
-pr AS (SELECT {PROFILE}, arg_max(model_id, "at") AS model_id, max("at") AS since FROM lg WHERE action = 'promote' GROUP BY ALL)
-SELECT {PROFILE}, model_id, since::VARCHAR AS since FROM pr WHERE NOT EXISTS (SELECT 1 FROM lg WHERE lg.dataset_kind = pr.dataset_kind AND lg.user_id = pr.user_id AND lg.host_id = pr.host_id AND lg.model_id = pr.model_id AND action = 'retire' AND "at" > since)""")
-def m25_champions(spark, sf_dir):
-    """A log of one promotion or retirement a profile and day."""
-    day = F.col("window_start").cast("date")
-    days = wins(spark, sf_dir).select(*W.PROFILE, day.alias("at")).distinct()
-    log = days.withColumn("model_id", F.concat(F.lit("m"), F.day("at") % 3, F.lit("-"), "user_id")).withColumn("action", F.when(F.day("at") % 5 == 0, "retire").otherwise("promote"))
-    return M.champions(log).select(*W.PROFILE, "model_id", F.col("since").cast("string").alias("since"))
-
-
 @query(f"""WITH {TEL}, u AS (SELECT DISTINCT user_id FROM tel), pp(rule_id, param) AS (VALUES ('rare-process-v1', 'new_process_min'), ('rare-process-v1', 'base'))
 SELECT user_id AS policy_id, 'rare-process-v1' AS rule_id, 'base' AS param, 'out of bounds' AS reason FROM u WHERE user_id IN ('user-1', 'user-2') UNION ALL SELECT user_id, 'no-such-rule', 'base', 'unknown rule or parameter' FROM u WHERE user_id = 'user-3' UNION ALL SELECT user_id, 'rare-process-v1', 'base', 'given twice' FROM u WHERE user_id = 'user-4'""")
 def d8_policy_violations(spark, sf_dir):
