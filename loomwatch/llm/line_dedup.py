@@ -40,11 +40,9 @@ BROADCAST_HASHES = 2_000_000
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """One row per line of at least ``min_chars``: document key, order, text and two hashes."""
-    exploded = docs.select(
-        col(id_col).alias("_id"),
-        F.xxhash64(col(text_col)).alias("_tk"),
-        F.posexplode(F.split(col(text_col), "\n")).alias("_no", "_raw"),
-    )
+    # The hash of the text is made below the generator: once a text, not once a line.
+    hashed = docs.select(col(id_col).alias("_id"), F.xxhash64(col(text_col)).alias("_tk"), F.split(col(text_col), "\n").alias("_all"))
+    exploded = hashed.select("_id", "_tk", F.posexplode("_all").alias("_no", "_raw"))
     trimmed = exploded.select("_id", "_tk", "_no", F.trim("_raw").alias("_t"))
     return trimmed.where(F.char_length("_t") >= min_chars).select(
         "_id",
