@@ -78,17 +78,24 @@ def compatibility(models: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def snapshot_drift(snapshot: DataFrame, current: DataFrame) -> DataFrame:
-    """Each snapshot window with the first difference from its current form; null where there is none."""
-    kept = ["window_start", "quality_status", *FEATURES]
+    """Each snapshot window with the first difference from its current form; null where there is none.
+
+    Both have window_id, the profile, feature_schema, window_start, window_end, quality_status and the features.
+    """
+    kept = ["feature_schema", "window_start", "window_end", "quality_status", *FEATURES]
     now = current.select("window_id", F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in (*PROFILE, *kept)])
     joined = snapshot.join(now, "window_id", "left")
-    other = reduce(lambda a, b: a | b, [F.col(c) != F.col(f"_{c}") for c in PROFILE])
-    drifted = reduce(lambda a, b: a | b, [F.abs(F.col(f) - F.col(f"_{f}")) > TOLERANCE for f in FEATURES])
+
+    def differs(*columns: str) -> Column:
+        return reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+
+    drifted = reduce(lambda a, b: a | b, [F.coalesce(F.abs(F.col(f) - F.col(f"_{f}")) > TOLERANCE, F.lit(True)) for f in FEATURES])
     reason = (
         F.when(F.col("_there").isNull(), "missing")
-        .when(other, "profile mismatch")
-        .when(F.col("window_start") != F.col("_window_start"), "range mismatch")
-        .when(F.col("quality_status") != F.col("_quality_status"), "quality revision mismatch")
+        .when(differs(*PROFILE), "profile mismatch")
+        .when(differs("feature_schema"), "feature schema mismatch")
+        .when(differs("window_start", "window_end"), "range mismatch")
+        .when(differs("quality_status"), "quality revision mismatch")
         .when(drifted, "feature revision mismatch")
     )
     return joined.select("window_id", *PROFILE, "window_start", reason.alias("mismatch"))
@@ -97,3 +104,22 @@ def snapshot_drift(snapshot: DataFrame, current: DataFrame) -> DataFrame:
 def in_snapshot(windows: DataFrame, snapshot: DataFrame) -> DataFrame:
     """The windows whose ids a snapshot has."""
     return windows.join(snapshot.select("window_id"), "window_id", "left_semi")
+
+
+def backfill(
+    windows: DataFrame, dataset_kind: str | None = None, start: str | None = None, end: str | None = None, snapshot: DataFrame | None = None, drift: DataFrame | None = None
+) -> DataFrame:
+    """The windows to evaluate again: a kind's in [start, end), or exactly those of the profiles' snapshots.
+
+    A profile's snapshot is refused whole if ``drift`` (``snapshot_drift``) has a mismatch in it.
+    """
+    if snapshot is not None:
+        if drift is None:
+            raise ValueError("a snapshot is taken only as verified against the windows now")
+        refused = drift.where("mismatch is not null").select(*PROFILE).distinct()
+        return in_snapshot(windows, snapshot.join(refused, PROFILE, "left_anti"))
+    if start is None or end is None:
+        raise ValueError("a backfill has an explicit range or a snapshot")
+    t = F.col("window_start")
+    kind = F.lit(True) if dataset_kind is None else F.col("dataset_kind") == dataset_kind
+    return windows.where(kind & (t >= F.lit(start).cast("timestamp")) & (t < F.lit(end).cast("timestamp")))

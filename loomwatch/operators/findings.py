@@ -149,13 +149,15 @@ def related_previous(findings: DataFrame, closed: DataFrame) -> DataFrame:
     return findings.select("finding_id", "fingerprint").join(last, "fingerprint", "left")
 
 
-def merge_findings(stored: DataFrame, attached: DataFrame) -> DataFrame:
+def merge_findings(stored: DataFrame, attached: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """The stored findings after the occurrences that ``attach`` has placed, and the new ones, open.
 
     Spans grow, occurrences are counted, and a score above the stored one brings its risk along.
     ``stored`` has finding_id, fingerprint, the profile, status, first_seen, last_seen, occurrences,
-    max_score, risk_level, primary_signal and related_previous.
+    max_score, risk_level, primary_signal and related_previous; ``closed`` has the ended ones if
+    ``stored`` does not.
     """
+    closed = stored.where(F.col("status").isin(*ENDED)) if closed is None else closed
     first = F.struct(-F.col("detection_score"), "window_start")
     news = attached.groupBy("finding_id", "fingerprint", "dataset_kind", "user_id", "host_id").agg(
         F.max("is_new").alias("_new"), F.min("window_start").alias("_f"), F.max("window_start").alias("_l"), F.count("*").alias("_n"), F.max("detection_score").alias("_s"),
@@ -168,7 +170,7 @@ def merge_findings(stored: DataFrame, attached: DataFrame) -> DataFrame:
         "max_score": F.greatest("max_score", "_s"), "risk_level": F.when(higher, F.col("_r")).otherwise(F.col("risk_level")),
     }
     old = grown.select(*[changed.get(c, F.col(c)).alias(c) for c in stored.columns])
-    fresh = news.where("_new").join(related_previous(news.where("_new"), stored.where(F.col("status").isin(*ENDED))).drop("fingerprint"), "finding_id")
+    fresh = news.where("_new").join(related_previous(news.where("_new"), closed).drop("fingerprint"), "finding_id")
     named = {"first_seen": "_f", "last_seen": "_l", "occurrences": "_n", "max_score": "_s", "risk_level": "_r", "primary_signal": "_p"}
     begun = fresh.select(*[F.lit("open").alias(c) if c == "status" else F.col(named.get(c, c)).alias(c) for c in stored.columns])
     return old.unionByName(begun)

@@ -113,12 +113,6 @@ def detection_watermark(evaluations: DataFrame) -> DataFrame:
     return found.select(*PROFILE, "policy_hash", "model_id", "last.window_start", "last.window_id", "evaluated")
 
 
-def replace_range(old: DataFrame, new: DataFrame, start: str, end: str) -> DataFrame:
-    """``old`` without the windows in [start, end), and ``new`` in their place."""
-    t = F.col("window_start")
-    return old.where((t < F.lit(start).cast("timestamp")) | (t >= F.lit(end).cast("timestamp"))).unionByName(new)
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Rows of ``new`` over those of ``old``; created_at stays what it was first."""
     o = old.select(*keys, F.col("created_at").alias("_was"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomwatch.operators.windows import PROFILE
+from loomwatch.sources.versioned import Table
 
 # What a profile needs before it is learned from.
 DAY_SECONDS, GOOD_WINDOWS, SYNTHETIC_WINDOWS, COVERAGE = 86_400, 96, 12, 0.8
@@ -123,3 +124,11 @@ def manifest_events(snapshot: DataFrame, counts: DataFrame) -> DataFrame:
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rows)."""
     return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, t in tables.items()])
+
+
+def apply_retention(events: Table, quarantine: Table, cutoff: str, run_id: str) -> None:
+    """Real events and quarantined ones from before ``cutoff`` go, each table in one step; synthetic events stay. A run that comes again changes nothing."""
+    at = F.lit(cutoff).cast("timestamp")
+    hi = events.spark.range(1).select(F.unix_micros(at)).first()[0]
+    events.replace_where((F.col("dataset_kind") == "real") & (F.col("ts") < at), run_id, hi=hi)
+    quarantine.replace_where(F.col("ts") < at, run_id, hi=hi)

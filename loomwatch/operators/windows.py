@@ -75,8 +75,11 @@ def feature_windows(events: DataFrame, minutes: int = 15, baseline: DataFrame |
 
 def windows_of_parts(parts: DataFrame, minutes: int, baseline: DataFrame | None = None) -> DataFrame:
     """F1-F9 from the partial aggregates of ``entity_windows``."""
-    parts = _flag_new(parts, baseline)
+    return windows_of_flagged(_flag_new(parts, baseline), minutes)
 
+
+def windows_of_flagged(parts: DataFrame, minutes: int) -> DataFrame:
+    """F1-F9 from partial aggregates that tell which entities are new."""
     def of(kind: str) -> Column:
         return (F.col("event_type") == kind) & F.col("entity").isNotNull()
 

@@ -204,11 +204,6 @@ def s8_window_upsert(spark, sf_dir):
     return tidy(I.upsert(*_versions(spark, sf_dir)))
 
 
-@query(f"{VERSIONS} SELECT {KEY}, process_count, created_at FROM o WHERE window_start < TIMESTAMP '2024-01-10' UNION ALL SELECT {KEY}, process_count, created_at FROM n")
-def s9_range_replace(spark, sf_dir):
-    return tidy(I.replace_range(*_versions(spark, sf_dir), "2024-01-10", "2030-01-01"))
-
-
 @query(f"WITH {TEL}, {windows_sql()} SELECT {KEY}, event_count FROM win WHERE dataset_kind <> 'synthetic'")
 def s13_clear_kind(spark, sf_dir):
     return tidy(scans.without_kind(wins(spark, sf_dir), "synthetic").select(*W.KEYS, "event_count"))
@@ -275,6 +270,15 @@ def t7_incremental_windows(spark, sf_dir):
     return tidy(state.windows.select(*W.KEYS, *W.FEATURES, "event_count"))
 
 
+@query(f"{BATCHES}, {windows_sql(60, 'one')} SELECT {KEY}, event_count, true AS same_state FROM win")
+def t8_no_op_run(spark, sf_dir):
+    """A run without events gives back the state that it was given: windows, watermarks, audit and events alike."""
+    one = materialize(_batches(spark, sf_dir)[0], "batch")
+    before = I.materialize_increment(None, one, MINUTES)
+    after = I.materialize_increment(before, one.where("false"), MINUTES)
+    return tidy(after.windows.select(*W.KEYS, "event_count", F.lit(after is before).alias("same_state")))
+
+
 @query(f"{INGESTED} SELECT dataset_kind, max(ingested_at) AS ingested_at, max_by(event_id, (ingested_at, event_id)) AS event_id FROM ing GROUP BY ALL")
 def t9_cursors(spark, sf_dir):
     return tidy(I.cursor(_ingested(spark, sf_dir), "ingested_at", "event_id"))

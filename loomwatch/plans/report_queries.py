@@ -15,6 +15,7 @@ from loomwatch.session import materialize
 from loomwatch.sources import telemetry as S
 
 QUAL = f"{TEL}, {windows_sql()}, {observations_sql()}, {QUALITY_SQL}"
+BASE = f"WITH {TEL}, {windows_sql()}, {decisions_sql()}"
 SESSIONS = """ss AS (SELECT dataset_kind, user_id, host_id, ts::DATE AS day, min(ts) AS started_at, max(ts) AS last_heartbeat_at FROM tel GROUP BY ALL),
 se AS (SELECT *, user_id || '|' || day AS session_id, CASE WHEN day < (SELECT max(day) FROM ss) THEN last_heartbeat_at END AS stopped_at, CASE WHEN day < (SELECT max(day) FROM ss) THEN 'stopped' ELSE 'running' END AS status FROM ss)"""
 #: Running sessions are counted up to here.
@@ -183,7 +184,7 @@ def m5_compatibility(spark, sf_dir):
     return K.compatibility(models, data).select("model_id", "mismatch")
 
 
-DRIFTED = f"""{SNAP}, cmp AS (SELECT {KEY}, window_id, CASE hour(window_start) WHEN 3 THEN 'missing' WHEN 7 THEN 'quality revision mismatch' WHEN 11 THEN 'range mismatch' WHEN 5 THEN 'feature revision mismatch' END AS mismatch FROM sq)"""
+DRIFTED = f"""{SNAP}, cmp AS (SELECT {KEY}, window_id, CASE hour(window_start) WHEN 3 THEN 'missing' WHEN 7 THEN 'quality revision mismatch' WHEN 11 THEN 'range mismatch' WHEN 13 THEN 'range mismatch' WHEN 17 THEN 'feature schema mismatch' WHEN 19 THEN 'profile mismatch' WHEN 5 THEN 'feature revision mismatch' END AS mismatch FROM sq)"""
 
 
 def _drifted(rows):
@@ -191,18 +192,38 @@ def _drifted(rows):
     hour = F.hour("window_start")
     now = rows.where(hour != 3).withColumn("process_count", F.when(hour == 5, F.col("process_count") + 1).otherwise(F.col("process_count")))
     now = now.withColumn("quality_status", F.when(hour == 7, "insufficient").otherwise(F.col("quality_status")))
+    now = now.withColumn("feature_schema", F.when(hour == 17, "feature-windows-v1").otherwise(F.col("feature_schema"))).withColumn("host_id", F.when(hour == 19, "elsewhere").otherwise(F.col("host_id")))
+    now = now.withColumn("window_end", F.when(hour == 13, F.col("window_end") + F.make_interval(mins=F.lit(1))).otherwise(F.col("window_end")))
     return now.withColumn("window_start", F.when(hour == 11, F.col("window_start") + F.make_interval(mins=F.lit(1))).otherwise(F.col("window_start")))
 
 
 @query(f"{DRIFTED} SELECT {KEY}, window_id, mismatch FROM cmp")
 def j8_snapshot_drift(spark, sf_dir):
     rows = _snapshot(spark, sf_dir)
+    rows = rows.withColumn("feature_schema", F.lit(W.SCHEMA_VERSION))
     return tidy(K.snapshot_drift(rows, _drifted(rows)))
 
 
+#: One revised window refuses the snapshot of its profile: those of two users have one.
+@query(f"{SNAP}, {decisions_sql()} SELECT {KEY}, detection_score, status FROM dec JOIN sq USING ({KEY}) WHERE user_id NOT IN ('user-3', 'user-7')")
+def d25_verified_backfill(spark, sf_dir):
+    """Decisions on the windows of the snapshots of which no window has been revised since."""
+    rows = _snapshot(spark, sf_dir).withColumn("feature_schema", F.lit(W.SCHEMA_VERSION))
+    revised = F.col("user_id").isin("user-3", "user-7") & (F.col("row_index") == 5)
+    drift = K.snapshot_drift(rows, rows.withColumn("process_count", F.col("process_count") + revised.cast("int")))
+    current = decided(spark, sf_dir).withColumn("window_id", ids.window_id(MINUTES))
+    return tidy(K.backfill(current, snapshot=rows, drift=drift).select(*W.KEYS, "detection_score", "status"))
+
+
+@query(f"{BASE} SELECT {KEY}, detection_score, status FROM dec WHERE dataset_kind = 'real' AND window_start >= TIMESTAMP '2024-01-05' AND window_start < TIMESTAMP '2024-01-20'")
+def d25_range_backfill(spark, sf_dir):
+    """Decisions on the windows of real profiles in an explicit range."""
+    return tidy(K.backfill(decided(spark, sf_dir), "real", "2024-01-05", "2024-01-20").select(*W.KEYS, "detection_score", "status"))
+
+
 @query(f"{SNAP}, {decisions_sql()} SELECT {KEY}, detection_score, status FROM dec JOIN sq USING ({KEY})")
-def j4_d25_backfill(spark, sf_dir):
-    """Decisions on exactly the windows of a snapshot that is as the windows are now."""
+def j4_backfill(spark, sf_dir):
+    """Decisions on exactly the windows of a snapshot."""
     rows = _snapshot(spark, sf_dir)
     current = decided(spark, sf_dir).withColumn("window_id", ids.window_id(MINUTES))
     return tidy(K.in_snapshot(current, rows).select(*W.KEYS, "detection_score", "status"))
@@ -318,9 +339,6 @@ def _evaluations(spark, sf_dir):
     return out.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "finding").alias("hits"), F.round(F.avg("detection_score"), 6).alias("mean"))
 
 
-BASE = f"WITH {TEL}, {windows_sql()}, {decisions_sql()}"
-
-
 @query(f"{BASE}, {EVALS} SELECT model_id, max(day)::VARCHAR AS day, arg_max(n, day) AS n, arg_max(hits, day) AS hits FROM ea GROUP BY ALL")
 def w7_latest_evaluation(spark, sf_dir):
     latest = M.latest_per(_evaluations(spark, sf_dir), ["model_id"], "day", "model_id")
@@ -359,16 +377,3 @@ def d22_effective_after_revoke(spark, sf_dir):
     fixed = spark.createDataFrame(SUPPRESSIONS, SUPPRESSION_SCHEMA).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
     gone = S.read_events(spark, sf_dir).select(F.concat(F.lit("s"), F.col("event_id") % 3 + 4).alias("suppression_id"))
     return G.effective(G.revoke(fixed, gone), NOW).select("suppression_id")
-
-
-@query(f"{BASE} SELECT (SELECT count(*) FROM dec) AS first_run, 0::BIGINT AS second_run, (SELECT count(*) FROM dec WHERE process_count > 0) AS after_change")
-def d24_idempotent_runs(spark, sf_dir):
-    """How many windows a run evaluates, a run after it, and one after the input of some windows changed."""
-    dec = stored_decisions(spark, sf_dir).withColumn("window_id", ids.window_id(MINUTES)).withColumn("policy_hash", F.lit("p")).withColumn("model_id", F.lit(None).cast("string"))
-    now = dec.withColumn("feature_input_hash", F.lit("h1"))
-    keys = ["window_id", "feature_input_hash", "policy_hash", "model_id"]
-    stored = now.select(*keys)
-    changed = now.withColumn("feature_input_hash", F.when(F.col("process_count") > 0, "h2").otherwise(F.col("feature_input_hash")))
-    runs = [D.pending(now, stored.where("false")), D.pending(now, stored), D.pending(changed, stored)]
-    counts = [r.agg(F.count("*").alias(n)) for r, n in zip(runs, ("first_run", "second_run", "after_change"), strict=True)]
-    return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))  # a row each
