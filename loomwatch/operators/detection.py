@@ -36,13 +36,68 @@ def policy_table(spark, policy: dict, policy_id: str = "default") -> DataFrame:
     return spark.createDataFrame(rows, "policy_id string, rule_id string, param string, value double")
 
 
-def policy_violations(policies: DataFrame, known: DataFrame) -> DataFrame:
-    """Parameters that no rule has or that lie out of bounds; ``known`` has (rule_id, param, lo, hi)."""
-    joined = policies.join(F.broadcast(known), ["rule_id", "param"], "left")  # known: a row a parameter of the five rules
-    reason = F.when(F.col("lo").isNull(), "unknown rule or parameter").when(~F.col("value").between(F.col("lo"), F.col("hi")), "out of bounds")
-    twice = policies.groupBy("policy_id", "rule_id", "param").agg(F.count("*").alias("n")).where("n > 1")
+# The least and greatest value of each rule's parameters, and those that are whole numbers.
+BOUNDS = {
+    "rare-process-v1": {"new_process_min": (1, 10_000), "process_min": (1, 100_000), "activity_min": (0, 100_000), "base": (1, 100), "enabled": (0, 1)},
+    "new-remote-spike-v1": {"new_remote_min": (1, 100_000), "network_min": (1, 1_000_000), "activity_min": (0, 100_000), "base": (1, 100), "enabled": (0, 1)},
+    "unusual-hour-activity-v1": {"start_hour": (0, 23), "end_hour": (0, 23), "activity_min": (0, 100_000), "event_min": (0, 1_000_000), "base": (1, 100), "enabled": (0, 1)},
+    "resource-pressure-v1": {"avg_cpu_min": (0, 100), "max_cpu_min": (0, 100), "avg_ram_min": (0, 100), "max_ram_min": (0, 100), "base": (1, 100), "enabled": (0, 1)},
+    "authentication-failure-burst-v1": {"failure_min": (1, 100_000), "success_max": (0, 100_000), "activity_min": (0, 100_000), "base": (1, 100), "enabled": (0, 1)},
+}
+WHOLE = ("new_process_min", "process_min", "new_remote_min", "network_min", "start_hour", "end_hour", "failure_min", "success_max", "base", "enabled")
+QUALITIES = ("good", "degraded", "insufficient")
+FUSION = "hybrid-fusion-v1"
+
+
+def policy_violations(policies: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(policy_id, rule_id, param, reason) of what is wrong in policies; no row for a sound one.
+
+    ``policies`` has a parameter a row; a rule that has any must have all of its own. ``heads`` has a
+    policy a row: mode, fusion_method, finding_threshold, low, medium, high, critical and quality_gate.
+    """
+    spark = policies.sparkSession
+    rows = [(r, p, float(lo), float(hi), p in WHOLE) for r, params in BOUNDS.items() for p, (lo, hi) in params.items()]
+    known = F.broadcast(spark.createDataFrame(rows, "rule_id string, param string, lo double, hi double, whole boolean"))  # the parameters of five rules
+    joined = policies.join(known, ["rule_id", "param"], "left")
+    v = F.col("value")
+    reason = (
+        F.when(F.col("lo").isNull(), "unknown rule or parameter")
+        .when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "config values must be finite")
+        .when(~v.between(F.col("lo"), F.col("hi")), "out of bounds")
+        .when(F.col("whole") & (v != F.floor(v)), "not a whole number")
+    )
     odd = joined.select("policy_id", "rule_id", "param", reason.alias("reason")).where("reason is not null")
-    return odd.unionByName(twice.select("policy_id", "rule_id", "param", F.lit("given twice").alias("reason")))
+    twice = policies.groupBy("policy_id", "rule_id", "param").agg(F.count("*").alias("n")).where("n > 1").select("policy_id", "rule_id", "param", F.lit("given twice").alias("reason"))
+    wanted = policies.select("policy_id", "rule_id").distinct().join(known.where("param <> 'enabled'").select("rule_id", "param"), "rule_id")
+    missing = wanted.join(policies, ["policy_id", "rule_id", "param"], "left_anti").select("policy_id", "rule_id", "param", F.lit("missing").alias("reason"))
+    found = odd.unionByName(twice).unionByName(missing)
+    if heads is None:
+        return found
+
+    def wrong(c: Column) -> Column:
+        return F.coalesce(c, F.lit(True))
+
+    levels = ["low", "medium", "high", "critical"]
+    disordered = wrong(F.col("low") >= F.col("medium")) | wrong(F.col("medium") >= F.col("high")) | wrong(F.col("high") >= F.col("critical"))
+    outside = wrong(~F.col("finding_threshold").between(0, 100))
+    for level in levels:
+        outside = outside | wrong(~F.col(level).between(0, 100))
+    checks = {
+        ("mode", "unknown detection mode"): wrong(~F.col("mode").isin(*MODES)), ("fusion_method", "unknown detection fusion method"): wrong(F.col("fusion_method") != FUSION),
+        ("thresholds", "out of bounds"): outside, ("thresholds", "risk thresholds must satisfy low < medium < high < critical"): disordered,
+        ("quality_gate", "quality_gate must not be empty"): wrong(F.size("quality_gate") <= 0), ("quality_gate", "quality_gate contains unknown quality status"): F.size(F.array_except("quality_gate", F.array(*map(F.lit, QUALITIES)))) > 0,
+    }
+    said = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(p).alias("param"), F.lit(r).alias("reason"))) for (p, r), c in checks.items()]))
+    of_heads = heads.select("policy_id", F.explode(said).alias("s")).select("policy_id", F.lit(None).cast("string").alias("rule_id"), "s.param", "s.reason")
+    return found.unionByName(of_heads)
+
+
+def tampered_policies(policies: DataFrame, registered: DataFrame) -> DataFrame:
+    """(policy_id, reason) of registered policies (policy_id, policy_hash) whose parameters give another hash now, or are gone."""
+    now = policy_hash(policies).select("policy_id", F.col("policy_hash").alias("_now"))
+    joined = registered.join(now, "policy_id", "left")
+    reason = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("policy_hash"), "policy hash mismatch")
+    return joined.select("policy_id", reason.alias("reason")).where("reason is not null")
 
 
 def policy_hash(policies: DataFrame) -> DataFrame:

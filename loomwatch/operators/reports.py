@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomwatch.operators.windows import PROFILE
+from loomwatch.operators.windows import PROFILE, SCHEMA_VERSION
 from loomwatch.sources.versioned import Table
 
 # What a profile needs before it is learned from.
@@ -101,6 +101,30 @@ def eligibility(windows: DataFrame, progress: DataFrame, minutes: int) -> DataFr
     return out.withColumn("eligible", F.col("reason") == "ready")
 
 
+def training_gate(rows: DataFrame, manifest: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(profile, reason): ready, or the first reason why a real profile's snapshot is not trained on.
+
+    ``rows`` is the snapshot, ``manifest`` has a row a profile with feature_schema, quality_filters,
+    first_start and last_end, ``eligible`` is what ``eligibility`` gives. Synthetic profiles pass.
+    """
+    found = rows.groupBy(*PROFILE).agg(F.count("*").alias("_n"), F.count_if(F.col("quality_status") != "good").alias("_odd"))
+    m = manifest.select(*PROFILE, F.lit(True).alias("_there"), "feature_schema", "quality_filters", "first_start", "last_end")
+    joined = found.join(m, PROFILE, "left").join(eligible.select(*PROFILE, "reason"), PROFILE, "left")
+    seconds = (F.unix_micros("last_end") - F.unix_micros("first_start")) / 1e6
+    reason = (
+        F.when(F.col("dataset_kind") != "real", "ready")
+        .when(F.coalesce(F.col("reason") != "ready", F.lit(True)), F.concat(F.lit("real training not eligible: "), F.coalesce("reason", F.lit("no windows"))))
+        .when(F.col("_there").isNull(), "real snapshot profile does not match rows")
+        .when(F.col("feature_schema") != SCHEMA_VERSION, "real snapshot feature schema is incompatible")
+        .when(F.col("quality_filters") != F.array(F.lit("good")), "real snapshot must be filtered to good windows")
+        .when(F.col("_odd") > 0, "real snapshot contains non-good windows")
+        .when(F.col("_n") < GOOD_WINDOWS, "real snapshot requires at least 96 good windows")
+        .when(seconds < DAY_SECONDS, "real snapshot requires at least 24 hours of coverage")
+        .otherwise("ready")
+    )
+    return joined.select(*PROFILE, reason.alias("reason"))
+
+
 def readiness(eligible: DataFrame) -> DataFrame:
     """How many profiles of each kind there are and are ready."""
     return eligible.groupBy("dataset_kind").agg(F.count("*").alias("profiles"), F.count_if("eligible").alias("ready"))

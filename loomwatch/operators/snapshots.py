@@ -64,7 +64,7 @@ def calibrate(scores: DataFrame, by: list[str], rate: float, least: int = 12) ->
     joined = ranked.join(threshold, by)
     return joined.groupBy(*by).agg(
         F.first("threshold").alias("threshold"), F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"),
-        F.avg("score").alias("mean"), F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("flagged_rate"),
+        F.median("score").alias("median"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread"), F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("flagged_rate"),
     )
 
 
@@ -107,6 +107,56 @@ def drift(reference: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
+QUANTILES = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def quantiles(x: Column) -> Column:
+    """The four linear percentiles as an array."""
+    return F.percentile(x, F.array(*map(F.lit, QUANTILES.values())))
+
+
+def feature_distribution(rows: DataFrame, k: int = 5) -> DataFrame:
+    """Mean, std and percentiles of each profile's ``k`` features that spread most (compared at six decimals, then by name)."""
+    found = long_features(rows).groupBy(*PROFILE, "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), quantiles(F.col("x")).alias("q"))
+    place = F.row_number().over(Window.partitionBy(*PROFILE).orderBy(F.round("std", 6).desc(), "feature"))  # twelve a profile
+    named = [F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)]
+    return found.withColumn("place", place).where(F.col("place") <= k).select(*PROFILE, "place", "feature", "mean", "std", *named)
+
+
+def drift_report(reference: DataFrame, target: DataFrame, k: int = 5, least: int = 12) -> DataFrame:
+    """The ``k`` features of each profile that moved most, with shift, stability and the percentiles of both sides.
+
+    Profiles with under ``least`` rows on a side have no row; ``drift_summary`` tells them.
+    """
+    enough = [rows.groupBy(*PROFILE).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*PROFILE) for rows in (reference, target)]
+    both = enough[0].join(enough[1], PROFILE)
+    sides = [long_features(rows).groupBy(*PROFILE, "feature").agg(quantiles(F.col("x")).alias(name)) for rows, name in ((reference, "r"), (target, "t"))]
+    joined = drift(reference, target).join(both, PROFILE).join(sides[0], [*PROFILE, "feature"]).join(sides[1], [*PROFILE, "feature"])
+    place = F.row_number().over(Window.partitionBy(*PROFILE).orderBy(F.round("shift", 6).desc(), "feature"))  # twelve a profile
+    named = [F.col(side)[i].alias(f"{prefix}_{n}") for side, prefix in (("r", "train"), ("t", "target")) for i, n in enumerate(QUANTILES)]
+    return joined.withColumn("place", place).where(F.col("place") <= k).select(*PROFILE, "place", "feature", "shift", "psi", *named)
+
+
+def drift_summary(reference: DataFrame, target: DataFrame, thresholds: DataFrame, least: int = 12) -> DataFrame:
+    """Status, flagged rates of both sides, their difference and score percentiles; the sides have the profile and score."""
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        flagged = F.avg((F.col("score") >= F.col("threshold")).cast("double"))
+        met = rows.join(thresholds.select(*PROFILE, "threshold"), PROFILE)
+        return met.groupBy(*PROFILE).agg(F.count("*").alias(f"{name}_count"), flagged.alias(f"{name}_flagged_rate"), quantiles(F.col("score")).alias(f"{name}_q"))
+
+    joined = side(reference, "reference").join(side(target, "target"), PROFILE, "full_outer").fillna(0, ["reference_count", "target_count"])
+    few = (F.col("reference_count") < least) | (F.col("target_count") < least)
+
+    def told(c: Column) -> Column:
+        return F.when(~few, c)
+
+    named = [told(F.col(f"{side}_q")[i]).alias(f"{side}_{n}") for side in ("reference", "target") for i, n in enumerate(QUANTILES)]
+    return joined.select(
+        *PROFILE, F.when(few, "insufficient_data").otherwise("ok").alias("status"), "reference_count", "target_count", *[told(F.col(c)).alias(c) for c in ("reference_flagged_rate", "target_flagged_rate")],
+        told(F.col("target_flagged_rate") - F.col("reference_flagged_rate")).alias("flagged_rate_difference"), *named,
+    )
+
+
 def ranking_quality(scored: DataFrame, by: list[str]) -> DataFrame:
     """Counts, precision, recall, f1, false-positive rate, ROC-AUC and average precision.
 

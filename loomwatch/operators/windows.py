@@ -12,6 +12,8 @@ FEATURES = [
     "avg_ram_percent", "max_ram_percent", "auth_success_count", "auth_failure_count", "hour_of_day", "activity_density",
 ]
 SCHEMA_VERSION = "feature-windows-v2"
+#: Events of so many seconds share a digest of the first level.
+HASH_SECONDS = 60
 
 
 def aligned(ts: Column, minutes: int) -> Column:
@@ -117,15 +119,22 @@ def as_map(counts: DataFrame, name: str) -> DataFrame:
     return counts.groupBy(*KEYS).agg(F.map_from_entries(entries).alias(name))
 
 
-def source_hash(events: DataFrame, minutes: int) -> DataFrame:
-    """a digest of each window's events in (id, time, type) order.
+def source_hash(events: DataFrame, minutes: int, span_seconds: int = HASH_SECONDS) -> DataFrame:
+    """a digest of each window's events, in two levels.
 
-    The digest is of per-event digests, so a window's row carries 64 characters an event and no payload.
+    The events of each ``span_seconds`` of a window have a digest, over the digests of each in the
+    order (id, time, type); the window's is over those of its spans in the order of time. So no row
+    gathers more than a span's events, or one digest a span.
     """
+    size = span_seconds * 1_000_000
     each = F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), F.unix_micros("ts").cast("string"), "event_type"), 256)
-    keyed = events.select(*PROFILE, aligned(F.col("ts"), minutes).alias("window_start"), F.struct("event_id", each.alias("d")).alias("e"))
-    ordered = F.transform(F.array_sort(F.collect_list("e")), lambda x: x["d"])
-    return keyed.groupBy(*KEYS).agg(F.sha2(F.array_join(ordered, ""), 256).alias("source_event_hash"))
+    keyed = events.select(*PROFILE, aligned(F.col("ts"), minutes).alias("window_start"), F.floor(F.unix_micros("ts") / size).alias("span"), F.struct("event_id", each.alias("d")).alias("e"))
+
+    def over(entries: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(entries), lambda x: x["d"]), ""), 256)
+
+    spans = keyed.groupBy(*KEYS, "span").agg(over(F.collect_list("e")).alias("d"))
+    return spans.groupBy(*KEYS).agg(over(F.collect_list(F.struct("span", "d"))).alias("source_event_hash"))
 
 
 def fixed(x: Column) -> Column:

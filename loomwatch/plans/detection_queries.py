@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomwatch.functions import ids
 from loomwatch.operators import detection as D, findings as G, windows as W
 from loomwatch.operators.incremental import detection_watermark
-from loomwatch.plans.registry import KEY, QUALITY_SQL, TEL, decisions_sql, observations_sql, query, tidy, windows_sql
+from loomwatch.plans.registry import KEY, QUALITY_SQL, SOURCE_HASH, TEL, decisions_sql, observations_sql, query, tidy, windows_sql
 from loomwatch.plans.windows_queries import quality, whole_windows, wins
 from loomwatch.session import materialize
 
@@ -202,7 +202,7 @@ def a19_dry_run_samples(spark, sf_dir):
 WINDOW_ID = f"""wid AS (SELECT {KEY}, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS window_id FROM (
   SELECT {KEY}, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('|', dataset_kind, user_id, host_id, epoch_us(window_start), epoch_us(window_start) + 3600000000, 'feature-windows-v2'))) AS h FROM win))"""
 _FIXED = ", ".join(f"round({f}, 9)::DECIMAL(28,9)::VARCHAR" for f in W.FEATURES)
-INPUTS = f"""WITH {TEL}, {windows_sql()}, WINDOW_ID, h AS (SELECT dataset_kind, user_id, host_id, time_bucket(INTERVAL '60 minutes', ts) AS window_start, sha256(string_agg(sha256(event_id || '|' || epoch_us(ts) || '|' || event_type), '' ORDER BY event_id)) AS source_event_hash FROM tel GROUP BY ALL),
+INPUTS = f"""WITH {TEL}, {windows_sql()}, WINDOW_ID, h AS ({SOURCE_HASH}),
 inp AS (SELECT {KEY}, window_id, process_count, sha256(concat_ws('|', dataset_kind, user_id, host_id, epoch_us(window_start)::VARCHAR, 'feature-windows-v2', {_FIXED}, source_event_hash)) AS feature_input_hash FROM win JOIN h USING ({KEY}) JOIN wid USING ({KEY})),
 ev AS (SELECT window_id, CASE WHEN hour(window_start) % 3 = 0 THEN feature_input_hash ELSE 'stale' END AS feature_input_hash, CASE WHEN hour(window_start) % 2 = 0 THEN 'p1' ELSE 'p0' END AS policy_hash FROM inp WHERE process_count > 0)"""
 

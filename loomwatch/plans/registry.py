@@ -47,6 +47,12 @@ tel AS (
   FROM raw)"""
 
 
+#: The digest of each window's events, minute by minute.
+SOURCE_HASH = f"""SELECT {KEY}, sha256(string_agg(d, '' ORDER BY span)) AS source_event_hash FROM (
+  SELECT dataset_kind, user_id, host_id, time_bucket(INTERVAL '60 minutes', ts) AS window_start, epoch_us(ts) // 60000000 AS span,
+    sha256(string_agg(sha256(event_id || '|' || epoch_us(ts) || '|' || event_type), '' ORDER BY event_id)) AS d FROM tel GROUP BY ALL) GROUP BY {KEY}"""
+
+
 def windows_sql(minutes: int = 60, source: str = "tel") -> str:
     """CTEs e, fs and win: the feature windows."""
     return f"""

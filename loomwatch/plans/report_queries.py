@@ -75,6 +75,17 @@ def a11_m27_eligibility(spark, sf_dir):
     return tidy(_eligible(spark, sf_dir).drop("cumulative_seconds"))
 
 
+@query(f"""{ELIGIBLE}, sn AS (SELECT {PROFILE}, count(*) AS n, count(*) FILTER (WHERE quality_status <> 'good') AS odd, min(window_start) AS first, max(window_start) + INTERVAL 60 minutes AS last FROM qual WHERE quality_status = 'good' OR (dataset_kind = 'synthetic' AND quality_status = 'degraded') GROUP BY ALL)
+SELECT {PROFILE}, CASE WHEN dataset_kind <> 'real' THEN 'ready' WHEN reason <> 'ready' THEN 'real training not eligible: ' || reason WHEN user_id = 'user-3' THEN 'real snapshot feature schema is incompatible' WHEN user_id = 'user-4' THEN 'real snapshot must be filtered to good windows'
+  WHEN odd > 0 THEN 'real snapshot contains non-good windows' WHEN n < 96 THEN 'real snapshot requires at least 96 good windows' WHEN last - first < INTERVAL 24 hours THEN 'real snapshot requires at least 24 hours of coverage' ELSE 'ready' END AS reason FROM sn JOIN er USING ({PROFILE})""")
+def m27_training_gate(spark, sf_dir):
+    """Whether the snapshot of each profile may be trained on; two have a manifest that does not fit."""
+    rows, user = _snapshot(spark, sf_dir), F.col("user_id")
+    manifest = R.manifest(rows).withColumn("feature_schema", F.when(user == "user-3", "feature-windows-v1").otherwise(W.SCHEMA_VERSION))
+    manifest = manifest.withColumn("quality_filters", F.when(user == "user-4", F.array(F.lit("good"), F.lit("degraded"))).otherwise(F.array(F.lit("good"))))
+    return R.training_gate(rows, manifest, _eligible(spark, sf_dir))
+
+
 @query(f"{ELIGIBLE} SELECT dataset_kind, count(*) AS profiles, count(*) FILTER (WHERE reason = 'ready') AS ready FROM er GROUP BY ALL")
 def a12_readiness(spark, sf_dir):
     return R.readiness(_eligible(spark, sf_dir))
@@ -274,6 +285,22 @@ def m20_unlabelled_evaluation(spark, sf_dir):
     return tidy(M.unlabelled_evaluation(_scored(spark, sf_dir)))
 
 
+_SQ = ", ".join(f"CASE WHEN s = 'ok' THEN round(quantile_cont(score, {q}::DOUBLE) FILTER (WHERE split = '{split}'), 6) END AS {side}_{n}" for side, split in (("reference", "train"), ("target", "test")) for n, q in P.QUANTILES.items())
+
+
+@query(f"""{SCORED}, st2 AS (SELECT {PROFILE}, CASE WHEN count(*) FILTER (WHERE split = 'train') < 12 OR count(*) FILTER (WHERE split = 'test') < 12 THEN 'insufficient_data' ELSE 'ok' END AS s FROM rs GROUP BY ALL)
+SELECT {PROFILE}, s AS status, count(*) FILTER (WHERE split = 'train') AS reference_count, count(*) FILTER (WHERE split = 'test') AS target_count, CASE WHEN s = 'ok' THEN round(avg((score >= threshold)::INT) FILTER (WHERE split = 'train'), 6) END AS reference_flagged_rate,
+  CASE WHEN s = 'ok' THEN round(avg((score >= threshold)::INT) FILTER (WHERE split = 'test'), 6) END AS target_flagged_rate,
+  CASE WHEN s = 'ok' THEN round(avg((score >= threshold)::INT) FILTER (WHERE split = 'test') - avg((score >= threshold)::INT) FILTER (WHERE split = 'train'), 6) END AS flagged_rate_difference, {_SQ}
+FROM rs JOIN st2 USING ({PROFILE}) GROUP BY {PROFILE}, s""")
+def m23_drift_summary(spark, sf_dir):
+    """Flagged rates and scores of the train and test parts."""
+    rows = _scored(spark, sf_dir)
+    cuts = rows.select(*W.PROFILE, "threshold").distinct()
+    sides = [rows.where(F.col("split") == part).drop("threshold") for part in ("train", "test")]
+    return tidy(P.drift_summary(*sides, cuts))
+
+
 #: A scenario a profile: its window with the most failed logins, the earliest of them.
 SCENARIOS = f"""sn2 AS (SELECT {PROFILE}, arg_min(window_start, (-auth_failure_count, window_start)) AS window_start FROM sp GROUP BY ALL),
 mt AS (SELECT 'burst of ' || user_id AS name, sn2.dataset_kind, sn2.user_id, sn2.host_id, sn2.window_start, (score IS NOT NULL)::BIGINT AS match_count, coalesce(score, 0) AS best_score, coalesce(risk_level, 'none') AS max_risk_level, score IS NOT NULL AS detected FROM sn2 LEFT JOIN an USING ({KEY}))"""
@@ -345,20 +372,49 @@ def w7_latest_evaluation(spark, sf_dir):
     return latest.select("model_id", F.col("day").cast("string").alias("day"), "n", "hits")
 
 
-@query(f"""WITH {TEL}, u AS (SELECT DISTINCT user_id FROM tel), pp(rule_id, param) AS (VALUES ('rare-process-v1', 'new_process_min'), ('rare-process-v1', 'base'))
-SELECT user_id AS policy_id, 'rare-process-v1' AS rule_id, 'base' AS param, 'out of bounds' AS reason FROM u WHERE user_id IN ('user-1', 'user-2') UNION ALL SELECT user_id, 'no-such-rule', 'base', 'unknown rule or parameter' FROM u WHERE user_id = 'user-3' UNION ALL SELECT user_id, 'rare-process-v1', 'base', 'given twice' FROM u WHERE user_id = 'user-4'""")
-def d8_policy_violations(spark, sf_dir):
-    """A policy a user, four of them wrong."""
+def _policies(spark, sf_dir):
+    """The default policy for each user, a parameter a row."""
     users = tel(spark, sf_dir).select(F.col("user_id").alias("policy_id")).distinct()
-    base = F.when(F.col("policy_id").isin("user-1", "user-2"), 900.0).otherwise(60.0)
-    params = F.create_map(F.lit("new_process_min"), F.lit(1.0), F.lit("base"), base)
-    given = users.select("policy_id", F.lit("rare-process-v1").alias("rule_id"), F.explode(params).alias("param", "value"))
-    given = given.unionByName(users.where("policy_id = 'user-3'").select("policy_id", F.lit("no-such-rule").alias("rule_id"), F.lit("base").alias("param"), F.lit(1.0).alias("value")))
-    given = given.unionByName(given.where("policy_id = 'user-4' and param = 'base'"))
-    bounds = D.policy_table(spark, D.DEFAULT_POLICY).where("param <> 'enabled'").select("rule_id", "param", F.lit(0.0).alias("lo"), F.when(F.col("param") == "base", 100.0).otherwise(1e6).alias("hi"))
-    return D.policy_violations(given, bounds).distinct()
+    return users.join(F.broadcast(D.policy_table(spark, D.DEFAULT_POLICY).drop("policy_id")))  # the rows of one policy
+
+
+#: What is wrong by user, of the parameters and of the rest of a policy.
+WRONG = {
+    "user-1": [("rare-process-v1", "base", "out of bounds")], "user-2": [("unusual-hour-activity-v1", "start_hour", "not a whole number")], "user-3": [("no-such-rule", "base", "unknown rule or parameter")],
+    "user-4": [("rare-process-v1", "base", "given twice")], "user-5": [("resource-pressure-v1", "max_ram_min", "missing")], "user-6": [("new-remote-spike-v1", "network_min", "config values must be finite")],
+    "user-7": [(None, "mode", "unknown detection mode"), (None, "fusion_method", "unknown detection fusion method")], "user-8": [(None, "thresholds", "risk thresholds must satisfy low < medium < high < critical")],
+    "user-9": [(None, "quality_gate", "quality_gate contains unknown quality status"), (None, "thresholds", "out of bounds")], "user-0": [(None, "quality_gate", "quality_gate must not be empty")],
+}
+_WRONG_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (u, *w)) + ")" for u, some in WRONG.items() for w in some)
+
+
+@query(f"WITH {TEL}, w(policy_id, rule_id, param, reason) AS (VALUES {_WRONG_ROWS}) SELECT w.* FROM w WHERE policy_id IN (SELECT user_id FROM tel)")
+def d8_policy_violations(spark, sf_dir):
+    """A policy a user, each of them wrong in its own way."""
+    p, user = _policies(spark, sf_dir), F.col("policy_id")
+
+    def at(u: str, rule: str, param: str):
+        return (user == u) & (F.col("rule_id") == rule) & (F.col("param") == param)
+
+    value = F.when(at("user-1", "rare-process-v1", "base"), 101.0).when(at("user-2", "unusual-hour-activity-v1", "start_hour"), 21.5).when(at("user-6", "new-remote-spike-v1", "network_min"), float("nan")).otherwise(F.col("value"))
+    given = p.where(~at("user-5", "resource-pressure-v1", "max_ram_min")).withColumn("value", value)
+    given = given.unionByName(given.where(at("user-4", "rare-process-v1", "base"))).unionByName(given.where(at("user-3", "rare-process-v1", "base")).withColumn("rule_id", F.lit("no-such-rule")))
+    gate = F.when(user == "user-9", F.array(F.lit("good"), F.lit("fine"))).when(user == "user-0", F.array().cast("array<string>")).otherwise(F.array(F.lit("good"), F.lit("degraded")))
+    heads = p.select("policy_id").distinct().select(
+        user, F.when(user == "user-7", "either").otherwise("hybrid").alias("mode"), F.when(user == "user-7", "sum").otherwise(D.FUSION).alias("fusion_method"), F.lit(55).alias("finding_threshold"), F.lit(35).alias("low"),
+        F.when(user == "user-8", 75).otherwise(55).alias("medium"), F.lit(75).alias("high"), F.when(user == "user-9", 190).otherwise(90).alias("critical"), gate.alias("quality_gate"),
+    )
+    return D.policy_violations(given, heads)
 
 
+@query(f"WITH {TEL} SELECT DISTINCT user_id AS policy_id, CASE user_id WHEN 'user-2' THEN 'missing' ELSE 'policy hash mismatch' END AS reason FROM tel WHERE user_id IN ('user-2', 'user-3', 'user-7')")
+def d9_tampered_policies(spark, sf_dir):
+    """Registered policies of which one is gone, one has a changed value and one a parameter less."""
+    p, user = _policies(spark, sf_dir), F.col("policy_id")
+    registered = materialize(D.policy_hash(p), "policies")
+    now = p.where((user != "user-2") & ~((user == "user-7") & (F.col("param") == "end_hour")))
+    now = now.withColumn("value", F.when((user == "user-3") & (F.col("param") == "failure_min"), 6.0).otherwise(F.col("value")))
+    return D.tampered_policies(now, registered)
 
 
 @query("""WITH u AS (SELECT DISTINCT 'user-' || (user_id % 10) AS policy_id, user_id % 10 AS n FROM events)

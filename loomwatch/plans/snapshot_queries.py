@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from loomwatch.operators import collectors as X, snapshots as P, windows as W
 from loomwatch.plans.detection_queries import decided
-from loomwatch.plans.registry import KEY, QUALITY_SQL, TEL, decisions_sql, observations_sql, query, tidy, windows_sql
+from loomwatch.plans.registry import KEY, ORACLES, QUALITY_SQL, TEL, decisions_sql, observations_sql, query, tidy, windows_sql
 from loomwatch.plans.windows_queries import MINUTES, quality, tel
 from loomwatch.session import materialize
 from loomwatch.sources import telemetry as S
@@ -129,7 +129,7 @@ def m7_m8_deviations(spark, sf_dir):
 
 @query(f"""{DECIDED}, s AS (SELECT {PROFILE}, detection_score + activity_density AS score FROM dec), n AS (SELECT *, count(*) OVER (PARTITION BY {PROFILE}) AS n, row_number() OVER (PARTITION BY {PROFILE} ORDER BY score) AS r FROM s),
 t AS (SELECT {PROFILE}, score AS threshold FROM n WHERE n >= 12 AND r = 1 + ceil((n - 1) * (1 - 0.05::DOUBLE)))
-SELECT {PROFILE}, round(threshold, 6) AS threshold, count(*) AS n, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean, round(avg((score >= threshold)::INT), 6) AS flagged_rate FROM n JOIN t USING ({PROFILE}) GROUP BY {PROFILE}, threshold""")
+SELECT {PROFILE}, round(threshold, 6) AS threshold, count(*) AS n, round(min(score), 6) AS least, round(max(score), 6) AS most, round(median(score), 6) AS median, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS spread, round(avg((score >= threshold)::INT), 6) AS flagged_rate FROM n JOIN t USING ({PROFILE}) GROUP BY {PROFILE}, threshold""")
 def m9_m22_calibration(spark, sf_dir):
     scores = decided(spark, sf_dir).select(*W.PROFILE, (F.col("detection_score") + F.col("activity_density")).alias("score"))
     return tidy(P.calibrate(scores, W.PROFILE, 0.05))
@@ -170,3 +170,25 @@ SELECT {PROFILE}, feature, round(abs(now - mean) / CASE WHEN s = 0 THEN 1 ELSE s
 def m23_m24_drift(spark, sf_dir):
     rows = _split(spark, sf_dir)
     return tidy(P.drift(rows.where("split = 'train'"), rows.where("split = 'test'")))
+
+
+_Q = ", ".join(f"round(quantile_cont(x, {q}::DOUBLE), 6) AS {{p}}{n}" for n, q in P.QUANTILES.items())
+DRIFT = ORACLES["m23_m24_drift"]
+
+
+@query(f"""{SPLIT}, fd AS (SELECT {PROFILE}, feature, avg(x) AS mean, stddev_pop(x) AS std, {_Q.format(p="")} FROM lf WHERE split = 'test' GROUP BY {PROFILE}, feature),
+pl AS (SELECT *, row_number() OVER (PARTITION BY {PROFILE} ORDER BY round(std, 6) DESC, feature)::INT AS place FROM fd)
+SELECT * REPLACE (round(mean, 6) AS mean, round(std, 6) AS std) FROM pl WHERE place <= 5""")
+def m20_feature_distribution(spark, sf_dir):
+    """The features of the test part that spread most."""
+    return tidy(P.feature_distribution(_split(spark, sf_dir).where("split = 'test'")))
+
+
+@query(f"""WITH dr AS ({DRIFT}), {SPLIT.replace("WITH ", "", 1)}, en AS (SELECT {PROFILE} FROM sp GROUP BY ALL HAVING count(*) FILTER (WHERE split = 'train') >= 12 AND count(*) FILTER (WHERE split = 'test') >= 12),
+a AS (SELECT {PROFILE}, feature, {_Q.format(p="train_")} FROM lf WHERE split = 'train' GROUP BY {PROFILE}, feature), b AS (SELECT {PROFILE}, feature, {_Q.format(p="target_")} FROM lf WHERE split = 'test' GROUP BY {PROFILE}, feature),
+pl AS (SELECT dr.*, a.* EXCLUDE (dataset_kind, user_id, host_id, feature), b.* EXCLUDE (dataset_kind, user_id, host_id, feature), row_number() OVER (PARTITION BY {PROFILE} ORDER BY shift DESC, feature)::INT AS place FROM dr JOIN en USING ({PROFILE}) JOIN a USING ({PROFILE}, feature) JOIN b USING ({PROFILE}, feature))
+SELECT * FROM pl WHERE place <= 5""")
+def m23_drift_report(spark, sf_dir):
+    """The features of each profile that moved most from train to test."""
+    rows = _split(spark, sf_dir)
+    return tidy(P.drift_report(rows.where("split = 'train'"), rows.where("split = 'test'")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwatch.operators import coverage as C, windows as W
-from loomwatch.plans.registry import FEATURE_SQL, KEY, QUALITY_SQL, TEL, observations_sql, query, tidy, windows_sql
+from loomwatch.plans.registry import FEATURE_SQL, KEY, QUALITY_SQL, SOURCE_HASH, TEL, observations_sql, query, tidy, windows_sql
 from loomwatch.sources import telemetry as S
 
 MINUTES = 60
@@ -58,7 +58,7 @@ def f10_counts_by(spark, sf_dir):
     return tidy(rows[0].unionByName(rows[1]))
 
 
-@query(f"WITH {TEL} SELECT dataset_kind, user_id, host_id, time_bucket(INTERVAL '60 minutes', ts) AS window_start, sha256(string_agg(sha256(event_id || '|' || epoch_us(ts) || '|' || event_type), '' ORDER BY event_id)) AS source_event_hash FROM tel GROUP BY ALL")
+@query(f"WITH {TEL} {SOURCE_HASH}")
 def f11_source_hash(spark, sf_dir):
     return tidy(W.source_hash(tel(spark, sf_dir), MINUTES))
 
@@ -67,7 +67,7 @@ _FIXED = ", ".join(f"round({f}, 9)::DECIMAL(28,9)::VARCHAR" for f in W.FEATURES)
 
 
 @query(f"""WITH {TEL}, {windows_sql()},
-h AS (SELECT dataset_kind, user_id, host_id, time_bucket(INTERVAL '60 minutes', ts) AS window_start, sha256(string_agg(sha256(event_id || '|' || epoch_us(ts) || '|' || event_type), '' ORDER BY event_id)) AS source_event_hash FROM tel GROUP BY ALL)
+h AS ({SOURCE_HASH})
 SELECT {KEY}, sha256(concat_ws('|', dataset_kind, user_id, host_id, epoch_us(window_start)::VARCHAR, 'feature-windows-v2', {_FIXED}, source_event_hash)) AS feature_input_hash FROM win JOIN h USING ({KEY})""")
 def f12_input_hash(spark, sf_dir):
     w = wins(spark, sf_dir).join(W.source_hash(tel(spark, sf_dir), MINUTES), W.KEYS)
