@@ -5,9 +5,13 @@ shards by a hash of the vector; each shard's graph is built in one task over a b
 nodes: points are inserted in batches, a greedy beam search over the graph so far proposes
 neighbours, relaxed distance pruning (``alpha``) keeps few and diverse edges, and reverse edges
 are pruned the same way. Searches begin at the nearest of some entry points that lie far from one
-another, so that they reach every cluster. The index (node, ids, vector, edges) is a table. Each
-query visits every shard with a beam search, in blocks of queries so that a task's memory is
-bounded, and the best are merged by exact distance in double precision.
+another, so that they reach every cluster. A far vector's neighbours lie far apart and out of the
+reach of short edges, so a shard has a graph for each band of distances from its middle, lengths in
+a band being within ``RATIO`` of one another where the band is not filled up to ``BAND_NODES``. The
+index (band, node, ids, vector, edges) is a table. Each query visits every shard with beam searches, in
+blocks of queries so that a task's memory is bounded, and the best are merged by exact distance in
+double precision. Bands that cannot hold a nearer vector than those found, by the triangle
+inequality, are left out.
 
 Within a graph, vectors are moved to their shard's mean and scaled, and distances are sums of
 squared differences in single precision: no large norms that cancel, no overflow.
@@ -27,7 +31,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loomwatch.session import materialize
 
-SHARD_NODES, DEGREE, BEAM, BUILD_BEAM, ALPHA, QUERY_BLOCK = 4096, 32, 96, 64, 1.2, 8192
+SHARD_NODES, DEGREE, BEAM, BUILD_BEAM, ALPHA, QUERY_BLOCK = 4096, 32, 192, 64, 1.2, 8192
+#: Lengths within a band, and the nodes that a band takes in from the next ones before it ends.
+RATIO, BAND_NODES = 1.3, 128
 #: Entry points of a graph, the queries that run together, and the most partitions asked for.
 ENTRIES, TOGETHER, MOST_PARTITIONS = 64, 128, 20_000
 
@@ -51,6 +57,22 @@ def moved(exact: np.ndarray, middle: np.ndarray, scale: float) -> np.ndarray:
         return ((exact / 4 - middle / 4) / (scale / 4)).clip(-1e15, 1e15).astype(np.float32)
 
 
+def bands(exact: np.ndarray) -> np.ndarray:
+    """The band of each vector of a shard, from 0, by its distance from their middle."""
+    middle = np.median(exact / 4, axis=0) * 4
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        steps = np.floor(np.log(_lengths(exact / 4 - middle / 4)) / np.log(RATIO))
+    steps = np.nan_to_num(steps, nan=0.0, posinf=1e9, neginf=-1e9)
+    _, step, count = np.unique(steps, return_inverse=True, return_counts=True)
+    number, filled, out = 0, 0, np.zeros(len(count), dtype=np.int32)
+    for i, n in enumerate(count):
+        if filled >= BAND_NODES:
+            number, filled = number + 1, 0
+        out[i] = number
+        filled += n
+    return out[step]
+
+
 def entry_points(points: np.ndarray, count: int = ENTRIES) -> np.ndarray:
     """The node nearest to the middle, then again and again the one farthest from those chosen."""
     chosen = [int((points * points).sum(axis=1).argmin())]
@@ -183,7 +205,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """(dim, shard, shards, node, entry, ids, v, edges): every vector, with the k + 1 smallest ids of equal ones.
+    """(dim, shard, shards, band, node, entry, ids, v, edges): every vector, with the k + 1 smallest ids of equal ones.
 
     No query of k neighbours can need more copies, its own among them.
     """
@@ -199,15 +221,58 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0])).reset_index(drop=True)
-        edges, entries = build_graph(conditioned(np.stack(pdf.v.to_numpy()))[0])
-        numbers = {"node": np.arange(len(pdf), dtype=np.int32), "entry": -np.ones(len(pdf), dtype=np.int32), "shards": np.int32(shards)}
-        numbers["entry"][entries] = np.arange(len(entries))
-        return pdf.assign(**numbers, edges=list(edges))[["dim", "shard", "shards", "node", "entry", "ids", "v", "edges"]]
-
-    index = dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, node int, entry int, ids array<long>, v array<double>, edges array<int>")
+        exact, out = np.stack(pdf.v.to_numpy()), []
+        band = bands(exact)
+        for b in range(band.max() + 1):
+            own = np.flatnonzero(band == b)
+            edges, entries = build_graph(conditioned(exact[own])[0])
+            numbers = {"band": np.int32(b), "node": np.arange(len(own), dtype=np.int32), "entry": -np.ones(len(own), dtype=np.int32), "shards": np.int32(shards)}
+            numbers["entry"][entries] = np.arange(len(entries))
+            out.append(pdf.iloc[own].assign(**numbers, edges=list(edges)))
+        return pd.concat(out)[["dim", "shard", "shards", "band", "node", "entry", "ids", "v", "edges"]]
+
+    index = dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, band int, node int, entry int, ids array<long>, v array<double>, edges array<int>")
     return materialize(index, "ann-index")
 
 
+class Shard:
+    """The graphs of a shard, ready for searches: ``nodes`` in the order of band and node."""
+
+    def __init__(self, nodes: pd.DataFrame) -> None:
+        self.exact = np.stack(nodes.v.to_numpy())
+        self.middle = np.median(self.exact / 4, axis=0) * 4
+        with np.errstate(over="ignore", invalid="ignore"):
+            length = _lengths(self.exact - self.middle)
+        edge = np.flatnonzero(np.diff(nodes.band.to_numpy(), prepend=-1, append=nodes.band.iloc[-1] + 1))
+        self.graphs = []
+        for a, b in zip(edge, edge[1:], strict=False):
+            part = nodes.iloc[a:b]
+            edges = np.stack(part.edges.to_numpy()).astype(np.int32)
+            entries = part[part.entry >= 0].sort_values("entry").node.to_numpy()
+            self.graphs.append((a, b, length[a:b].min(), length[a:b].max(), *conditioned(self.exact[a:b]), edges, entries))
+
+    def search(self, asked: np.ndarray, k: int, beam: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row of ``asked``, the nodes that its beam searches found and their exact distances.
+
+        The nearest bands come first, and a band is searched only for those queries to which one of
+        its vectors may be nearer than the ``k`` + 1 nearest nodes so far (one may be the query's own).
+        """
+        with np.errstate(over="ignore", invalid="ignore"):
+            mine = _lengths(asked - self.middle)
+            apart = np.array([np.maximum(np.maximum(lo - mine, mine - hi), 0) for _, _, lo, hi, *_ in self.graphs])  # band x query
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in asked]
+        for g in np.argsort(np.nan_to_num(apart).min(axis=1), kind="stable"):
+            a, b, _, _, points, center, scale, edges, entries = self.graphs[g]
+            reach = np.array([np.partition(d, k)[k] if len(d) > k else np.inf for _, d in found])
+            rows = np.flatnonzero(~(apart[g] * (1 - 1e-9) > reach))
+            if len(rows):
+                near = beam_search(points, edges, entries, moved(asked[rows], center, scale), beam)[0]
+                for row, some in zip(rows, near, strict=True):
+                    some = some[some >= 0] + a
+                    found[row] = np.concatenate([found[row][0], some]), np.concatenate([found[row][1], _lengths(self.exact[some] - asked[row])])
+        return found
+
+
 def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by Euclidean distance."""
     asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min_by(F.struct("v", "dim"), "h").alias("q"))
@@ -224,24 +289,18 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     def look(key, nodes: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(nodes) and len(qs):
-            nodes = nodes.sort_values("node")
-            exact = np.stack(nodes.v.to_numpy())
-            points, middle, scale = conditioned(exact)
-            edges, ids = np.stack(nodes.edges.to_numpy()).astype(np.int32), nodes.ids.to_numpy()
-            entries = nodes[nodes.entry >= 0].sort_values("entry").node.to_numpy()
-            asked_v = np.stack(qs.v.to_numpy())
-            x = moved(asked_v, middle, scale)
-            found = [beam_search(points, edges, entries, x[i : i + TOGETHER], beam)[0] for i in range(0, len(qs), TOGETHER)]
-            for q, x, near in zip(qs.query_id.to_numpy(), asked_v, np.concatenate(found), strict=True):
-                near = near[near >= 0]
-                d = _lengths(exact[near] - x)
-                nearest_of: dict[int, float] = {}
-                for a, v in sorted((float(a), int(v)) for a, n in zip(d, near, strict=True) for v in ids[n] if v != q):
-                    nearest_of.setdefault(v, a)
-                rows = [(a, v) for v, a in nearest_of.items()][:k]
-                out["query_id"] += [int(q)] * len(rows)
-                out["vec_id"] += [v for _, v in rows]
-                out["score"] += [a for a, _ in rows]
+            nodes = nodes.sort_values(["band", "node"]).reset_index(drop=True)
+            shard, ids, asked_v = Shard(nodes), nodes.ids.to_numpy(), np.stack(qs.v.to_numpy())
+            for i in range(0, len(qs), TOGETHER):
+                found = shard.search(asked_v[i : i + TOGETHER], k, beam)
+                for q, (near, d) in zip(qs.query_id.to_numpy()[i : i + TOGETHER], found, strict=True):
+                    nearest_of: dict[int, float] = {}
+                    for a, v in sorted((float(a), int(v)) for a, n in zip(d, near, strict=True) for v in ids[n] if v != q):
+                        nearest_of.setdefault(v, a)
+                    rows = [(a, v) for v, a in nearest_of.items()][:k]
+                    out["query_id"] += [int(q)] * len(rows)
+                    out["vec_id"] += [v for _, v in rows]
+                    out["score"] += [a for a, _ in rows]
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     local = tiles.groupBy("dim", "shard", "block").cogroup(sent.groupBy("to_dim", "to_shard", "to_block")).applyInPandas(look, "query_id long, vec_id long, score double")

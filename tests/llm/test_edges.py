@@ -262,7 +262,7 @@ def far_share(spark, points, shard_nodes=4096, step=20):
     return hits / total
 
 
-@pytest.mark.parametrize("case", ["offset", "clusters", "huge", "far", "shards"])
+@pytest.mark.parametrize("case", ["offset", "clusters", "huge", "far", "shards", "lengths 0.6", "lengths 1", "lengths 2", "tails", "wide"])
 def test_recall_of_hard_sets(spark, case):
     rng = np.random.RandomState(2)
     points = {
@@ -271,8 +271,12 @@ def test_recall_of_hard_sets(spark, case):
         "huge": lambda: rng.normal(0, 1, (400, 8)) * 1e200,
         "far": lambda: rng.normal(0, 1, (400, 16)) * np.where(np.arange(400) == 7, 1e12, 1)[:, None],
         "shards": lambda: rng.normal(0, 1, (1500, 24)),
+        # vectors of unequal length, in several shards; clusters with heavy tails; many dimensions
+        **{f"lengths {s}": lambda s=s: rng.normal(0, 1, (2500, 64)) * np.exp(rng.normal(0, s, (2500, 1))) for s in (0.6, 1, 2)},
+        "tails": lambda: (rng.normal(0, 10, (10, 1, 64)) + rng.normal(0, 1, (10, 150, 64)) * np.exp(rng.normal(0, 1, (10, 150, 1)))).reshape(-1, 64),
+        "wide": lambda: rng.normal(0, 1, (1500, 512)),
     }[case]()
-    assert far_share(spark, points, 256 if case == "shards" else 4096) >= 0.9
+    assert far_share(spark, points, 256 if case == "shards" else 1024 if "lengths" in case else 4096) >= 0.9
 
 
 def test_nearest_of_ties_and_no_rows(spark):
