@@ -31,8 +31,8 @@ from loomwatch.llm.names import col
 
 #: A rank file larger than this is no vocabulary and isn't broadcast.
 MAX_VOCABULARY_BYTES = 64_000_000
-#: Remembered matches in a worker, of up to ``MEMO_LENGTH`` characters: some 60 MB at most.
-MEMO, MEMO_LENGTH = 200_000, 64
+#: Remembered matches in a worker, of up to ``MEMO_LENGTH`` characters: some 100 MB at most.
+MEMO, MEMO_LENGTH = 400_000, 64
 #: Texts whose matches are looked up together, and ids that are decoded together.
 TEXTS, PART = 64, 1 << 16
 
@@ -99,7 +99,11 @@ def serialize_model(pieces: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Encodes texts with a serialised model; remembers the ids of matches, as int32 bytes."""
+    """Encodes texts with a serialised model; remembers the ids of matches, as int32 bytes.
+
+    The memory has two halves: when the younger is full it becomes the older one, and only what is
+    met again leaves that. So matches that stand once go, and common ones stay.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         import regex
@@ -109,6 +113,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.letters = byte_characters()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.size = self.pieces.get_piece_size() - 1
 
     def _coded(self, matches: list[str]) -> Iterable[tuple[str, bytes]]:
@@ -120,14 +125,17 @@ class Encoder:
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text, as int32 bytes."""
         matches = [self.find(t) if t else [] for t in texts]
-        memo = self.memo
-        new = set().union(*matches).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set().union(*matches)
+        met = set().union(*matches)
+        if len(self.memo) + len(met) > MEMO // 2:  # what is met again comes over from the older half
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = met.difference(memo)
+        again = new.intersection(older)
+        memo.update(zip(again, map(older.__getitem__, again), strict=True))
+        new -= again
         memo.update(self._coded(list(new)))
         out = [b"".join(map(memo.__getitem__, m)) for m in matches]
-        for m in new if len(new) > MEMO else [m for m in new if len(m) > MEMO_LENGTH]:
+        for m in new if len(new) > MEMO // 2 else [m for m in new if len(m) > MEMO_LENGTH]:
             del memo[m]
         return out
 
