@@ -229,6 +229,11 @@ def test_secrets_query_equals_plain_search(spark):
         assert [rows[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[0] == k for x in want) for k in ("assign", "access", "hex")]
 
 
+def test_entropy_confirms_named_secrets():
+    spans = secret_scan.find_spans("token = 04dbebab91ab85687d33eeaaf9ac699e1188f password=passwordpassword12")
+    assert [k for k, _, _ in spans] == ["assign", "entropy", "hex", "assign"] or [k for k, _, _ in spans] == ["assign", "hex", "entropy", "assign"]
+
+
 def test_secrets_that_only_entropy_finds(spark):
     planted = ["Zx9Qw3Er7Ty1Ui5Op2As", "kJhGfDsAqWeRtYuIoPlMnB", "a8F/k2+Lq9xZ0vB3nM7tR5wY1c"]
     clean = ["InternationalizationOfThings", "2024-01-01-2024-12-31-0000", "123e4567-e89b-12d3-a456-426614174000", "the/path/of/some/file-name"]
