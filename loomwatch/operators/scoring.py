@@ -115,3 +115,12 @@ def latest_per(rows: DataFrame, by: list[str], at: str, tie: str) -> DataFrame:
     """Each group's newest row."""
     newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(at), F.desc(tie)))
     return rows.withColumn("_n", newest).where("_n = 1").drop("_n")
+
+
+def listed(rows: DataFrame, newest: str, tie: str, limit: int | None = None, **equal: str | None) -> DataFrame:
+    """Rows that equal what is asked for (None: anything), the newest first, ``limit`` of them if one is asked for."""
+    for column, value in equal.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    ordered = rows.orderBy(F.desc(newest), F.desc(tie))
+    return ordered if limit is None else ordered.limit(limit)

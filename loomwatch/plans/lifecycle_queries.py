@@ -175,6 +175,33 @@ def m25_lifecycle(spark, sf_dir):
     return R.lifecycle(models, moves).select(*W.PROFILE, "model_id", "lifecycle_status")
 
 
+# --- listings
+
+
+@query(f"""{MODEL_LOG} SELECT {PROFILE}, request_id, "at", action, CASE WHEN action = 'retire' THEN NULL ELSE model_id END AS new_model_id, previous FROM rc WHERE i > 0 AND refused IS NULL AND action <> 'recommend' AND dataset_kind = 'real'""")
+def w6_promotions_listed(spark, sf_dir):
+    """The moves of champions of real profiles, the newest first."""
+    moves = _registry(spark, sf_dir)[1].where("refused is null and action <> 'recommend'")
+    rows = moves.select(*W.PROFILE, "request_id", "at", "action", F.when(F.col("action") != "retire", F.col("model_id")).alias("new_model_id"), "previous")
+    return tidy(M.listed(rows, "at", "request_id", dataset_kind="real"))
+
+
+@query(f"{MODEL_LOG}, a AS (SELECT {PROFILE}, 'm' || unnest(range(4)) AS model_id, unnest(st) AS lifecycle_status FROM z) SELECT * FROM a WHERE dataset_kind = 'synthetic' AND lifecycle_status = 'champion'")
+def w6_models_listed(spark, sf_dir):
+    """The champions of synthetic profiles."""
+    rows = R.lifecycle(*_registry(spark, sf_dir)).select(*W.PROFILE, "model_id", "lifecycle_status")
+    return M.listed(rows, "model_id", "user_id", dataset_kind="synthetic", lifecycle_status="champion")
+
+
+@query("""WITH l AS (SELECT 'scope-' || (user_id % 10) AS scope, 'policy-' || (event_id % 7) AS policy_id, ts AS "at" FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY "at" DESC, policy_id DESC) AS r FROM l)
+SELECT scope, policy_id, "at" FROM a WHERE r = 1""")
+def w6_policies_listed(spark, sf_dir):
+    """The policies in force, those activated last first."""
+    e = S.read_events(spark, sf_dir)
+    log = e.select(F.concat(F.lit("scope-"), F.col("user_id") % 10).alias("scope"), F.concat(F.lit("policy-"), F.col("event_id") % 7).alias("policy_id"), F.col("ts").cast("timestamp").alias("at"))
+    return tidy(M.listed(D.activation_log(log).where("active").select("scope", "policy_id", "at"), "at", "policy_id"))
+
+
 # --- comparison of models
 
 #: Three models a profile flag 2, 5 and 15 % of its calibration; positives of the test part are windows with two failed logins. One user's strict model has another split, another's is not verified.
@@ -233,11 +260,11 @@ def m26_auto_promotion(spark, sf_dir):
 
 # --- contracts of models and runs
 
-#: A model a profile from the fitted preprocessor, some of them put wrong.
-@query(f"""{SPLIT}, u AS (SELECT DISTINCT user_id FROM pre)
+#: A model for each profile with enough rows, from the fitted preprocessor, some of them put wrong.
+@query(f"""{SPLIT}, u AS (SELECT DISTINCT user_id FROM sp WHERE c1 >= 32 AND c2 >= 12 AND n - c1 - c2 >= 12)
 SELECT 'm-' || user_id AS model_id, unnest(CASE user_id WHEN 'user-5' THEN ['spread above zero'] WHEN 'user-6' THEN ['feature names or order'] WHEN 'user-7' THEN ['feature names or order', 'twelve values'] WHEN 'user-8' THEN ['finite values', 'input width'] WHEN 'user-9' THEN ['finite threshold', 'split ranges in order', 'split counts'] END) AS "check" FROM u""")
 def m30_parameter_checks(spark, sf_dir):
-    rows = _split(spark, sf_dir)
+    rows = _split(spark, sf_dir).where("enough")
     fitted = P.fit_preprocessor(rows.where("split = 'train'"))
     user, position = F.col("user_id"), F.array_position(F.array(*map(F.lit, W.FEATURES)), F.col("feature"))
     pre = fitted.withColumn("position", F.when((user == "user-6") & (position < 3), 3 - position).otherwise(position))
@@ -285,6 +312,13 @@ def m31_run_outcomes(spark, sf_dir):
     return R.finalise_runs(*_runs(spark, sf_dir))[0].select("training_run_id", "status", "reason")
 
 
+@query(f"{RUNS} SELECT run AS training_run_id, dataset_kind, reason FROM v WHERE NOT (n % 10 = 1 OR reason IS NULL) AND dataset_kind = 'real'")
+def w6_failed_runs_listed(spark, sf_dir):
+    """The failed training runs of real profiles with their reasons."""
+    rows = R.finalise_runs(*_runs(spark, sf_dir))[0].select("training_run_id", "dataset_kind", "status", "reason")
+    return M.listed(rows, "training_run_id", "reason", dataset_kind="real", status="failed").drop("status")
+
+
 @query(f"{RUNS} SELECT run || '|' || unnest(['a', 'b']) AS model_id, reason IS NULL AS finalised FROM v WHERE reason IS NULL OR n % 10 = 1")
 def m31_models_kept(spark, sf_dir):
     """The models that their runs' outcomes left, and whether they are final."""

@@ -220,7 +220,7 @@ def j8_snapshot_drift(spark, sf_dir):
 def d25_verified_backfill(spark, sf_dir):
     """Decisions on the windows of the snapshots of which no window has been revised since."""
     rows = _snapshot(spark, sf_dir).withColumn("feature_schema", F.lit(W.SCHEMA_VERSION))
-    revised = F.col("user_id").isin("user-3", "user-7") & (F.col("row_index") == 5)
+    revised = F.col("user_id").isin("user-3", "user-7") & (F.col("row_index") == 0)
     drift = K.snapshot_drift(rows, rows.withColumn("process_count", F.col("process_count") + revised.cast("int")))
     current = decided(spark, sf_dir).withColumn("window_id", ids.window_id(MINUTES))
     return tidy(K.backfill(current, snapshot=rows, drift=drift).select(*W.KEYS, "detection_score", "status"))

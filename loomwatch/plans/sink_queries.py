@@ -38,16 +38,11 @@ def s9_range_replace(spark, sf_dir):
 
 @query(f"{SCORED} SELECT 'run-' || dataset_kind AS scoring_run_id, {KEY}, split, score, risk_level FROM rs")
 def s10_scored_windows(spark, sf_dir):
-    """A scoring run a kind, one of them twice and one that fails midway."""
+    """A scoring run a kind, one of them twice."""
     rows = materialize(_scored(spark, sf_dir).select(*W.KEYS, "split", "score", "risk_level"), "scored")
     table = _table(spark, "scored")
     for kind in ("real", "synthetic", "real"):
         table.append(rows.where(F.col("dataset_kind") == kind).select(F.lit(f"run-{kind}").alias("scoring_run_id"), "*"), f"run-{kind}")
-    try:
-        table.append(rows.select(F.lit("run-odd").alias("scoring_run_id"), "*").withColumn("score", F.raise_error(F.lit("the model has gone"))), "run-odd")
-    except Exception as error:  # noqa: BLE001  it is the failure that is asked for
-        if "the model has gone" not in str(error):
-            raise
     return tidy(table.read())
 
 
