@@ -61,6 +61,38 @@ def test_line_dedup_of_repeated_rows_and_many_equal_lines(spark):
 # --- op2
 
 
+def test_ascii_text_is_cut_alike_by_both_libraries():
+    import random
+    import re as standard
+
+    import regex
+
+    _, pattern = queries.tokenizer()
+    plain, full = standard.compile(bpe.ascii_pattern(pattern)), regex.compile(pattern)
+    random.seed(8)
+    for _ in range(3000):
+        text = "".join(random.choice("aZ09 '\t\n\r\x0b\x0c\x1c\x1f\x00.,-_st\x7f  ") for _ in range(random.randint(0, 40)))
+        assert plain.findall(text) == full.findall(text)
+    assert bpe.ascii_pattern(r"\w+") is None and bpe.ascii_pattern(r"[\S]") is None
+
+
+def test_bpe_equals_the_library_on_the_whole_table(spark):
+    import hashlib
+
+    import tiktoken
+
+    vocabulary, pattern = queries.tokenizer()
+    ranks = {piece: i for i, piece in enumerate(bpe.read_ranks(vocabulary))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, DATA, "documents").collect()}
+    rows = queries.op2_bpe(spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_bpe_of_odd_rows(spark):
     vocabulary, pattern = queries.tokenizer()
     texts = [None, "", "same text", "same text", LONG, " ".join(f"w{i}" for i in range(20_000))]
