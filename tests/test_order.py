@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomwatch.operators import findings as G, model_registry as R
+from loomwatch.operators import findings as G, model_registry as R, windows as W
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
@@ -134,6 +134,34 @@ def test_moves_that_the_state_forbids(spark):
     assert [m.refused for m in moved(spark, ("recommend", "m1"), verified=False)[0]] == ["model is not verified"]
 
 
+def test_each_fault_in_a_models_parameters_is_told(spark):
+    nan, inf = float("nan"), float("inf")
+    base = [(i, f, 1.0, 1.0, 1.0, 1.0) for i, f in enumerate(W.FEATURES)]
+    sets = {
+        "sound": base, "short": base[:11], "swapped": [(1, base[0][1], *base[0][2:]), (0, base[1][1], *base[1][2:]), *base[2:]], "flat": [(*base[0][:3], 0.0, 1.0, 1.0), *base[1:]], "odd": [(*base[0][:4], nan, 1.0), *base[1:]],
+        "narrow": base, "endless": base, "crossed": base, "miscounted": base,
+    }
+    pre = [(m, *r) for m, rows in sets.items() for r in rows]
+    p = spark.createDataFrame(pre, "model_id string, position int, feature string, mean double, std double, median double, iqr double")
+    fields = "model_id string, input_width int, threshold double, " + ", ".join(f"{part}_{x} {t}" for part in ("train", "calibration", "test") for x, t in (("start", "timestamp"), ("end", "timestamp"), ("count", "long"), ("rows", "long")))
+
+    def model(name):
+        ranges = [(at(0), at(5), 3, 3), (at(6), at(8), 2, 2), (at(9), at(9), 1, 1)]
+        if name == "crossed":
+            ranges[1] = (at(4), at(8), 2, 2)
+        if name == "miscounted":
+            ranges[2] = (at(9), at(9), 1, 2)
+        return (name, 11 if name == "narrow" else 12, inf if name == "endless" else 0.5, *ranges[0], *ranges[1], *ranges[2])
+
+    found = {}
+    for r in R.parameter_violations(p, spark.createDataFrame([model(m) for m in [*sets, "bare"]], fields)).collect():
+        found.setdefault(r.model_id, set()).add(r.check)
+    assert found == {
+        "short": {"feature names or order", "twelve values"}, "swapped": {"feature names or order"}, "flat": {"spread above zero"}, "odd": {"finite values"}, "narrow": {"input width"}, "endless": {"finite threshold"},
+        "crossed": {"split ranges in order"}, "miscounted": {"split counts"}, "bare": {"feature names or order", "twelve values", "finite values", "spread above zero"},
+    }
+
+
 def test_one_odd_candidate_fails_its_run(spark):
     fields = "training_run_id string, status string, dataset_id string, dataset_hash string, dataset_kind string, profile_key string, split_id string"
     runs = spark.createDataFrame([(r, "running", "d", "h", "real", "p", "s") for r in ("r1", "r2", "r3")], fields)
