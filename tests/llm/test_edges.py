@@ -279,6 +279,89 @@ def test_secrets_that_only_entropy_finds(spark):
     assert len(secret_scan.find_spans(many)) == 40_000 and time.time() - began < 10
 
 
+# --- op4
+
+
+def brute_verdicts(pages, rules):
+    """page_id to (host, path, rule, verdict), with dense walks over a matrix of hosts."""
+    lower = str.maketrans(url_filter.UPPER, url_filter.LOWER)
+    parsed = {}
+    for page_id, url, html in pages:
+        host = path = ""
+        if url is not None and "://" in url:
+            rest = url.split("://", 1)[1]
+            end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+            host, path = rest[:end].translate(lower), re.split("[?#]", rest[end:])[0]
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        parsed[page_id] = (host, path, *(max(fits)[1:] if fits else (None, None)), html or "")
+    seeds, weight = {}, {}
+    for host, _, rule, verdict, html in parsed.values():
+        if host:
+            counts = seeds.setdefault(host, {"allow": 0, "block": 0, None: 0})
+            counts[verdict] += 1
+        for dst in re.findall(r"""(?i)\shref\s*=\s*["']?(?:https?:)?//([^/"'?#>\s]+)""", html):
+            dst = dst.translate(lower)
+            if host and dst != host:
+                weight[host, dst] = weight.get((host, dst), 0) + 1
+    for host in list(seeds):
+        up = host.split(".", 1)[-1]
+        if up.count(".") >= 2 and all(up.split(".")):
+            for pair in ((host, up), (up, host)):
+                weight[pair] = weight.get(pair, 0) + 0.5
+    names = sorted({*seeds, *(h for pair in weight for h in pair)})
+    at = {h: i for i, h in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for (a, b), x in weight.items():
+        w[at[a], at[b]] = x
+    share = lambda m: np.divide(m, m.sum(axis=1, keepdims=True), out=np.zeros_like(m), where=m.sum(axis=1, keepdims=True) > 0)
+    ranks, units = {}, {}
+    steps = 0
+    start = {v: np.array([seeds.get(h, {}).get(v, 0) for h in names], dtype=float) for v in ("allow", "block")}
+    way = {"allow": share(w), "block": share(w.T)}
+    step = {v: 0.15 * start[v] for v in start}
+    total = {v: step[v].copy() for v in start}
+    while steps % 6 or steps == 0 or any(start[v].sum() and step[v].sum() * 0.85 / 0.15 > 0.02 * start[v].sum() for v in start):
+        for v in start:
+            step[v] = 0.85 * step[v] @ way[v]
+            total[v] += step[v]
+        steps += 1
+    for v in start:
+        back = start[v].sum() / total[v].sum() if start[v].sum() else 1.0
+        ranks[v], units[v] = total[v] * back, 0.15 * back
+    out = {}
+    for page_id, (host, path, rule, verdict, _) in parsed.items():
+        if verdict is None and host in at:
+            trust, distrust = ranks["allow"][at[host]], ranks["block"][at[host]]
+            edge = 0.5 * (trust + distrust + seeds[host][None] * 0.5 * units["block"])
+            verdict = "either" if abs(distrust - edge) < 1e-9 and distrust else "block" if distrust > edge else "allow"
+        out[page_id] = (host, path, rule, verdict or "allow")
+    return out
+
+
+def test_url_query_equals_dense_walks(spark):
+    pages = [tuple(r) for r in queries.table(spark, DATA, "pages").select("page_id", "url", "html").collect()]
+    want = brute_verdicts(pages, queries.URL_RULES)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op4_url_filter(spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][:3] == want[i][:3] and want[i][3] in (got[i][3], "either") for i in want)
+
+
+def test_linked_hosts_are_judged_as_by_dense_walks(spark):
+    import random
+
+    random.seed(6)
+    hosts = [f"h{i}.{d}" for i in range(12) for d in ("net", "org", "info")] + ["www.a.info.com", "a.info.com"]
+    rows = []
+    for i in range(200):
+        links = " ".join(f"<a href='//{random.choice(hosts)}/x'>x</a>" for _ in range(random.randint(0, 4)))
+        rows.append((i, random.choice([f"http://{random.choice(hosts)}{random.choice(['/fr/a', '/b', '', '?q'])}", None, "no url"]), links))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_verdicts(rows, queries.URL_RULES)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, queries.URL_RULES).collect()}
+    assert all(got[i][:3] == want[i][:3] and want[i][3] in (got[i][3], "either") for i in want)
+    assert {v for _, _, r, v in got.values() if r is None} == {"allow", "block"}
+
+
 # --- op8
 
 
