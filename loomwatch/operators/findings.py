@@ -18,6 +18,8 @@ ENDED = ("resolved", "false_positive")
 SCOPES = ("signal_for_profile", "signal_for_dataset_kind", "finding_fingerprint")
 CORRELATION_MINUTES = 60
 MAX_TTL_MINUTES = 525_600
+#: Up to so many suppressions in force are broadcast, so that a kind with most of the windows is not dealt by its key.
+BROADCAST_SUPPRESSIONS = 10_000
 
 
 def effective(suppressions: DataFrame, now: str) -> DataFrame:
@@ -68,10 +70,12 @@ def suppress(decided: DataFrame, suppressions: DataFrame, now: str) -> DataFrame
     come after those. Each scope is an equi-join. A window without matched signal is never suppressed.
     """
     live = effective(suppressions, now)
+    few = live.limit(BROADCAST_SUPPRESSIONS + 1).count() <= BROADCAST_SUPPRESSIONS
     matched = decided.where("n_matched > 0").select(*KEYS, "fingerprint", "status", F.explode("matched_signals.signal_id").alias("signal_id"))
 
     def scope(rank: int) -> DataFrame:
         rows = live.where(F.col("scope") == SCOPES[rank])
+        rows = F.broadcast(rows) if few else rows
         return rows.withColumn("o", F.struct(F.lit(rank // 2).alias("r"), F.col("created_at").alias("c"), F.col("suppression_id").alias("id")))
 
     p = scope(0).select("dataset_kind", "user_id", "host_id", "signal_id", "o")
