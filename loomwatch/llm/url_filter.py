@@ -66,13 +66,14 @@ def host_edges(pages: DataFrame, kin: float = 0.5) -> DataFrame:
     return linked.unionByName(kindred).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.02, cut_every: int = 6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.02, cut_every: int = 2, look_every: int = 6) -> DataFrame:
     """(host, trust, distrust, unit) after the walks; ``seeds`` has (host, trust, distrust).
 
     Trust follows edges, its share divided among a host's outgoing weight; distrust goes the
     other way, divided among the incoming weight. Both are in the unit of the seeds, and each sums
-    up to their mass; unit is what a blocked seed page counts at its own host. The mass under way is looked at every ``cut_every`` iterations, where the
-    lineage is cut.
+    up to their mass; unit is what a blocked seed page counts at its own host. The lineage is cut every
+    ``cut_every`` iterations, so that plans stay small on the driver; the mass under way is looked at
+    every ``look_every``.
     """
     mass = seeds.agg(F.sum("trust"), F.sum("distrust")).first()
     # Each edge is stored for both walks, keyed by the host that gives.
@@ -88,14 +89,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     rank = seeds.select("host", trust.alias("trust"), distrust.alias("distrust"), trust.alias("dt"), distrust.alias("dd"))
     rank = materialize(rank, "host-seeds")
     while True:
-        for _ in range(cut_every):
+        for i in range(1, look_every + 1):
             step = shares.join(rank.where("dt > 0 or dd > 0"), "host").select(
                 F.col("to").alias("host"), (F.col("dt") * F.col("pt") * damping).alias("dt"), (F.col("dd") * F.col("pd") * damping).alias("dd")
             )
             step = step.select("host", F.col("dt").alias("trust"), F.col("dd").alias("distrust"), "dt", "dd")
             held = rank.select("host", "trust", "distrust", F.lit(0.0).alias("dt"), F.lit(0.0).alias("dd"))
             rank = held.unionByName(step).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "dt", "dd")])
-        rank = materialize(rank, "host-rank")
+            if i % cut_every == 0 or i == look_every:
+                rank = materialize(rank, "host-rank")
         *whole, trust_left, distrust_left = rank.agg(*[F.sum(c) for c in ("trust", "distrust", "dt", "dd")]).first()
         # What is under way comes to damping / (1 - damping) of the last step at most.
         ahead = damping / (1 - damping)
