@@ -19,11 +19,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomwatch.functions import ids
 from loomwatch.operators import coverage as C, detection as D, findings as G
-from loomwatch.operators.incremental import LATE_MINUTES
-from loomwatch.operators.windows import KEYS, PROFILE, entity_of, entity_sums, input_hash, windows_of_flagged
+from loomwatch.operators.windows import KEYS, PROFILE, input_hash, windows_of_flagged
 from loomwatch.session import materialize, shared_folder
 from loomwatch.sources.versioned import Table
-from loomwatch.streaming.features import read_events_stream
+from loomwatch.streaming.features import closed_parts, read_events_stream
 
 EVALUATION = ["window_id", "feature_input_hash", "policy_hash", "model_id"]
 DECIDED = ["n_matched", "primary_signal", "detection_score", "risk_level", "status", "fingerprint", "suppressed_by", "skip_reason"]
@@ -71,16 +70,6 @@ class Watch:
     gate: tuple[str, ...] = D.QUALITY_GATE
 
 
-def closed_parts(events: DataFrame, minutes: int, late_minutes: int = LATE_MINUTES) -> DataFrame:
-    """Partial aggregates per profile, window, event type and entity, out once the watermark passes the window's end.
-
-    State holds one small row per entity of an open window, and no sets.
-    """
-    keyed = events.withColumn("entity", entity_of()).withWatermark("ts", f"{late_minutes} minutes")
-    parts = keyed.groupBy(*PROFILE, F.window("ts", f"{minutes} minutes").alias("w"), "event_type", "entity").agg(*entity_sums())
-    return parts.withColumn("window_start", F.col("w.start")).drop("w")
-
-
 class FirstSeen(StatefulProcessor):
     """Keyed by entity: whether any window has had it. Windows close in the order of time, so the first of a batch is the first of all."""
 
@@ -191,7 +180,7 @@ def detect_available(store: Store, events: DataFrame, watch: Watch, max_windows:
     before = store.spark.conf.get(STATE_STORE)
     store.spark.conf.set(STATE_STORE, ROCKS)
     try:
-        sink = flagged_parts(closed_parts(events, watch.minutes)).writeStream.foreachBatch(take).option("checkpointLocation", f"{store.base}/state")
+        sink = flagged_parts(closed_parts(events, watch.minutes).withColumn("window_start", F.col("w.start")).drop("w")).writeStream.foreachBatch(take).option("checkpointLocation", f"{store.base}/state")
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         store.spark.conf.set(STATE_STORE, before)

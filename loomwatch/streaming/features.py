@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwatch.operators.incremental import LATE_MINUTES
-from loomwatch.operators.windows import KEYS, PROFILE
+from loomwatch.operators.windows import KEYS, PROFILE, entity_of, entity_sums
 from loomwatch.session import shared_folder
 from loomwatch.sources import telemetry as S
 
@@ -21,21 +21,40 @@ def read_events_stream(spark: SparkSession, folder: str, files_a_batch: int | No
     return S.telemetry(reader.parquet(folder))
 
 
+def closed_parts(events: DataFrame, minutes: int, late_minutes: int = LATE_MINUTES) -> DataFrame:
+    """Partial aggregates per profile, window, event type and entity, out once the watermark passes the window's end.
+
+    State holds one small row per entity of an open window, and no sets.
+    """
+    keyed = events.withColumn("entity", entity_of()).withWatermark("ts", f"{late_minutes} minutes")
+    return keyed.groupBy(*PROFILE, F.window("ts", f"{minutes} minutes").alias("w"), "event_type", "entity").agg(*entity_sums())
+
+
 def window_stream(events: DataFrame, minutes: int, late_minutes: int = LATE_MINUTES) -> DataFrame:
-    """Windows per profile; state holds the open windows' distinct entities and partial sums.
+    """Windows per profile, by two aggregates in a row: of each entity, then of each window.
 
     A window comes out once, when the watermark (``late_minutes`` behind the newest event) passes
-    its end; events later than that are dropped. Entities are a set, since streams count no
-    distinct values.
+    its end; events later than that are dropped. An entity of an open window is a row of state of
+    its own, so no row or task holds all entities of a window.
     """
-    remote = F.concat_ws(":", "remote_address", F.col("remote_port").cast("string"))
-    grouped = events.withWatermark("ts", f"{late_minutes} minutes").groupBy(*PROFILE, F.window("ts", f"{minutes} minutes").alias("w")).agg(
-        F.size(F.collect_set(F.when(F.col("event_type") == "process", F.col("process_name")))).alias("process_count"),
-        F.size(F.collect_set(F.when(F.col("event_type") == "network", remote))).alias("network_connection_count"),
-        *[F.coalesce(f(f"{x}_percent"), F.lit(0.0)).alias(f"{name}_{x}_percent") for x in ("cpu", "ram") for name, f in (("avg", F.avg), ("max", F.max))],
-        F.count_if(F.col("result") == "success").alias("auth_success_count"),
-        F.count_if(F.col("result") == "failure").alias("auth_failure_count"),
-        F.count("*").alias("event_count"),
+    def entities(kind: str) -> Column:
+        return F.count_if((F.col("event_type") == kind) & F.col("entity").isNotNull()).cast("int")
+
+    measures = [
+        m
+        for x in ("cpu", "ram")
+        for m in (
+            F.coalesce(F.try_divide(F.sum(f"{x}_sum"), F.sum(f"{x}_n")), F.lit(0.0)).alias(f"avg_{x}_percent"),
+            F.coalesce(F.max(f"{x}_max"), F.lit(0.0)).alias(f"max_{x}_percent"),
+        )
+    ]
+    grouped = closed_parts(events, minutes, late_minutes).groupBy(*PROFILE, "w").agg(
+        entities("process").alias("process_count"),
+        entities("network").alias("network_connection_count"),
+        *measures,
+        F.sum("ok").alias("auth_success_count"),
+        F.sum("failed").alias("auth_failure_count"),
+        F.sum("n").alias("event_count"),
     )
     placed = grouped.withColumn("window_start", F.col("w.start")).drop("w")
     return placed.withColumn("hour_of_day", F.hour("window_start").cast("double")).withColumn("activity_density", F.col("event_count") / minutes)
