@@ -36,6 +36,9 @@ from loomwatch.session import materialize
 
 #: Broadcast the hashes of candidate lines up to this many (8 bytes each); beyond, shuffle.
 BROADCAST_HASHES = 2_000_000
+#: A line is split over several tasks from so many rows on, or from this share of all repeated rows;
+#: so there are at most HOT_LINES of such lines, whatever the size, and their hashes can be broadcast.
+HOT_ROWS, HOT_LINES = 1_000, 100_000
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -156,6 +159,19 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("_t", "_wt", 1).between(0, 1)).select("_h", "_g").distinct()
 
 
+def _meet(lines: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """``lines`` joined with their rules; a line of many rows (``counts``: _h, _g, n) is dealt over several tasks, its rule to each."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_LINES)
+    if (most or 0) <= least:
+        return lines.join(rules, ["_h", "_g"])
+    parts = F.ceil(F.col("n") / least)
+    hot = F.broadcast(counts.where(F.col("n") > least).select("_h", "_g", parts.alias("_parts")))  # HOT_LINES rows at most
+    dealt = lines.join(hot, ["_h", "_g"], "left").withColumn("_s", F.pmod(F.xxhash64("_ord"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    copies = rules.join(hot, ["_h", "_g"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, ["_h", "_g", "_s"])
+
+
 def dropped_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, exact_chars: int | None = None
 ) -> DataFrame:
@@ -163,14 +179,15 @@ def dropped_lines(
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     lines = _occurrences(docs, id_col, text_col, min_chars if exact_chars is None else max(1, min(exact_chars, min_chars)))
-    firsts = lines.groupBy("_h", "_g").agg(F.min("_ord").alias("first"), F.max("_ord").alias("last"))
-    copied = firsts.where(F.col("first") < F.col("last")).select("_h", "_g", "first", F.lit(False).alias("near"))
-    rules = copied
+    firsts = lines.groupBy("_h", "_g").agg(F.min("_ord").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts, "line-firsts")
+    rules = firsts.select("_h", "_g", "first", F.lit(False).alias("near"))
     if max_edits:
         near = materialize(near_lines(lines.where(F.col("_n") >= min_chars)), "line-near")
-        rules = copied.unionByName(near.select("_h", "_g", F.lit(None).cast(copied.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
+        rules = rules.unionByName(near.select("_h", "_g", F.lit(None).cast(rules.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
     rules = rules.groupBy("_h", "_g").agg(F.min("first").alias("first"), F.max("near").alias("near"))
-    gone = lines.select("_id", "_tk", "_ord", "_h", "_g").join(rules, ["_h", "_g"]).where(F.col("near") | (F.col("first") < F.col("_ord")))
+    met = _meet(lines.select("_id", "_tk", "_ord", "_h", "_g"), rules, firsts)
+    gone = met.where(F.col("near") | (F.col("first") < F.col("_ord")))
     return gone.groupBy("_id", "_tk").agg(F.collect_set("_ord.n").alias("_lines"))
 
 

@@ -69,6 +69,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert out[2].lang == "en"
 
 
+def test_lines_of_many_rows_are_dealt_over_tasks_with_the_same_rows(spark, monkeypatch):
+    texts = [*LINES, *["a line that most of the documents have\n" + t for t in ("x" * 25, "y" * 25, "x" * 25) * 20]]
+    want = brute_lines(texts)
+    for rows in (1000, 1, 7):
+        monkeypatch.setattr(line_dedup, "HOT_ROWS", rows)
+        out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+        assert [out[i] for i in range(1, len(texts) + 1)] == want
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
