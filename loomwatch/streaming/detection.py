@@ -172,8 +172,10 @@ def detect_available(store: Store, events: DataFrame, watch: Watch, max_windows:
     """Takes in all that the source has, evaluates what closes, batch by batch, and stops; a rerun goes on from there."""
 
     def take(parts: DataFrame, batch: int) -> None:
+        parts = parts.persist()  # the state is asked once a batch, not once a job
         if not parts.isEmpty():
             take_windows(store, parts, batch, watch.minutes)
+        parts.unpersist()
         while run_cycle(store, watch, max_windows):
             pass
 
