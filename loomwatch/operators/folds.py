@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Takes the state of a group (changed in place, empty at its first row) and a row; gives the new columns.
 Step = Callable[[dict, dict], tuple]
@@ -16,6 +16,9 @@ def in_order(rows: DataFrame, by: list[str], order: list[str], step: Step, out:
 
     A group is read as a sorted stream, one Arrow batch at a time, so its size is bounded by no
     memory; the state that ``step`` keeps is. Groups are told apart by values that are not null.
+    Rows are dealt by a digest of ``by``: where they come from a join on ``by`` itself, Spark leaves a
+    second dealing by the same columns out, and adaptive execution, to which a map over partitions
+    states no need, may then read that join's shuffle piecewise and part the groups.
     """
     shape = T.StructType([*rows.schema, *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in out.items()))])
 
@@ -30,4 +33,4 @@ def in_order(rows: DataFrame, by: list[str], order: list[str], step: Step, out:
                 said.append(step(state, row))
             yield pdf.assign(**{n: pd.Series([s[i] for s in said], dtype=object, index=pdf.index) for i, n in enumerate(out)})
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, shape)
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInPandas(run, shape)

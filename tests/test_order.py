@@ -103,6 +103,25 @@ def test_the_first_of_equal_requests_is_in_force_until_it_ends(spark):
     assert refused[1] == "an equal one is in force" and refused[2] is None and refused[4] == "unknown signal"
 
 
+def test_a_group_stays_whole_where_its_join_turns_into_a_broadcast(spark):
+    """As on tables too large to be broadcast by their estimate: the join on the key is planned as a shuffle, which adaptive execution then reads piecewise."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    one = (F.lit("signal_for_dataset_kind").alias("scope"), F.lit("real").alias("dataset_kind"), F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("host_id"))
+    kinds = (F.when(F.col("id") < 0, "b").otherwise("a").alias("signal_id"), F.lit(None).cast("string").alias("fingerprint"))
+    minutes = F.timestamp_seconds(1_700_000_000 + 60 * F.col("id"))
+    requests = spark.range(0, 400, 1, 8).select(F.col("id").alias("request_id"), minutes.alias("at"), *one, *kinds, F.lit(50).alias("ttl_minutes"))
+    held = spark.range(0, 40, 1, 4).select(*one, *kinds, F.lit(True).alias("active"), minutes.alias("expires_at"))  # until minute 39
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        accepted = sorted(r.request_id for r in G.admit_requests(requests, held, ["a"]).where("refused is null").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert accepted == list(range(39, 400, 50))
+
+
 # --- models
 
 LOG = "dataset_kind string, user_id string, host_id string, request_id long, at timestamp, model_id string, action string, confirm boolean"
